@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +55,14 @@ def lower_ascii(c: Column) -> Column:
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % F.lit(n)
+
+
+def byte_slices(batch: pa.RecordBatch, chars: int) -> Iterator[pa.RecordBatch]:
+    """Row slices of about so many bytes of the second column each: bounds the memory that a batch needs."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        done = sizes[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, done + chars, side="right")))
+        yield batch.slice(at, to - at)
+        at = to

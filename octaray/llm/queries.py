@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, urls
+from . import mixing, neardup, packing, secrets, toxicity, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op7_url_filters": urls.op7_url_filters,
     "op8_secret_scans": secrets.op8_secret_scans,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_near_duplicates": neardup.op10_near_duplicates,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
