@@ -1,8 +1,62 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: toxic documents go, one of each group of near copies stays, secrets are masked, sources are
+mixed to their target weights, and what is left is packed into sequences.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but the last return the columns of
+``docs``. ``run`` writes each stage's result in the shared scratch folder and reads it again.
+"""
+
+from __future__ import annotations
+
+from octaray.llm import common, mixing, neardup, packing, secrets, toxicity
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches the threshold go. Null and empty texts stay."""
+    labels = common.read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.learn(docs.select("doc_id", "text"), labels, fold=lambda doc_id: common.crc_mod(doc_id, 3) != 1)
+    scored = toxicity.score_texts(docs, model, out="_toxicity")
+    return scored.filter(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each component stays, once. Rows with a null id stay."""
+    gone = neardup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    left = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return left.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts are replaced by a mask; n_chars follows."""
+    out = secrets.redact_secrets(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it (0 to 3 times). Documents without words are not taken."""
+    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
+    mixed = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return mixed.select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("secrets", mask_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+#: The stages rest on a learnt model, sketches and an evolved packing, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = common.settle(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
