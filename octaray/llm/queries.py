@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, packing, secrets, toxicity, urls
+from . import anisotropic, hnsw, mixing, neardup, packing, secrets, suffix_tree, toxicity, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_suffix_tree": suffix_tree.op2_suffix_tree,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_vector_near_duplicates": hnsw.op5_vector_near_duplicates,
+    "op6_inner_product_search": anisotropic.op6_inner_product_search,
     "op7_url_filters": urls.op7_url_filters,
     "op8_secret_scans": secrets.op8_secret_scans,
     "op9_best_fit_packing": packing.op9_best_fit_packing,

@@ -146,11 +146,9 @@ class Reader:
         if got is None:
             bare = token.lstrip(EDGE_LEFT).rstrip(EDGE_RIGHT)
             found = word_features(bare)
-            odd = token.lstrip(EDGE_LEFT).rstrip("\"')]}>.,;:?%&")
-            if ODD.search(odd):
-                for reading in {decode(x, self.model, self.classes) for x in {odd, bare} if x}:
-                    for word in re.findall(r"[^\W\d_]+", reading):
-                        found += word_features(word)
+            if ODD.search(bare):
+                for word in re.findall(r"[^\W\d_]+", decode(bare, self.model, self.classes)):
+                    found += word_features(word)
             wanted = self.wanted
             got = tuple(found) if wanted is None else tuple(wanted[f] for f in found if f in wanted)
             if len(self.known) >= CACHE_TOKENS:
@@ -197,17 +195,20 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     def counted(wanted):
         def count(batches):
             reader, total = Reader(chars.value, wanted and wanted.value), Counter()
-            for pdf in batches:
-                for text in pdf["text"]:
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
                     total.update(reader.text(text))
-            yield pd.DataFrame({"feature": list(total.keys()), "n": list(total.values())})
+            features, n = list(total.keys()), list(total.values())
+            for at in range(0, len(features), 50_000):
+                kind = pa.string() if wanted is None else pa.int64()
+                yield pa.RecordBatch.from_arrays([pa.array(features[at : at + 50_000], kind), pa.array(n[at : at + 50_000], pa.int64())], names=["feature", "n"])
 
         return count
 
-    toxic = sample.filter("toxic = 1").select("text").mapInPandas(counted(None), "feature string, n long")
+    toxic = sample.filter("toxic = 1").select("text").mapInArrow(counted(None), "feature string, n long")
     toxic = toxic.groupBy("feature").agg(F.sum("n").alias("n")).filter("n >= 3").toPandas()
     wanted = spark.sparkContext.broadcast({f: i for i, f in enumerate(toxic["feature"])})
-    clean = sample.filter("toxic = 0").select("text").mapInPandas(counted(wanted), "feature long, n long")
+    clean = sample.filter("toxic = 0").select("text").mapInArrow(counted(wanted), "feature long, n long")
     clean = clean.groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
     n1 = toxic["n"].to_numpy()
     n0 = np.zeros(len(n1), dtype=np.int64)
@@ -220,10 +221,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
 
     def shown(batches):
         reader = Reader(chars.value, chosen.value)
-        for pdf in batches:
-            yield pd.DataFrame({"held": [sorted(reader.text(t)) for t in pdf["text"]]})
+        for batch in batches:
+            held = [sorted(reader.text(t)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32()))], names=["held"])
 
-    held = sample.filter("toxic = 1").select("text").mapInPandas(shown, "held array<int>").toPandas()["held"]
+    held = sample.filter("toxic = 1").select("text").mapInArrow(shown, "held array<int>").toPandas()["held"]
     covers: dict[int, set[int]] = defaultdict(set)
     for doc, features in enumerate(held):
         for f in features:
