@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import anisotropic, hnsw, mixing, neardup, packing, secrets, suffix_tree, toxicity, urls
+from . import anisotropic, hnsw, mixing, neardup, packing, pii, secrets, suffix_tree, toxicity, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_suffix_tree": suffix_tree.op2_suffix_tree,
+    "op3_surrogates": pii.op3_surrogates,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_vector_near_duplicates": hnsw.op5_vector_near_duplicates,
     "op6_inner_product_search": anisotropic.op6_inner_product_search,
