@@ -1,4 +1,209 @@
-"""Registry of the library's queries and their SQL."""
+"""The library's queries over the driver's tables, each with SQL for the same rows written on its own."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.camera import Camera
+from .functions.geometry import BOX, longest_axis, surface
+from .operators import boxes as box_ops
+from .operators import bvh, misc, rays, trees
+from .operators import triangles as tri_ops
+from .operators.scans import running_sum
+from .oracles import ORACLE_SQL
+from .plans import schedule as plan
+from .plans.schedule import LevelConfig
+from .sources.scratch import settle
+from .sources.tables import BOX_SCENE, boxes, meshes, table, triangles, vertices
+from .sources.tables import rays as ray_table
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
+SCHEDULES = {
+    "tree_octree": [LevelConfig("octree", 4)],
+    "tree_quadtree": [LevelConfig("quadtree", 4)],
+    "tree_bvh": [LevelConfig("bvh", 6)],
+    "tree_kdtree": [LevelConfig("kdtree", 5)],
+    "tree_hybrid": [LevelConfig("quadtree", 2), LevelConfig("octree", 3)],
+    "custom_split": [LevelConfig("thirds", 3)],
+}
+CAMERA, SAMPLES = Camera(eye=(120.0, 50.0, 48.0), look_at=(20.0, 50.0, 48.0), far=120.0), 4
+QUERY_BOX = (8.0, 2.0, 2.0, 32.0, 10.0, 12.0)
+RAY_BOX = (10.0, 10.0, 10.0, 50.0, 60.0, 70.0)
+MATRIX = ((0.0, -2.0, 0.0, 1.0), (1.0, 0.0, 0.0, -3.0), (0.0, 0.5, -1.0, 2.0))
+NODE_COLUMNS = ("depth", "path", "cls", *BOX, "n_prims", "is_leaf")
+
+
+def thirds() -> Column:
+    """A user split: three slabs along x."""
+    return plan._grid((3, 1, 1))
+
+
+plan.register_split("thirds", thirds)
+
+
+def _tree(spark, sf_dir, name):
+    nodes, prims = trees.build(boxes(spark, sf_dir), BOX_SCENE, SCHEDULES[name])
+    return settle(nodes), settle(prims)
+
+
+def _tree_query(name):
+    return lambda spark, sf_dir: trees.build(boxes(spark, sf_dir), BOX_SCENE, SCHEDULES[name])[0].select(*NODE_COLUMNS)
+
+
+def level_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(name, d, k) for name, c in SCHEDULES.items() for d, k in enumerate(plan.kinds_by_depth(c))]
+    return spark.createDataFrame(rows, "name string, depth int, cls string")
+
+
+def box_transform(spark, sf_dir):
+    source = boxes(spark, sf_dir)
+    plain = box_ops.transform(source, MATRIX)
+    exact = box_ops.transform(source, MATRIX, exact=True).select("prim_id", *[F.col(n).alias(f"exact_{n}") for n in BOX])
+    return plain.join(exact, "prim_id")
+
+
+def split_axis(spark, sf_dir):
+    size = tuple(F.col(f"max_{x}") - F.col(f"min_{x}") for x in "xyz")
+    return boxes(spark, sf_dir).select("prim_id", longest_axis(size).alias("axis"))
+
+
+def union_area(spark, sf_dir):
+    """Surface area of the union of every box with the query box."""
+    size = tuple(F.greatest(F.col(f"max_{x}"), F.lit(QUERY_BOX[i + 3])) - F.least(F.col(f"min_{x}"), F.lit(QUERY_BOX[i])) for i, x in enumerate("xyz"))
+    return boxes(spark, sf_dir).select("prim_id", surface(size).alias("area"))
+
+
+def _with_mesh(spark, sf_dir):
+    tri = triangles(spark, sf_dir)
+    return tri_ops.with_mesh(tri, meshes(tri))
+
+
+def mesh_aabb(spark, sf_dir):
+    held = _with_mesh(spark, sf_dir)
+    corner = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.col(z).alias("z")) for x, y, z in (("ax", "ay", "az"), ("bx", "b_y", "bz"), ("cx", "cy", "cz"))])
+    return tri_ops.mesh_bounds(held.select("mesh_id", F.inline(corner)), "mesh_id")
+
+
+def scene_flatten(spark, sf_dir):
+    vertex, index = vertices(triangles(spark, sf_dir))
+    v, i = tri_ops.flatten([(vertex, index, (1.0, (0.0, 0.0, 0.0))), (vertex, index, (0.5, (10.0, 20.0, 30.0)))])
+    return tri_ops.assemble(i, v.select("vertex_id", "x", "y", "z"))
+
+
+def component_naming(spark, sf_dir):
+    """Suppliers named 'CADModel <n>'; names of the nations' numbers are taken."""
+    used = table(spark, sf_dir, "nation").select(F.concat_ws(" ", F.lit("CADModel"), (F.col("n_nationkey") * 3).cast("string")).alias("name"))
+    return tri_ops.name_components(table(spark, sf_dir, "supplier").select("s_suppkey"), "CADModel", "s_suppkey", used)
+
+
+def _hits(spark, sf_dir):
+    return ray_table(spark, sf_dir), triangles(spark, sf_dir)
+
+
+def external_miss0(spark, sf_dir):
+    r, t = _hits(spark, sf_dir)
+    return rays.with_misses(r, rays.nearest_indexed(r, t)).select("ray_id", F.coalesce("t", F.lit(0.0)).alias("t"))
+
+
+def ray_any_hit(spark, sf_dir):
+    r, t = _hits(spark, sf_dir)
+    return r.join(rays.triangle_hits(r, t), "ray_id", "left_semi").select("ray_id")
+
+
+def _image(spark, sf_dir):
+    r = rays.camera_rays(spark, CAMERA, SAMPLES)
+    return rays.depth_image(rays.nearest_indexed(r, triangles(spark, sf_dir)), r)
+
+
+def kd_split_plane(spark, sf_dir):
+    """Planes of the nations' groups of orders, as if each were one node of the whole scene."""
+    items = boxes(spark, sf_dir).select((F.col("prim_id") % 25).alias("path"), "prim_id", *[F.col(n).alias(f"p_{n}") for n in BOX])
+    nodes = items.select("path").distinct().select("path", *[F.lit(v).alias(n) for n, v in zip(BOX, BOX_SCENE, strict=True)])
+    return trees.split_planes(items, nodes)
+
+
+def export_nodes(spark, sf_dir):
+    nodes, _ = _tree(spark, sf_dir, "tree_octree")
+    return trees.preorder(nodes, 4).select("position", *BOX)
+
+
+def compact_scan(spark, sf_dir):
+    """Slot of every order that is open, and the running count at all of them."""
+    flags = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), (F.col("o_orderstatus") == "O").cast("long").alias("valid"))
+    return running_sum(flags, "pos", "valid", inclusive=False).select("pos", "valid", F.col("running").alias("slot"))
+
+
+def _leaf_clusters(spark, sf_dir):
+    return bvh.clusters_of(settle(bvh.leaves(triangles(spark, sf_dir))))
+
+
+def ploc_step(spark, sf_dir):
+    clusters = _leaf_clusters(spark, sf_dir)
+    return bvh.step(clusters, clusters.count())[0].select("node_id", *BOX, "n_tri", "left_id", "right_id")
+
+
+def format_duration(spark, sf_dir):
+    nanos = F.col("o_orderkey").cast("double") * F.col("o_orderkey") * F.col("o_orderkey") * 97 + 0.5
+    return table(spark, sf_dir, "orders").select("o_orderkey", misc.format_duration(nanos).alias("said"))
+
+
+QUERIES = {
+    "box_metrics": lambda s, d: box_ops.metrics(boxes(s, d)),
+    "box_transform": box_transform,
+    "box_overlap_filter": lambda s, d: box_ops.overlapping(boxes(s, d), QUERY_BOX),
+    "split_axis": split_axis,
+    "split_binary": lambda s, d: box_ops.split(boxes(s, d), plan.midpoint_split()),
+    "split_at_value": lambda s, d: box_ops.split_at(boxes(s, d), 1, 8.0),
+    "split_grid": lambda s, d: box_ops.split_grid(boxes(s, d)),
+    "union_area": union_area,
+    "box_corners": lambda s, d: box_ops.corner_points(boxes(s, d)),
+    "box_edges": lambda s, d: box_ops.edges(boxes(s, d)),
+    "tri_bounds": lambda s, d: tri_ops.bounds(triangles(s, d)),
+    "tri_area": lambda s, d: tri_ops.areas(triangles(s, d)),
+    "tri_normal": lambda s, d: tri_ops.normals(triangles(s, d)),
+    "tri_assemble": lambda s, d: tri_ops.assemble(*reversed(vertices(triangles(s, d)))),
+    "mesh_range_join": lambda s, d: _with_mesh(s, d).select("triangle_id", "mesh_id"),
+    "mesh_aabb": mesh_aabb,
+    "mesh_area": lambda s, d: tri_ops.mesh_areas(_with_mesh(s, d)),
+    "mesh_stats": lambda s, d: tri_ops.mesh_stats(_with_mesh(s, d)),
+    "scene_aabb": lambda s, d: tri_ops.scene_bounds(boxes(s, d)),
+    "scene_flatten": scene_flatten,
+    "recenter_scale": lambda s, d: tri_ops.recenter(vertices(triangles(s, d))[0], 16.0),
+    "area_cdf": lambda s, d: tri_ops.area_cdf(triangles(s, d)),
+    "component_naming": component_naming,
+    "camera_rays": lambda s, d: rays.camera_rays(s, CAMERA, SAMPLES).select("ray_id", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in rays.RAY]),
+    "ray_box": lambda s, d: rays.box_hits(ray_table(s, d), RAY_BOX),
+    "ray_triangle_hits": lambda s, d: rays.triangle_hits(*_hits(s, d)),
+    "ray_query_bruteforce": lambda s, d: rays.nearest_bruteforce(*_hits(s, d)),
+    "ray_query_indexed": lambda s, d: rays.nearest_indexed(*_hits(s, d)),
+    "ray_query_external_miss0": external_miss0,
+    "ray_any_hit": ray_any_hit,
+    "depth_image": _image,
+    "image_normalize": lambda s, d: rays.normalize_image(_image(s, d)).select("px", "py", *[F.round(c, 6).alias(c) for c in "rgb"], "a"),
+    "image_quantize": lambda s, d: rays.quantize_image(rays.normalize_image(_image(s, d)), CAMERA.height),
+    "normal_to_rgb": lambda s, d: rays.normal_colors(tri_ops.normals(triangles(s, d))),
+    "level_schedule": level_schedule,
+    **{name: _tree_query(name) for name in SCHEDULES},
+    "kd_split_plane": kd_split_plane,
+    "tree_stats": lambda s, d: trees.stats(*_tree(s, d, "tree_octree"), 4),
+    "remove_empty": lambda s, d: trees.remove_empty(_tree(s, d, "tree_kdtree")[0]).select("depth", "path", "n_prims", "is_leaf"),
+    "collapse_once": lambda s, d: trees.collapse_once(trees.remove_empty(_tree(s, d, "tree_bvh")[0])).select("depth", "path", "level", "n_prims"),
+    "check_sanity": lambda s, d: trees.sanity_violations(trees.remove_empty(_tree(s, d, "tree_hybrid")[0]), 5),
+    "export_nodes": export_nodes,
+    "empty_cells": lambda s, d: trees.empty_cells(*_tree(s, d, "tree_octree")).select("depth", "path"),
+    "spatial_join": lambda s, d: box_ops.spatial_join(boxes(s, d), boxes(s, d), 1.0, (0.0, 0.0, 0.0, 66.0, 18.0, 17.0)).filter("left_id < right_id"),
+    "morton_code": lambda s, d: tri_ops.morton_codes(triangles(s, d)).select("triangle_id", "morton"),
+    "morton_order": lambda s, d: tri_ops.morton_order(triangles(s, d)).select("triangle_id", "position"),
+    "bvh_leaves": lambda s, d: bvh.leaves(triangles(s, d)).select("node_id", *BOX, "triangle_id", "n_tri"),
+    "nearest_cluster": lambda s, d: bvh.nearest_cluster(_leaf_clusters(s, d)),
+    "mutual_pairs": lambda s, d: bvh.mutual_pairs(settle(bvh.nearest_cluster(_leaf_clusters(s, d)))),
+    "ploc_step": ploc_step,
+    "compact_scan": compact_scan,
+    "bvh_ploc": lambda s, d: bvh.build(triangles(s, d)),
+    "bvh_stats": lambda s, d: bvh.stats(bvh.build(triangles(s, d))),
+    "bvh_depths": lambda s, d: bvh.depths(settle(bvh.build(triangles(s, d)))),
+    "sample_hemisphere": lambda s, d: misc.hemisphere(table(s, d, "customer"), "c_custkey"),
+    "format_duration": format_duration,
+}
