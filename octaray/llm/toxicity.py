@@ -44,7 +44,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 CLASSES = 28
 EDGE_LEFT, EDGE_RIGHT = "\"'([{<.,;:?%&#*-_~", "\"')]}>.,;:?%&#*-_~!$+"
 SPACED = re.compile(r"(?<!\S)(?:[^\W_][ \t]){2,}[^\W_](?!\S)")
-ODD = re.compile(rf"[^\W\d_].*[0-9{re.escape(''.join(LEET) + WILD)}]|[{re.escape(''.join(LEET) + WILD)}].*[^\W\d_]|([^\W\d_])\1\1|^(?:[^\W_][{re.escape(SEPARATORS)}]){{2,}}[^\W_]$|[​-‍­]")
+ODD = re.compile(rf"[^\W\d_].*[0-9{re.escape(''.join(LEET) + WILD)}]|[{re.escape(''.join(LEET) + WILD)}].*[^\W\d_]|([^\W\d_])\1\1|^(?:[^\W_][ \t{re.escape(SEPARATORS)}]){{2,}}[^\W_]$|[​-‍­]")
 PREFIXES = (4, 5, 6)
 CACHE_TOKENS = 300_000
 
