@@ -109,7 +109,7 @@ def _children(source: str, kinds: list[str], extra: str = "") -> str:
   JOIN (SELECT range::BIGINT AS k FROM range(8)) AS ks ON k < nx * ny * nz"""
 
 
-def tree(kinds: list[str], scene=(0.0, 0.0, 0.0, 64.0, 16.0, 16.0)) -> str:
+def tree(kinds: list[str], source: str = "boxes", scene=(0.0, 0.0, 0.0, 64.0, 16.0, 16.0)) -> str:
     """CTEs ``lv`` (pairs), ``reach`` and ``nodes`` of the tree with a kind for each depth; the last depth never splits."""
     deepest = len(kinds) - 1
     p = ", ".join(f"p_{n}" for n in B.split(", "))
@@ -120,7 +120,7 @@ def tree(kinds: list[str], scene=(0.0, 0.0, 0.0, 64.0, 16.0, 16.0)) -> str:
     windowed = f"""SELECT depth, path, {B}, prim_id, {p}, count(*) OVER (PARTITION BY path) AS n,
   max(CASE WHEN rn <= 2 THEN {centroid} END) OVER (PARTITION BY path) AS plane
   FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY prim_id) AS rn FROM"""
-    first = f"(SELECT 0 AS depth, 0::BIGINT AS path, {root}, prim_id, {', '.join(f'{n} AS p_{n}' for n in B.split(', '))} FROM boxes)"
+    first = f"(SELECT 0 AS depth, 0::BIGINT AS path, {root}, prim_id, {', '.join(f'{n} AS p_{n}' for n in B.split(', '))} FROM {source})"
     below = _children(f"(SELECT * FROM lv WHERE n >= 2 AND depth < {deepest})", kinds, f", prim_id, {p}")
     renamed = ", ".join(f"c_{n} AS {n}" for n in B.split(", "))
     return f"""{BOXES}, lv AS (
@@ -146,8 +146,8 @@ HYBRID, THIRDS = ["quadtree"] * 4 + ["octree"] * 2, ["thirds"] * 4
 NODES = f"SELECT depth, path, cls, {B}, n_prims, is_leaf FROM nodes"
 
 
-def _tree_sql(kinds: list[str], select: str = NODES) -> str:
-    return f"WITH RECURSIVE {tree(kinds)} {select}"
+def _tree_sql(kinds: list[str], select: str = NODES, source: str = "boxes") -> str:
+    return f"WITH RECURSIVE {tree(kinds, source)} {select}"
 
 
 def _split(cells: list[tuple[list[str], list[str]]]) -> str:
@@ -194,6 +194,7 @@ def _edges() -> str:
 _METRICS = ", ".join([*(f"(max_{x} + min_{x}) / 2 AS center_{x}" for x in "xyz"), *(f"max_{x} - (max_{x} + min_{x}) / 2 AS extent_{x}" for x in "xyz"), *(f"max_{x} - min_{x} AS size_{x}" for x in "xyz")])
 _QUERY_BOX = (8.0, 2.0, 2.0, 32.0, 10.0, 12.0)
 _TOUCH = " AND ".join(f"min_{x} <= {_QUERY_BOX[i + 3]} AND max_{x} >= {_QUERY_BOX[i]}" for i, x in enumerate("xyz"))
+_SPARSE = f"(SELECT * FROM boxes WHERE {_TOUCH})"
 _UNIFORM = "((c_custkey * 7919 + {0} * 104729 + 12345) % 65537) / 65537.0::DOUBLE"
 _SCHEDULES = {"tree_octree": OCTREE, "tree_quadtree": QUADTREE, "tree_bvh": BVH, "tree_kdtree": KDTREE, "tree_hybrid": HYBRID, "custom_split": THIRDS}
 _COLLAPSE = """, single AS (SELECT depth, path FROM counts WHERE n_children = 1),
@@ -239,11 +240,11 @@ ORACLE_SQL = {
     **{name: _tree_sql(kinds) for name, kinds in _SCHEDULES.items()},
     "kd_split_plane": f"WITH {BOXES} SELECT path, max((min_x + max_x) / 2) AS plane FROM (SELECT *, prim_id % 25 AS path, row_number() OVER (PARTITION BY prim_id % 25 ORDER BY prim_id) AS k FROM boxes) WHERE k <= 2 GROUP BY path",
     "tree_stats": _tree_sql(OCTREE, "SELECT 4 AS levels, count(*) AS n_nodes, sum(is_leaf::INT)::BIGINT AS n_leaves, sum(n_prims)::BIGINT AS n_refs, (SELECT count(DISTINCT prim_id) FROM lv) AS n_distinct, sum(n_prims) / sum(is_leaf::INT)::DOUBLE AS avg_prims, (sum(is_leaf::INT) * 2)::BIGINT AS reported_leaves, sum(n_prims) / (sum(is_leaf::INT) * 2)::DOUBLE AS reported_avg FROM nodes"),
-    "remove_empty": _tree_sql(KDTREE, "SELECT depth, path, n_prims, is_leaf FROM kept"),
-    "collapse_once": _tree_sql(BVH, _COLLAPSE),
-    "check_sanity": _tree_sql(HYBRID, "SELECT count(*) FILTER (WHERE (coalesce(n_children, 0) > 0) = (n_prims > 0)) AS both_or_neither, count(*) FILTER (WHERE is_leaf AND n_prims > 1 AND depth < 5) AS unsplit, count(*) FILTER (WHERE depth > 5) AS too_deep FROM kept LEFT JOIN counts USING (depth, path)"),
+    "remove_empty": _tree_sql(KDTREE, "SELECT depth, path, n_prims, is_leaf FROM kept", _SPARSE),
+    "collapse_once": _tree_sql(BVH, _COLLAPSE, _SPARSE),
+    "check_sanity": _tree_sql(HYBRID, "SELECT count(*) FILTER (WHERE (coalesce(n_children, 0) > 0) = (n_prims > 0)) AS both_or_neither, count(*) FILTER (WHERE is_leaf AND n_prims > 1 AND depth < 5) AS unsplit, count(*) FILTER (WHERE depth > 5) AS too_deep FROM kept LEFT JOIN counts USING (depth, path)", _SPARSE),
     "export_nodes": _tree_sql(OCTREE, f"SELECT row_number() OVER (ORDER BY path << (3 * (4 - depth))::BIGINT, depth) - 1 AS position, {B} FROM nodes"),
-    "empty_cells": _tree_sql(OCTREE, "SELECT depth, path FROM nodes WHERE is_leaf AND n_prims = 0"),
+    "empty_cells": _tree_sql(OCTREE, "SELECT depth, path FROM nodes WHERE is_leaf AND n_prims = 0", _SPARSE),
     "spatial_join": f"WITH {BOXES} SELECT a.prim_id AS left_id, b.prim_id AS right_id FROM boxes a JOIN boxes b ON a.prim_id < b.prim_id AND {' AND '.join(f'a.min_{x} <= b.max_{x} AND a.max_{x} >= b.min_{x}' for x in 'xyz')}",
     "morton_code": f"WITH {TRI}, {BOUNDS}, {MORTON} SELECT triangle_id, morton FROM codes",
     "morton_order": f"WITH {TRI}, {BOUNDS}, {MORTON} SELECT triangle_id, pos AS position FROM leaves",

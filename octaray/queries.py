@@ -48,6 +48,12 @@ def _tree(spark, sf_dir, name):
     return settle(nodes), settle(prims)
 
 
+def _sparse_tree(spark, sf_dir, name):
+    """A tree of the boxes that touch the query box only: most of the scene's cells stay empty."""
+    nodes, prims = trees.build(box_ops.overlapping(boxes(spark, sf_dir), QUERY_BOX), BOX_SCENE, SCHEDULES[name])
+    return settle(nodes), settle(prims)
+
+
 def _tree_query(name):
     return lambda spark, sf_dir: trees.build(boxes(spark, sf_dir), BOX_SCENE, SCHEDULES[name])[0].select(*NODE_COLUMNS)
 
@@ -188,11 +194,11 @@ QUERIES = {
     **{name: _tree_query(name) for name in SCHEDULES},
     "kd_split_plane": kd_split_plane,
     "tree_stats": lambda s, d: trees.stats(*_tree(s, d, "tree_octree"), 4),
-    "remove_empty": lambda s, d: trees.remove_empty(_tree(s, d, "tree_kdtree")[0]).select("depth", "path", "n_prims", "is_leaf"),
-    "collapse_once": lambda s, d: trees.collapse_once(trees.remove_empty(_tree(s, d, "tree_bvh")[0])).select("depth", "path", "level", "n_prims"),
-    "check_sanity": lambda s, d: trees.sanity_violations(trees.remove_empty(_tree(s, d, "tree_hybrid")[0]), 5),
+    "remove_empty": lambda s, d: trees.remove_empty(_sparse_tree(s, d, "tree_kdtree")[0]).select("depth", "path", "n_prims", "is_leaf"),
+    "collapse_once": lambda s, d: trees.collapse_once(trees.remove_empty(_sparse_tree(s, d, "tree_bvh")[0])).select("depth", "path", "level", "n_prims"),
+    "check_sanity": lambda s, d: trees.sanity_violations(trees.remove_empty(_sparse_tree(s, d, "tree_hybrid")[0]), 5),
     "export_nodes": export_nodes,
-    "empty_cells": lambda s, d: trees.empty_cells(*_tree(s, d, "tree_octree")).select("depth", "path"),
+    "empty_cells": lambda s, d: trees.empty_cells(*_sparse_tree(s, d, "tree_octree")).select("depth", "path"),
     "spatial_join": lambda s, d: box_ops.spatial_join(boxes(s, d), boxes(s, d), 1.0, (0.0, 0.0, 0.0, 66.0, 18.0, 17.0)).filter("left_id < right_id"),
     "morton_code": lambda s, d: tri_ops.morton_codes(triangles(s, d)).select("triangle_id", "morton"),
     "morton_order": lambda s, d: tri_ops.morton_order(triangles(s, d)).select("triangle_id", "position"),
