@@ -13,8 +13,9 @@ collapsed before, so a group of exact copies costs one row.
 
 In a bucket, all members are first aligned with its most famous member - the one with most bucket mates, as the original
 of a group has - and links found so far give components; a second round takes the most famous member outside that
-component. Then only pairs from different components of a bucket are compared, and of these, those whose sketches
-share too few picks for a similarity of 0.8 are dropped: of 48 picks a pair at 0.8 shares 38 on average, with a standard
+component. Then only pairs from different components of a bucket are compared. Of all pairs, those are dropped that
+can't reach 0.8 because too many k-mers of one occur in no other document (an exact bound, so that edited copies that
+are near nothing but their original are not tried with each other), and then those whose sketches share too few picks: of 48 picks a pair at 0.8 shares 38 on average, with a standard
 deviation below 2.8, and 26 are asked for. So a large group of near copies costs a number of alignments in proportion to
 its size, unless its members have no common original. ``component`` is the smallest doc_id that a document reaches by
 links.
@@ -209,8 +210,24 @@ def sketch(docs: DataFrame, k: int = K, repeats: int = REPEATS, picks: int = PIC
     return docs.mapInArrow(work, SKETCH)
 
 
-def _near_size(x: str, y: str, least: float) -> Column:
-    return F.least(x, y) >= least * F.greatest(x, y)
+def _own_kmers(kmers: DataFrame) -> DataFrame:
+    """(rep, own): how many k-mers of a document are in no other one; no alignment can match those."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held = np.unique(np.frombuffer(body, dtype=np.uint32)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(np.full(len(held), rep, dtype=np.int64))], names=["h", "rep"])
+
+    rows = kmers.mapInArrow(work, "h long, rep long")
+    single = rows.groupBy("h").agg(F.count("*").alias("docs"), F.min("rep").alias("rep")).filter("docs = 1")
+    return single.groupBy("rep").agg(F.count("*").alias("own"))
+
+
+def _can_match(n_x: Column, own_x: Column, n_y: Column, own_y: Column, least: float) -> Column:
+    """An alignment matches at most what either document shares with any other, and must match this many."""
+    need = (n_x + n_y) * F.lit(least / (1 + least)) - 1e-6
+    return F.least(n_x - own_x, n_y - own_y) >= need
 
 
 def _agreeing(least: int, picks: int):
@@ -240,11 +257,12 @@ def _star(placed: DataFrame, least: float, bar: int, picks: int, first: bool) ->
     lead = placed.groupBy("r", "key").agg(F.max_by("c", order).alias("lead"), F.count_distinct("c").alias("parts")).filter("parts > 1")
     rest = placed.join(lead, ["r", "key"])
     outside = F.lit(True) if first else F.col("c") != F.col("lead")
-    pick = F.max_by(F.struct("rep", "n", "picks", "c"), F.struct(outside, F.col("fame"), -F.col("rep")))
+    pick = F.max_by(F.struct("rep", "n", "own", "picks", "c"), F.struct(outside, F.col("fame"), -F.col("rep")))
     heads = rest.groupBy("r", "key").agg(pick.alias("head"))
-    pairs = rest.select("r", "key", "rep", "n", "picks", "c").join(heads, ["r", "key"]).filter("c <> head.c")
-    pairs = pairs.select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b"), "n", "picks", F.col("head.n").alias("hn"), F.col("head.picks").alias("hp"))
-    pairs = pairs.filter(_near_size("n", "hn", least)).dropDuplicates(["a", "b"])
+    pairs = rest.select("r", "key", "rep", "n", "own", "picks", "c").join(heads, ["r", "key"]).filter("c <> head.c")
+    pairs = pairs.filter(_can_match(F.col("n"), F.col("own"), F.col("head.n"), F.col("head.own"), least))
+    pairs = pairs.select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b"), "picks", F.col("head.picks").alias("hp"))
+    pairs = pairs.dropDuplicates(["a", "b"])
     return pairs.filter(_agreeing(bar, picks)("picks", "hp")).select("a", "b")
 
 
@@ -257,10 +275,13 @@ def _across(placed: DataFrame, least: float, bar: int, picks: int) -> DataFrame:
     w = Window.partitionBy("r", "key")
     per = per.withColumn("parts", F.count("*").over(w)).withColumn("major", F.max(F.struct("m", "c")).over(w)["c"])
     per = per.filter("parts > 1").select("r", "key", "major").distinct()
-    left = settle(placed.join(per, ["r", "key"]).select("r", "key", "rep", "c", "n", "picks", "major"))
-    x = left.filter("c <> major").select("r", "key", *[F.col(i).alias(f"x_{i}") for i in ("rep", "c", "n", "picks")])
-    y = left.select("r", "key", "major", *[F.col(i).alias(f"y_{i}") for i in ("rep", "c", "n", "picks")])
-    pairs = x.join(y, ["r", "key"]).filter("x_c <> y_c AND (y_c = major OR x_rep < y_rep)").filter(_near_size("x_n", "y_n", least))
+    left = settle(placed.join(per, ["r", "key"]).select("r", "key", "rep", "c", "n", "own", "picks", "major"))
+    # The shortest partner that a document may have asks for the fewest matches: none can reach those of the rest.
+    left = left.filter(F.col("n") - F.col("own") >= least * F.col("n") - 1e-6)
+    x = left.filter("c <> major").select("r", "key", *[F.col(i).alias(f"x_{i}") for i in ("rep", "c", "n", "own", "picks")])
+    y = left.select("r", "key", "major", *[F.col(i).alias(f"y_{i}") for i in ("rep", "c", "n", "own", "picks")])
+    pairs = x.join(y, ["r", "key"]).filter("x_c <> y_c AND (y_c = major OR x_rep < y_rep)")
+    pairs = pairs.filter(_can_match(F.col("x_n"), F.col("x_own"), F.col("y_n"), F.col("y_own"), least))
     pairs = pairs.filter(_agreeing(bar, picks)("x_picks", "y_picks"))
     return pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
@@ -304,9 +325,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sizes = member.groupBy("r", "key").agg(F.count("*").alias("size")).filter("size > 1")
     shared = member.join(sizes, ["r", "key"])
     fame = shared.groupBy("rep").agg(F.sum("size").alias("fame"))
-    buckets = settle(shared.drop("size").join(fame, "rep"))
-    involved = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    involved = fame.select(F.col("rep").alias("doc_id"))
     kmers = settle(_kmers_of(source.join(involved, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text"), k))
+    buckets = shared.drop("size").join(fame, "rep").join(_own_kmers(kmers), "rep", "left")
+    buckets = settle(buckets.withColumn("own", F.coalesce("own", F.lit(0))))
 
     bar = int(AGREE * repeats * picks)
     links = tried = None
