@@ -70,9 +70,9 @@ def count_characters(docs: DataFrame, text: str = "text") -> np.ndarray:
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], names=["gram", "n"])
 
-    found = docs.select(text).mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    found = docs.select(text).mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(CLASSES**4, dtype=np.int64)
-    total[found["gram"].to_numpy()] = found["n"].to_numpy()
+    total[found.column("gram").to_numpy()] = found.column("n").to_numpy()
     return total
 
 
@@ -206,10 +206,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
         return count
 
     toxic = sample.filter("toxic = 1").select("text").mapInArrow(counted(None), "feature string, n long")
-    toxic = toxic.groupBy("feature").agg(F.sum("n").alias("n")).filter("n >= 3").toPandas()
+    toxic = toxic.groupBy("feature").agg(F.sum("n").alias("n")).filter("n >= 3").toArrow().to_pandas()
     wanted = spark.sparkContext.broadcast({f: i for i, f in enumerate(toxic["feature"])})
     clean = sample.filter("toxic = 0").select("text").mapInArrow(counted(wanted), "feature long, n long")
-    clean = clean.groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
+    clean = clean.groupBy("feature").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     n1 = toxic["n"].to_numpy()
     n0 = np.zeros(len(n1), dtype=np.int64)
     n0[clean["feature"].to_numpy()] = clean["n"].to_numpy()
