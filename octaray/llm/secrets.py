@@ -145,8 +145,16 @@ def _candidate(rule: SecretRule, postings: Column) -> Column | None:
 
 
 def _gate(rule: SecretRule) -> str:
-    """What a kept match must hold; it spares marking texts without one."""
-    return rf"{rule.pattern[:-1]}{{{rule.least},}}" if rule.group == 0 and rule.least > 1 and rule.pattern.endswith("]+") else rule.pattern
+    """What a kept match must hold; it spares marking texts without one.
+
+    Literals and one run of a set need the length that is left for the run: ``least`` counts the whole match. Any other
+    rule is its own gate.
+    """
+    *lead, last = _parser.parse(rule.pattern)
+    run = str(last[0]) == "MAX_REPEAT" and last[1][0] == 1 and rule.pattern.endswith("]+") and len(last[1][2]) == 1
+    if rule.group or not run or any(str(op) != "LITERAL" for op, _ in lead):
+        return rule.pattern
+    return f"{rule.pattern[:-1]}{{{max(1, rule.least - len(lead))},}}"
 
 
 def _pieces(text: Column, rule: SecretRule) -> Column:

@@ -48,3 +48,14 @@ def test_redaction_leaves_nothing(spark):
     rows = {r["doc_id"]: r["text"] for r in out.collect()}
     assert rows[0] is None and rows[1] == "" and rows[2] == TEXTS[2]
     assert all(not list(spans_by_hand(t, r)) for t in rows.values() for r in BASE_RULES)
+
+
+def test_shortest_access_keys(spark):
+    """Texts whose only secret is an access key of 19 to 24 characters: ``least`` counts the whole match."""
+    keys = ["AKIA" + "IOSFODNN7EXAMPLE7890"[:n] for n in range(15, 21)]
+    df = spark.createDataFrame([(i, f"the key {k} leaked") for i, k in enumerate(keys)], "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_access"], r["spans"]) for r in secret_digest(find_secrets(df)).collect()}
+    masked = {r["doc_id"]: r["text"] for r in redact_secrets(df).collect()}
+    assert found[0] == (0, "") and masked[0] == f"the key {keys[0]} leaked"
+    for i, k in enumerate(keys[1:], 1):
+        assert found[i] == (1, f"access:8:{8 + len(k)}") and masked[i] == "the key <access removed> leaked"
