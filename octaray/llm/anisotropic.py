@@ -4,7 +4,10 @@ Vectors are cut into subspaces of two dimensions with 16 centres each: four bits
 and codes minimise |r|^2 + (eta - 1) (r . x/|x|)^2, so that a residual r along the vector costs eta times one across
 it. The centres are fitted on a bounded sample (``fit_rows``, expected size, drawn by a hash of the id); every row is
 encoded. Queries scan the codes of every block by table lookups (one table of 256 sums per byte and query), and the
-``rerank`` best of each block are scored exactly in double precision on the original vectors.
+``rerank`` best of each block are scored exactly in double precision on the original vectors. That gives a k-th score
+T. Then every other vector whose code score does not rule T out is scored exactly too, so the result is that of brute
+force. Write x' for the coded x, a for the part of x' along x, b for the length of the rest, Q = |q| and s = q . x/|x|:
+q . x' >= a s - b sqrt(Q^2 - s^2), which is convex in s, and q . x >= T means s >= T / |x|.
 
 Equal vectors of a block are scanned once and stand for all their ids, so that a very common vector neither fills the
 candidates nor hides others. Ties go to the smaller id.
@@ -105,6 +108,12 @@ def tables(queries: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return both.reshape(len(queries), both.shape[1], CENTRES * CENTRES).astype(np.float32)
 
 
+def decode(codes: np.ndarray, centres: np.ndarray, dims: int) -> np.ndarray:
+    """[row, dim] of codes as [byte, row]; what padding added is cut off, which only brings it closer to the vectors."""
+    each = np.stack([codes & 15, codes >> 4], axis=1).reshape(-1, codes.shape[1])
+    return np.concatenate([c[e] for c, e in zip(centres, each, strict=True)], axis=1)[:, :dims]
+
+
 def scan(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Approximate scores of all codes ([byte, row]) for one query's tables."""
     out = table[0].take(codes[0])
@@ -113,6 +122,16 @@ def scan(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def least_code_score(reach: np.ndarray | float, along: np.ndarray, across: np.ndarray, lengths: np.ndarray, query_length: float) -> np.ndarray:
+    """The least code score that each vector can have if its inner product with the query is ``reach`` or more."""
+    coded = np.hypot(along, across)
+    lowest = -query_length * np.divide(along, coded, out=np.ones_like(coded), where=coded > 0)
+    s = np.clip(np.maximum(reach / lengths, lowest), -query_length, query_length)
+    bound = along * s - across * np.sqrt(np.maximum((query_length - s) * (query_length + s), 0))
+    # The rounding of the tables and their sums, in single precision.
+    return bound - 1e-5 * query_length * (lengths + coded) - 1e-36
+
+
 CODED = "dim int, vec_id long, vector array<double>, code binary"
 HITS = "query_id long, vec_id long, score double"
 
@@ -165,21 +184,39 @@ def search(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddin
         vectors = whole[first]
         codes = np.ascontiguousarray(np.frombuffer(b"".join(data["code"].iloc[first]), dtype=np.uint8).reshape(len(first), -1).T)
         queries, asked_ids = matrix(wanted["vector"]), wanted["query_id"].to_numpy()
+        lengths = np.sqrt((vectors * vectors).sum(axis=1))
+        coded = decode(codes, shared.value[int(key[0])], vectors.shape[1])
+        along = (coded * vectors).sum(axis=1) / lengths
+        across = np.sqrt(np.maximum((coded * coded).sum(axis=1) - along * along, 0))
+        del coded
+
+        def listed(near, exact, me):
+            """The hits of the scored groups, best first: whole groups down to the score of the (k + 1)-th."""
+            least = np.partition(exact, -(k + 1))[-(k + 1)] if len(exact) > k else -np.inf
+            hits = []
+            for g, value in zip(near[exact >= least].tolist(), exact[exact >= least].tolist(), strict=True):
+                hits += [(value, v) for v in ids[order[start[g] : start[g] + min(k + 1, start[g + 1] - start[g])]] if v != me]
+            hits.sort(key=lambda h: (-h[0], h[1]))
+            return hits[:k]
+
         n = min(rerank, len(first))
         out = []
         for at in range(0, len(queries), 64):
             table = tables(padded(queries[at : at + 64]), shared.value[int(key[0])])
             for i, t in enumerate(table):
-                score = scan(t, codes)
+                score, q, me = scan(t, codes), queries[at + i], asked_ids[at + i]
                 near = np.argpartition(-score, n - 1)[:n] if n < len(score) else np.arange(n)
-                exact = vectors[near] @ queries[at + i]
-                best = near[np.argsort(-exact, kind="stable")[:k + 1]]
-                value = dict(zip(near.tolist(), exact.tolist(), strict=True))
-                me, hits = asked_ids[at + i], []
-                for g in best:
-                    hits += [(value[g], v) for v in ids[order[start[g] : start[g] + min(k + 1, start[g + 1] - start[g])]] if v != me]
-                hits.sort(key=lambda h: (-h[0], h[1]))
-                out += [(me, v, s) for s, v in hits[:k]]
+                exact = vectors[near] @ q
+                hits = listed(near, exact, me)
+                if n < len(score):
+                    reach = hits[-1][0] if len(hits) == k else -np.inf
+                    out_of_reach = np.isfinite(score) & (score < least_code_score(reach, along, across, lengths, np.sqrt(q @ q)))
+                    out_of_reach[near] = True
+                    more = np.flatnonzero(~out_of_reach)
+                    if len(more):
+                        near, exact = np.concatenate([near, more]), np.concatenate([exact, vectors[more] @ q])
+                        hits = listed(near, exact, me)
+                out += [(me, v, s) for s, v in hits]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     keys = ["dim", "block", "part"]

@@ -88,3 +88,26 @@ def test_few_candidates_and_copies(spark):
     for i in (0, 20, 40):
         assert got[got["query_id"] == i].sort_values("rank")["vec_id"].tolist() == [j for j in range(45) if j != i][:20]
     assert anisotropic.search(frame(spark, x[:3]), lambda i: i % 20 == 0).count() == 2
+
+
+@pytest.mark.parametrize("noise", [0.3, 0.02])
+def test_search_is_exact_in_a_group_of_near_copies(spark, noise):
+    """A third of the rows are unequal copies of one vector: more than the first reranking of a block looks at."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2400, 23)) * rng.uniform(0.5, 2, (2400, 1))
+    x[800:1600] = x[800] + rng.normal(size=(800, 23)) * noise
+    x = x.astype(np.float32)
+    got = anisotropic.search(frame(spark, x, BAD), lambda i: i % 20 == 0).toPandas()
+    s = x.astype(np.float64) @ x.astype(np.float64).T
+    np.fill_diagonal(s, -np.inf)
+    for i in range(0, len(x), 20):
+        want = np.lexsort((np.arange(len(x)), -s[i]))[:20]
+        assert got[got["query_id"] == i].sort_values("rank")["vec_id"].tolist() == want.tolist()
+
+
+def test_ties_at_the_cut_go_to_the_smaller_id(spark):
+    x = np.zeros((400, 400), dtype=np.float32)
+    x[:, 0] = 1
+    x[np.arange(1, 400), np.arange(1, 400)] = 1
+    got = anisotropic.search(frame(spark, x), lambda i: i == 0).toPandas().sort_values("rank")
+    assert got["vec_id"].tolist() == list(range(1, 21)) and (got["score"] == 1).all()
