@@ -9,9 +9,11 @@ and the state of a card's check digit stay. Telephone numbers are permuted by th
 Names move within a list of the same script and gender by a keyed step; names that are not listed are permuted letter
 by letter within vowels and consonants of their script.
 
-Collision checks: the distinct (entity, surrogate) pairs of all texts are gathered; surrogates that two entities share,
-or that equal another entity of the corpus, are listed, and the affected entities get the next surrogate of their
-chain. The list is broadcast only up to ``MAX_CLASHES`` entries; more are a fault of the key and raise an error.
+Collision checks: the distinct (entity, surrogate) pairs of all texts are gathered; entities whose surrogate another one
+has too, or equals an entity of the corpus (itself included), get the next surrogate of their chain, in distributed
+rounds over all pairs until no clash is left. From attempt ``LISTED`` on, listed names leave their list and are permuted
+by letters; from ``WIDER`` on, names and e-mail addresses get more letters, as their shape can be full. More than
+``MAX_CLASHES`` moved entities (they are broadcast) or ``MAX_ROUNDS`` rounds raise an error; no clash is left in silence.
 
 Cases: null and empty texts stay; texts are read whole; repeated rows are replaced alike; an empty table gives no rows;
 extra columns stay.
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 from .common import read_table, settle
 
 KEY = b"octaray surrogate key"
-MAX_CLASHES = 100_000
+MAX_CLASHES, MAX_ROUNDS = 100_000, 64
+LISTED, WIDER = 4, 8
 
 #: Given names by script and gender, and surnames by script.
 GIVEN = {
@@ -125,6 +128,14 @@ def canonical(kind: str, text: str) -> str:
     return text
 
 
+def _lead(text: str) -> int:
+    """The digits of a number's country code."""
+    if not text.startswith("+"):
+        return 0
+    code = re.match(r"\+(\d{1,3})[ .(-]", text)
+    return len(code[1]) if code else 1 if text[1] == "1" else 2
+
+
 def _refill(pattern: str, digits: str) -> str:
     it = iter(digits)
     return "".join(next(it) if c.isdigit() else c for c in pattern)
@@ -134,16 +145,24 @@ def _step(words: list[str], word: str, key: bytes, tweak: str) -> str:
     return words[(words.index(word) + 1 + _digest(key, tweak) % (len(words) - 1)) % len(words)]
 
 
-def _one_name(word: str, key: bytes, tweak: str) -> str:
-    for group, words in GIVEN.items():
-        if word in words:
-            return _step(words, word, key, f"{tweak}/given/{group}")
-    for script, words in SURNAMES.items():
-        if word in words:
-            return _step(words, word, key, f"{tweak}/surname/{script}")
+def _one_name(word: str, key: bytes, tweak: str, listed: bool = True) -> str:
+    if listed:
+        for group, words in GIVEN.items():
+            if word in words:
+                return _step(words, word, key, f"{tweak}/given/{group}")
+        for script, words in SURNAMES.items():
+            if word in words:
+                return _step(words, word, key, f"{tweak}/surname/{script}")
     return permute_text(word, key, f"{tweak}/name", _PHONETIC)
 
 
+def _more(text: str, key: bytes, tweak: str, attempt: int) -> str:
+    """Letters to add: three, and one more every fourth attempt, in the script of the text."""
+    at = next((i for i in range(0, len(_PHONETIC), 4) if any(c in s for c in text for s in _PHONETIC[i : i + 4])), 0)
+    letters, n = _PHONETIC[at] + _PHONETIC[at + 1], _digest(key, f"{tweak}/more", text)
+    return "".join(letters[(n >> 16 * j) % len(letters)] for j in range(min(16, 3 + (attempt - WIDER) // 4)))
+
+
 def surrogate(kind: str, text: str, key: bytes = KEY, attempt: int = 0) -> str:
     """The replacement of one mention; ``attempt`` walks the entity's chain of surrogates."""
     tweak = f"{kind}/{attempt}"
@@ -153,7 +172,8 @@ def surrogate(kind: str, text: str, key: bytes = KEY, attempt: int = 0) -> str:
         kept = 2 if labels[-2:] in (["example", "com"], ["example", "org"], ["example", "net"]) else 1
         place = permute_text(".".join(labels[:-kept]), key, f"{tweak}/domain") if labels[:-kept] else ""
         out = f"{permute_text(local, key, tweak)}@{'.'.join([*([place] if place else []), *labels[-kept:]])}"
-        return "".join(n.upper() if o.isupper() else n for o, n in zip(text, out, strict=True))
+        out = "".join(n.upper() if o.isupper() else n for o, n in zip(text, out, strict=True))
+        return out if attempt < WIDER else out.replace("@", f"{_more(local, key, tweak, attempt)}@")
     if kind == "ip":
         number = 0
         for octet in text.split("."):
@@ -168,13 +188,11 @@ def surrogate(kind: str, text: str, key: bytes = KEY, attempt: int = 0) -> str:
         return _refill(text, next(body + c for c in "0123456789" if luhn(body + c) == state))
     if kind in ("phone", "ssn"):
         digits = canonical(kind, text)
-        lead = 0
-        if text.startswith("+"):
-            code = re.match(r"\+(\d{1,3})[ .(-]", text)
-            lead = len(code[1]) if code else 1 if text[1] == "1" else 2
+        lead = _lead(text)
         return _refill(text, digits[:lead] + permute_text(digits[lead:], key, tweak))
     words = text.split(" ")
-    return " ".join(w if w.rstrip(".") in TITLES or re.fullmatch(r"\w\.", w) else _one_name(w, key, tweak) for w in words)
+    out = " ".join(w if w.rstrip(".") in TITLES or re.fullmatch(r"\w\.", w) else _one_name(w, key, tweak, attempt < LISTED) for w in words)
+    return out if attempt < WIDER else out + _more(text, key, tweak, attempt)
 
 
 def find_entities(text: str | None) -> list[tuple[int, int, str]]:
@@ -197,27 +215,56 @@ def _replacement(kind: str, text: str, key: bytes, attempt: int) -> str:
     return surrogate(kind, text, key, attempt)
 
 
+PAIRS = "kind string, entity string, form int, mention string, attempt int, surrogate string"
+
+
 def entity_pairs(docs: DataFrame, text: str, key: bytes) -> DataFrame:
-    """Distinct (kind, entity, surrogate) of all texts, by canonical form."""
+    """``PAIRS``, one for each entity of all texts, by canonical form, and each length of its country code."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = {}
             for t in batch.column(0).to_pylist():
                 for s, e, kind in find_entities(t):
-                    entity = canonical(kind, t[s:e])
-                    if (kind, entity) not in seen:
-                        seen[kind, entity] = canonical(kind, _replacement(kind, t[s:e], key, 0))
-            rows = [(k, e, r) for (k, e), r in seen.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["kind", "entity", "surrogate"])
+                    place = kind, canonical(kind, t[s:e]), _lead(t[s:e]) if kind == "phone" else 0
+                    if place not in seen:
+                        seen[place] = t[s:e], canonical(kind, _replacement(kind, t[s:e], key, 0))
+            rows = [(*place, *said) for place, said in seen.items()]
+            types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["kind", "entity", "form", "mention", "surrogate"])
 
-    return docs.select(text).mapInArrow(work, "kind string, entity string, surrogate string").groupBy("kind", "entity").agg(F.min("surrogate").alias("surrogate"))
+    found = docs.select(text).mapInArrow(work, "kind string, entity string, form int, mention string, surrogate string")
+    pairs = found.groupBy("kind", "entity", "form").agg(F.min("mention").alias("mention"), F.min("surrogate").alias("surrogate"))
+    return pairs.select("kind", "entity", "form", "mention", F.lit(0).alias("attempt"), "surrogate")
 
 
 def clashes(pairs: DataFrame) -> DataFrame:
-    """(kind, entity) whose surrogate is also another entity's: all but the smallest of those that share one."""
-    shared = pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("entity").alias("first")).filter("n > 1")
-    return pairs.join(shared, ["kind", "surrogate"]).filter("entity <> first").select("kind", "entity")
+    """(kind, entity) whose surrogate is an entity, or also another's surrogate: all but the smallest of those that share one."""
+    first = pairs.groupBy("kind", "surrogate").agg(F.min("entity").alias("first"), F.max("entity").alias("last")).filter("first <> last")
+    shared = pairs.join(first, ["kind", "surrogate"]).filter("entity <> first").select("kind", "entity")
+    entities = pairs.select("kind", F.col("entity").alias("surrogate"))
+    return shared.union(pairs.join(entities, ["kind", "surrogate"], "left_semi").select("kind", "entity")).distinct()
+
+
+def settled_pairs(pairs: DataFrame, key: bytes) -> DataFrame:
+    """``pairs`` with the attempt and surrogate of each at which no clash is left."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pydict()
+            for i, moved in enumerate(rows.pop("moved")):
+                if moved:
+                    rows["attempt"][i] += 1
+                    rows["surrogate"][i] = canonical(rows["kind"][i], surrogate(rows["kind"][i], rows["mention"][i], key, rows["attempt"][i]))
+            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([f for f in batch.schema if f.name != "moved"]))
+
+    pairs = settle(pairs)
+    for _ in range(MAX_ROUNDS):
+        moved = settle(clashes(pairs))
+        if moved.isEmpty():
+            return pairs
+        pairs = settle(pairs.join(moved.withColumn("moved", F.lit(True)), ["kind", "entity"], "left").select(*pairs.columns, "moved").mapInArrow(work, PAIRS))
+    raise ValueError("the entities of some shape leave no free surrogates")
 
 
 OUT = "text string, n_entities int, spans string"
@@ -226,10 +273,11 @@ OUT = "text string, n_entities int, spans string"
 def replace_entities(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
     """``docs`` with the text's entities replaced, ``n_entities`` and ``spans`` (kind:start:end of the original text)."""
     spark = docs.sparkSession
-    listed = settle(clashes(settle(entity_pairs(docs, text, key)))).limit(MAX_CLASHES + 1).collect()
+    pairs = settled_pairs(entity_pairs(docs, text, key), key)
+    listed = pairs.filter("attempt > 0").select("kind", "entity", "attempt").distinct().limit(MAX_CLASHES + 1).collect()
     if len(listed) > MAX_CLASHES:
         raise ValueError("the key maps too many entities to the same surrogates")
-    again = spark.sparkContext.broadcast({(r["kind"], r["entity"]) for r in listed})
+    again = spark.sparkContext.broadcast({(r["kind"], r["entity"]): r["attempt"] for r in listed})
 
     @F.pandas_udf(OUT)
     def work(texts: pd.Series) -> pd.DataFrame:
@@ -238,7 +286,7 @@ def replace_entities(docs: DataFrame, text: str = "text", key: bytes = KEY) -> D
             spans = find_entities(t)
             parts, at = [], 0
             for s, e, kind in spans:
-                attempt = int((kind, canonical(kind, t[s:e])) in again.value)
+                attempt = again.value.get((kind, canonical(kind, t[s:e])), 0)
                 parts += [t[at:s], _replacement(kind, t[s:e], key, attempt)]
                 at = e
             rows.append(("".join([*parts, t[at:]]) if spans else t, len(spans), ",".join(f"{k}:{s}:{e}" for s, e, k in spans)))

@@ -87,3 +87,16 @@ def test_clashes_are_found(spark):
     pairs = spark.createDataFrame([("a", "x", "s"), ("a", "y", "s"), ("a", "z", "t"), ("b", "x", "s")], "kind string, entity string, surrogate string")
     assert [tuple(r) for r in pii.clashes(pairs).collect()] == [("a", "y")]
     assert F is not None
+
+
+def test_no_surrogate_is_an_entity_or_another_surrogate(spark):
+    """Full shapes: every one-letter address and one given name with every listed surname are in the corpus."""
+    real = [f"{c}@example.com" for c in "abcdefghijklmnopqrstuvwxyz"] + [f"{g} {s}" for g in pii.GIVEN["greek", "f"] for s in pii.SURNAMES["greek"]]
+    real += ["Dr. 王伟", "+3865553733", "386-555-3733", "123-45-6789", pii.surrogate("ssn", "123-45-6789")]
+    out = pii.replace_entities(spark.createDataFrame(list(enumerate(real)), "doc_id long, text string")).toPandas()
+    assert (out["n_entities"] == 1).all() and len(out) == len(real)
+    kinds = out["spans"].str.split(":").str[0]
+    same = [(k, pii.canonical(k, t)) for k, t in zip(kinds, out["text"], strict=True)]
+    assert not set(same) & {(k, pii.canonical(k, real[i])) for k, i in zip(kinds, out["doc_id"], strict=True)}
+    # The two mentions of one telephone number may differ by their country code; all others are different entities.
+    assert len(set(same)) >= len(real) - 1
