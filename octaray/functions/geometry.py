@@ -109,26 +109,3 @@ def slab(origin: Vec, direction: Vec, lo: Vec, hi: Vec) -> tuple[Column, Column,
         far.append(F.coalesce(F.greatest(t0, t1), F.lit(1e300)))
         inside.append((d != 0) | ((a <= o) & (o <= b)))
     return F.greatest(*near), F.least(*far), reduce(lambda a, b: a & b, inside)
-
-
-def triangle_coefficients() -> dict[str, Column]:
-    """Per-triangle terms of the plane and barycentric tests, so that the join condition stays short."""
-    a, b, c = corners()
-    e1, e2 = sub(b, a), sub(c, a)
-    n = cross(e1, e2)
-    named = {"e1x": e1[0], "e1y": e1[1], "e1z": e1[2], "e2x": e2[0], "e2y": e2[1], "e2z": e2[2], "nx": n[0], "ny": n[1], "nz": n[2]}
-    return named | {"d00": dot(e1, e1), "d01": dot(e1, e2), "d11": dot(e2, e2)}
-
-
-def plane_t() -> Column:
-    o, d, a, n = vec("ox", "oy", "oz"), vec("dx", "dy", "dz"), vec("ax", "ay", "az"), vec("nx", "ny", "nz")
-    return dot(sub(a, o), n) / F.nullif(dot(d, n), F.lit(0.0))
-
-
-def barycentric(t: Column) -> tuple[Column, Column]:
-    o, d, a = vec("ox", "oy", "oz"), vec("dx", "dy", "dz"), vec("ax", "ay", "az")
-    w = tuple(p + t * q - r for p, q, r in zip(o, d, a, strict=True))
-    d20, d21 = dot(w, vec("e1x", "e1y", "e1z")), dot(w, vec("e2x", "e2y", "e2z"))
-    d00, d01, d11 = F.col("d00"), F.col("d01"), F.col("d11")
-    den = F.nullif(d00 * d11 - d01 * d01, F.lit(0.0))
-    return (d11 * d20 - d01 * d21) / den, (d00 * d21 - d01 * d20) / den

@@ -76,6 +76,12 @@ def remove_empty(nodes: DataFrame) -> DataFrame:
     return nodes.filter(~(F.col("is_leaf") & (F.col("n_prims") == 0)) | (F.col("depth") == 0))
 
 
+def removed_count(nodes: DataFrame) -> DataFrame:
+    """One row: how many nodes ``remove_empty`` takes away, and how many stay."""
+    gone = F.col("is_leaf") & (F.col("n_prims") == 0) & (F.col("depth") > 0)
+    return nodes.agg(F.count_if(gone).alias("n_removed"), F.count_if(~gone).alias("n_left"))
+
+
 def child_counts(nodes: DataFrame) -> DataFrame:
     below = nodes.filter("depth > 0").select((F.col("depth") - 1).alias("depth"), F.shiftright("path", 3).alias("path"))
     return below.groupBy("depth", "path").agg(F.count("*").alias("n_children"))

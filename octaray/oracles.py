@@ -146,8 +146,11 @@ HYBRID, THIRDS = ["quadtree"] * 4 + ["octree"] * 2, ["thirds"] * 4
 NODES = f"SELECT depth, path, cls, {B}, n_prims, is_leaf FROM nodes"
 
 
-def _tree_sql(kinds: list[str], select: str = NODES, source: str = "boxes") -> str:
-    return f"WITH RECURSIVE {tree(kinds, source)} {select}"
+_SCENE, _WIDE = (0.0, 0.0, 0.0, 64.0, 16.0, 16.0), (-64.0, -128.0, -16.0, 448.0, 128.0, 112.0)
+
+
+def _tree_sql(kinds: list[str], select: str = NODES, scene: tuple[float, ...] = _SCENE) -> str:
+    return f"WITH RECURSIVE {tree(kinds, scene=scene)} {select}"
 
 
 def _split(cells: list[tuple[list[str], list[str]]]) -> str:
@@ -194,7 +197,6 @@ def _edges() -> str:
 _METRICS = ", ".join([*(f"(max_{x} + min_{x}) / 2 AS center_{x}" for x in "xyz"), *(f"max_{x} - (max_{x} + min_{x}) / 2 AS extent_{x}" for x in "xyz"), *(f"max_{x} - min_{x} AS size_{x}" for x in "xyz")])
 _QUERY_BOX = (8.0, 2.0, 2.0, 32.0, 10.0, 12.0)
 _TOUCH = " AND ".join(f"min_{x} <= {_QUERY_BOX[i + 3]} AND max_{x} >= {_QUERY_BOX[i]}" for i, x in enumerate("xyz"))
-_SPARSE = f"(SELECT * FROM boxes WHERE {_TOUCH})"
 _UNIFORM = "((c_custkey * 7919 + {0} * 104729 + 12345) % 65537) / 65537.0::DOUBLE"
 _SCHEDULES = {"tree_octree": OCTREE, "tree_quadtree": QUADTREE, "tree_bvh": BVH, "tree_kdtree": KDTREE, "tree_hybrid": HYBRID, "custom_split": THIRDS}
 _COLLAPSE = """, single AS (SELECT depth, path FROM counts WHERE n_children = 1),
@@ -230,6 +232,7 @@ ORACLE_SQL = {
     "ray_triangle_hits": f"WITH {TRI}, {RAYS}, {HITS} SELECT ray_id, triangle_id, t FROM hits",
     "ray_query_bruteforce": f"WITH {TRI}, {RAYS}, {HITS} SELECT ray_id, t, triangle_id FROM nearest",
     "ray_query_indexed": f"WITH {TRI}, {RAYS}, {HITS} SELECT ray_id, t, triangle_id FROM nearest",
+    **{f"ray_query_{name}": f"WITH {TRI}, {RAYS}, {HITS} SELECT ray_id, t, triangle_id FROM nearest" for name in _SCHEDULES if name != "custom_split"},
     "ray_query_external_miss0": f"WITH {TRI}, {RAYS}, {HITS} SELECT ray_id, coalesce(t, 0) AS t FROM rays LEFT JOIN nearest USING (ray_id)",
     "ray_any_hit": f"WITH {TRI}, {RAYS}, {HITS} SELECT DISTINCT ray_id FROM hits",
     "depth_image": f"{IMAGE} SELECT px, py, r, r AS g, r AS b, 1.0::DOUBLE AS a FROM image",
@@ -240,11 +243,12 @@ ORACLE_SQL = {
     **{name: _tree_sql(kinds) for name, kinds in _SCHEDULES.items()},
     "kd_split_plane": f"WITH {BOXES} SELECT path, max((min_x + max_x) / 2) AS plane FROM (SELECT *, prim_id % 25 AS path, row_number() OVER (PARTITION BY prim_id % 25 ORDER BY prim_id) AS k FROM boxes) WHERE k <= 2 GROUP BY path",
     "tree_stats": _tree_sql(OCTREE, "SELECT 4 AS levels, count(*) AS n_nodes, sum(is_leaf::INT)::BIGINT AS n_leaves, sum(n_prims)::BIGINT AS n_refs, (SELECT count(DISTINCT prim_id) FROM lv) AS n_distinct, sum(n_prims) / sum(is_leaf::INT)::DOUBLE AS avg_prims, (sum(is_leaf::INT) * 2)::BIGINT AS reported_leaves, sum(n_prims) / (sum(is_leaf::INT) * 2)::DOUBLE AS reported_avg FROM nodes"),
-    "remove_empty": _tree_sql(KDTREE, "SELECT depth, path, n_prims, is_leaf FROM kept", _SPARSE),
-    "collapse_once": _tree_sql(BVH, _COLLAPSE, _SPARSE),
-    "check_sanity": _tree_sql(HYBRID, "SELECT count(*) FILTER (WHERE (coalesce(n_children, 0) > 0) = (n_prims > 0)) AS both_or_neither, count(*) FILTER (WHERE is_leaf AND n_prims > 1 AND depth < 5) AS unsplit, count(*) FILTER (WHERE depth > 5) AS too_deep FROM kept LEFT JOIN counts USING (depth, path)", _SPARSE),
+    "remove_empty": _tree_sql(KDTREE, "SELECT depth, path, n_prims, is_leaf FROM kept", _WIDE),
+    "removed_count": _tree_sql(OCTREE, "SELECT (SELECT count(*) FROM nodes) - (SELECT count(*) FROM kept) AS n_removed, (SELECT count(*) FROM kept) AS n_left", _WIDE),
+    "collapse_once": _tree_sql(BVH, _COLLAPSE, _WIDE),
+    "check_sanity": _tree_sql(HYBRID, "SELECT count(*) FILTER (WHERE (coalesce(n_children, 0) > 0) = (n_prims > 0)) AS both_or_neither, count(*) FILTER (WHERE is_leaf AND n_prims > 1 AND depth < 5) AS unsplit, count(*) FILTER (WHERE depth > 5) AS too_deep FROM kept LEFT JOIN counts USING (depth, path)", _WIDE),
     "export_nodes": _tree_sql(OCTREE, f"SELECT row_number() OVER (ORDER BY path << (3 * (4 - depth))::BIGINT, depth) - 1 AS position, {B} FROM nodes"),
-    "empty_cells": _tree_sql(OCTREE, "SELECT depth, path FROM nodes WHERE is_leaf AND n_prims = 0", _SPARSE),
+    "empty_cells": _tree_sql(OCTREE, "SELECT depth, path FROM nodes WHERE is_leaf AND n_prims = 0", _WIDE),
     "spatial_join": f"WITH {BOXES} SELECT a.prim_id AS left_id, b.prim_id AS right_id FROM boxes a JOIN boxes b ON a.prim_id < b.prim_id AND {' AND '.join(f'a.min_{x} <= b.max_{x} AND a.max_{x} >= b.min_{x}' for x in 'xyz')}",
     "morton_code": f"WITH {TRI}, {BOUNDS}, {MORTON} SELECT triangle_id, morton FROM codes",
     "morton_order": f"WITH {TRI}, {BOUNDS}, {MORTON} SELECT triangle_id, pos AS position FROM leaves",

@@ -15,7 +15,7 @@ from .oracles import ORACLE_SQL
 from .plans import schedule as plan
 from .plans.schedule import LevelConfig
 from .sources.scratch import settle
-from .sources.tables import BOX_SCENE, boxes, meshes, table, triangles, vertices
+from .sources.tables import BOX_SCENE, TRIANGLE_SCENE, boxes, meshes, table, triangles, vertices
 from .sources.tables import rays as ray_table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -30,6 +30,7 @@ SCHEDULES = {
 }
 CAMERA, SAMPLES = Camera(eye=(120.0, 50.0, 48.0), look_at=(20.0, 50.0, 48.0), far=120.0), 4
 QUERY_BOX = (8.0, 2.0, 2.0, 32.0, 10.0, 12.0)
+WIDE_SCENE = (-64.0, -128.0, -16.0, 448.0, 128.0, 112.0)
 RAY_BOX = (10.0, 10.0, 10.0, 50.0, 60.0, 70.0)
 MATRIX = ((0.0, -2.0, 0.0, 1.0), (1.0, 0.0, 0.0, -3.0), (0.0, 0.5, -1.0, 2.0))
 NODE_COLUMNS = ("depth", "path", "cls", *BOX, "n_prims", "is_leaf")
@@ -49,8 +50,8 @@ def _tree(spark, sf_dir, name):
 
 
 def _sparse_tree(spark, sf_dir, name):
-    """A tree of the boxes that touch the query box only: most of the scene's cells stay empty."""
-    nodes, prims = trees.build(box_ops.overlapping(boxes(spark, sf_dir), QUERY_BOX), BOX_SCENE, SCHEDULES[name])
+    """A tree of all boxes in a scene that is larger than they need: most of its cells stay empty."""
+    nodes, prims = trees.build(boxes(spark, sf_dir), WIDE_SCENE, SCHEDULES[name])
     return settle(nodes), settle(prims)
 
 
@@ -115,7 +116,11 @@ def external_miss0(spark, sf_dir):
 
 def ray_any_hit(spark, sf_dir):
     r, t = _hits(spark, sf_dir)
-    return r.join(rays.triangle_hits(r, t), "ray_id", "left_semi").select("ray_id")
+    return rays.nearest_indexed(r, t).select("ray_id")
+
+
+def _ray_tree_query(name):
+    return lambda spark, sf_dir: rays.nearest_through_tree(*_hits(spark, sf_dir), SCHEDULES[name], TRIANGLE_SCENE)
 
 
 def _image(spark, sf_dir):
@@ -184,6 +189,7 @@ QUERIES = {
     "ray_triangle_hits": lambda s, d: rays.triangle_hits(*_hits(s, d)),
     "ray_query_bruteforce": lambda s, d: rays.nearest_bruteforce(*_hits(s, d)),
     "ray_query_indexed": lambda s, d: rays.nearest_indexed(*_hits(s, d)),
+    **{f"ray_query_{name}": _ray_tree_query(name) for name in SCHEDULES if name != "custom_split"},
     "ray_query_external_miss0": external_miss0,
     "ray_any_hit": ray_any_hit,
     "depth_image": _image,
@@ -195,6 +201,7 @@ QUERIES = {
     "kd_split_plane": kd_split_plane,
     "tree_stats": lambda s, d: trees.stats(*_tree(s, d, "tree_octree"), 4),
     "remove_empty": lambda s, d: trees.remove_empty(_sparse_tree(s, d, "tree_kdtree")[0]).select("depth", "path", "n_prims", "is_leaf"),
+    "removed_count": lambda s, d: trees.removed_count(_sparse_tree(s, d, "tree_octree")[0]),
     "collapse_once": lambda s, d: trees.collapse_once(trees.remove_empty(_sparse_tree(s, d, "tree_bvh")[0])).select("depth", "path", "level", "n_prims"),
     "check_sanity": lambda s, d: trees.sanity_violations(trees.remove_empty(_sparse_tree(s, d, "tree_hybrid")[0]), 5),
     "export_nodes": export_nodes,

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """A folder in ``spark.checkpoint.dir``, or in a temporary one where that is unset (tests)."""
+    """A folder that all executors share: in ``spark.checkpoint.dir``, or, in local mode only, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.gettempdir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="octaray-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("spark.checkpoint.dir is not set: the cluster's machines need a shared folder for intermediate tables")
     return f"{folder.rstrip('/')}/octaray-{spark.sparkContext.applicationId}"
 
 

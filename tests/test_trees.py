@@ -143,9 +143,19 @@ def test_indexed_rays_equal_bruteforce(spark):
     tri = some_triangles(spark, 250).unionByName(some_triangles(spark, 1, 8).withColumn("triangle_id", F.lit(900).cast("long")))
     want = sorted(map(tuple, rays.nearest_bruteforce(r, tri).collect()))
     assert want and sorted(map(tuple, rays.nearest_indexed(r, tri).collect())) == want
+    for configs in ([plan.LevelConfig("kdtree", 4)], [plan.LevelConfig("quadtree", 1), plan.LevelConfig("octree", 2)]):
+        assert sorted(map(tuple, rays.nearest_through_tree(r, tri, configs).collect())) == want
 
 
 def test_planar_scene_is_hit_through_the_index(spark):
     tri = spark.createDataFrame([(1, 0.0, 0.0, 5.0, 4.0, 0.0, 5.0, 0.0, 4.0, 5.0)], TRI)
     r = spark.createDataFrame([(7, 1.0, 1.0, 0.0, 0.0, 0.0, 1.0)], "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double")
     assert [tuple(x) for x in rays.nearest_indexed(r, tri).collect()] == [(7, 5.0, 1)]
+    assert [tuple(x) for x in rays.nearest_through_tree(r, tri, [plan.LevelConfig("octree", 2)]).collect()] == [(7, 5.0, 1)]
+
+
+def test_rays_without_triangles(spark):
+    r = spark.createDataFrame([(7, 1.0, 1.0, 0.0, 0.0, 0.0, 1.0)], "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double")
+    none = spark.createDataFrame([], TRI)
+    for found in (rays.nearest_bruteforce(r, none), rays.nearest_indexed(r, none), rays.nearest_through_tree(r, none, [plan.LevelConfig("octree", 2)])):
+        assert found.count() == 0
