@@ -8,6 +8,7 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
+KEPT = 1 << 22
 _TABLES: dict[int, np.ndarray] = {}
 
 
@@ -18,7 +19,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64, by doubling; kept for the next call."""
+    """base^0 .. base^(n-1) modulo 2^64, by doubling; up to KEPT of them stay for the next call."""
     out = _TABLES.get(base)
     if out is None or len(out) < n:
         out = np.ones(max(n, 1 << 16), dtype=np.uint64)
@@ -27,7 +28,8 @@ def _powers(base: int, n: int) -> np.ndarray:
             more = min(have, len(out) - have)
             out[have : have + more] = out[:more] * np.uint64(pow(base, have, 1 << 64))
             have += more
-        _TABLES[base] = out
+        if len(out) <= KEPT:
+            _TABLES[base] = out
     return out[:n]
 
 

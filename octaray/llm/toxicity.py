@@ -20,6 +20,7 @@ rows score alike; an empty table gives no rows; extra columns are kept by ``scor
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter, defaultdict
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, read_table, settle
+from .common import byte_slices, crc_mod, read_table, settle
 from .mixing import shuffle_key
 
 MAX_TOXIC, MAX_CLEAN = 8000, 24000
@@ -46,7 +47,17 @@ EDGE_LEFT, EDGE_RIGHT = "\"'([{<.,;:?%&#*-_~", "\"')]}>.,;:?%&#*-_~!$+"
 SPACED = re.compile(r"(?<!\S)(?:[^\W_][ \t]){2,}[^\W_](?!\S)")
 ODD = re.compile(rf"[^\W\d_].*[0-9{re.escape(''.join(LEET) + WILD)}]|[{re.escape(''.join(LEET) + WILD)}].*[^\W\d_]|([^\W\d_])\1\1|^(?:[^\W_][ \t{re.escape(SEPARATORS)}]){{2,}}[^\W_]$|[​-‍­]")
 PREFIXES = (4, 5, 6)
-CACHE_TOKENS = 300_000
+#: Tokens and features that a reader keeps; it starts anew when it is full.
+CACHE_ENTRIES = 300_000
+#: Texts are looked at in slices of about so many bytes, so that a worker's memory does not follow its batch.
+SLICE_BYTES = 1_000_000
+
+
+def _text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]]:
+    """The texts of one-column batches, about SLICE_BYTES at a time."""
+    for batch in batches:
+        for part in byte_slices(batch.select([0, 0]), SLICE_BYTES):
+            yield part.column(0).to_pylist()
 
 
 def class_table() -> np.ndarray:
@@ -62,11 +73,14 @@ def count_characters(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     def count(batches):
         table, total = class_table(), np.zeros(CLASSES**4, dtype=np.int64)
-        for batch in batches:
-            joined = ("\n" * 3).join(x for x in batch.column(0).to_pylist() if x)
-            code = table[np.frombuffer(("\n" * 3 + joined + "\n").encode(), dtype=np.uint8)]
-            gram = ((code[:-3] * CLASSES + code[1:-2]) * CLASSES + code[2:-1]) * CLASSES + code[3:]
-            total += np.bincount(gram, minlength=len(total))
+        for texts in _text_slices(batches):
+            joined = ("\n" * 3).join(x for x in texts if x)
+            data = np.frombuffer(("\n" * 3 + joined + "\n").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+            # A single long text is still many windows, which overlap by three characters.
+            for at in range(0, len(data) - 3, SLICE_BYTES):
+                code = table[data[at : at + SLICE_BYTES + 3]]
+                gram = ((code[:-3] * CLASSES + code[1:-2]) * CLASSES + code[2:-1]) * CLASSES + code[3:]
+                total += np.bincount(gram, minlength=len(total))
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], names=["gram", "n"])
 
@@ -138,7 +152,7 @@ class Reader:
     """Features of texts. Readings of tokens are kept, as a cache that is emptied when it is full."""
 
     def __init__(self, model: np.ndarray, wanted: dict[str, int] | None = None):
-        self.model, self.wanted, self.known = model, wanted, {}
+        self.model, self.wanted, self.known, self.held = model, wanted, {}, 0
         self.classes = {c: i + 1 for i, c in enumerate(LETTERS)}
 
     def token(self, token: str) -> tuple:
@@ -151,9 +165,11 @@ class Reader:
                     found += word_features(word)
             wanted = self.wanted
             got = tuple(found) if wanted is None else tuple(wanted[f] for f in found if f in wanted)
-            if len(self.known) >= CACHE_TOKENS:
+            if self.held >= CACHE_ENTRIES:
                 self.known.clear()
+                self.held = 0
             self.known[token] = got
+            self.held += 1 + len(got)
         return got
 
     def text(self, text: str | None) -> set:
@@ -180,6 +196,35 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clea
     return docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", "toxic")
 
 
+def covering(held: list[list[int]], cost: list[int], names: list[str], least: int = 3) -> tuple[list[int], int]:
+    """(features kept, documents that none of them explains).
+
+    The feature that explains most documents not yet explained, less its cost, is kept, until that is below ``least``.
+    Gains only fall, so a feature is looked at again only when it leads the queue.
+    """
+    covers: dict[int, list[int]] = defaultdict(list)
+    for doc, features in enumerate(held):
+        for f in features:
+            covers[f].append(doc)
+    ranked = sorted(covers, key=lambda f: (len(covers[f]), -len(names[f]), names[f]), reverse=True)
+    queue = [(cost[f] - len(covers[f]), rank) for rank, f in enumerate(ranked)]
+    heapq.heapify(queue)
+    left, kept = set(range(len(held))), []
+    while queue:
+        loss, rank = queue[0]
+        f = ranked[rank]
+        now = cost[f] - sum(doc in left for doc in covers[f])
+        if now > loss:
+            heapq.heapreplace(queue, (now, rank))
+            continue
+        if -now < least:
+            break
+        heapq.heappop(queue)
+        kept.append(f)
+        left.difference_update(covers[f])
+    return kept, len(left)
+
+
 def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, fold=lambda doc_id: F.lit(True)) -> dict:
     """The model: character model, features with precisions, and the base rate."""
     spark = docs.sparkSession
@@ -195,8 +240,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     def counted(wanted):
         def count(batches):
             reader, total = Reader(chars.value, wanted and wanted.value), Counter()
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
+            for texts in _text_slices(batches):
+                for text in texts:
                     total.update(reader.text(text))
             features, n = list(total.keys()), list(total.values())
             for at in range(0, len(features), 50_000):
@@ -221,26 +266,15 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
 
     def shown(batches):
         reader = Reader(chars.value, chosen.value)
-        for batch in batches:
-            held = [sorted(reader.text(t)) for t in batch.column(0).to_pylist()]
+        for texts in _text_slices(batches):
+            held = [sorted(reader.text(t)) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32()))], names=["held"])
 
     held = sample.filter("toxic = 1").select("text").mapInArrow(shown, "held array<int>").toPandas()["held"]
-    covers: dict[int, set[int]] = defaultdict(set)
-    for doc, features in enumerate(held):
-        for f in features:
-            covers[int(f)].add(doc)
-    left, kept = set(range(len(held))), []
-    while covers:
-        f = max(covers, key=lambda k: (len(covers[k] & left) - 2 * n0[good[k]], len(covers[k]), -len(names[k]), names[k]))
-        gain = len(covers.pop(f) & left)
-        if gain - 2 * n0[good[f]] < 3:
-            break
-        kept.append(f)
-        left -= set(np.flatnonzero([f in set(x) for x in held]).tolist())
+    kept, left = covering([list(map(int, x)) for x in held], [2 * int(n0[g]) for g in good], names)
     model["features"] = {names[f]: i for i, f in enumerate(kept)}
     model["precision"] = [float((n1[good[f]] + 0.5) / (n1[good[f]] + n0[good[f]] + 1)) for f in kept]
-    model["base"] = min(0.5, (len(left) + 0.5) / (len(left) + n_clean + 1))
+    model["base"] = min(0.5, (left + 0.5) / (left + n_clean + 1))
     return model
 
 
