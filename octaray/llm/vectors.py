@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(df: DataFrame, vector: str) -> DataFrame:
-    """Rows whose vector is neither null, empty nor zero and holds no null or non-finite component."""
+def is_usable(vector: str) -> Column:
+    """The vector is neither null, empty nor zero and holds no null or non-finite component."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return df.filter(F.col(vector).isNotNull() & (F.size(vector) > 0)).filter(~bad & F.exists(vector, lambda x: x != 0))
+    held = F.col(vector).isNotNull() & (F.size(vector) > 0)
+    return F.coalesce(F.when(held, ~bad & F.exists(vector, lambda x: x != 0)), F.lit(False))
+
+
+def usable(df: DataFrame, vector: str) -> DataFrame:
+    return df.filter(is_usable(vector))
 
 
 def matrix(column: pd.Series, dtype=np.float64) -> np.ndarray:

@@ -52,10 +52,37 @@ def test_beams_widen_until_the_audit_passes():
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     u = np.unique(u, axis=0)
     graph = hnsw.Graph(u)
-    q, v = hnsw.linked(graph, u, u, 0.9, 1)
-    true = {tuple(p) for p in np.argwhere(u @ u.T >= 0.9).tolist()}
-    found = set(zip(q.tolist(), v.tolist(), strict=True))
-    assert found <= true and len(found) >= 0.999 * len(true)
+    ids = np.arange(len(u))
+    links = hnsw.Links(ids, ids, np.ones(len(u)))
+    asked, got = hnsw.find_links(graph, u, u, 0.9, 1, links)
+    true = u @ u.T >= 0.9
+    np.fill_diagonal(true, False)
+    assert asked > 0 and got >= 0.995 * asked
+    assert (links.weight <= true.sum(axis=1)).all() and links.weight.sum() >= 0.999 * true.sum()
+    assert sum(len(e[0]) for e in links.edges) < len(u)
+
+
+def test_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, None), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (None, [1.0, 0.0]), (2, [1.0, 0.01])]
+    got = hnsw.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, 2, 1, True), (1, 0, 1, True), (1, 0, 1, True), (2, 2, 1, False), (2, 2, 1, False), (None, 0, None, True)]))
+
+
+def test_a_shard_of_near_copies_stays_small():
+    """Pairs go with the square of the group, memory does not."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    u = rng.normal(size=16) + rng.normal(size=(4000, 16)) * 0.02
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    graph, ids = hnsw.Graph(u), np.arange(len(u))
+    links = hnsw.Links(ids, ids, np.ones(len(u)))
+    tracemalloc.start()
+    hnsw.find_links(graph, u, u, 0.9, 1, links)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (links.weight == len(u) - 1).all() and sum(len(e[0]) for e in links.edges) == len(u) - 1
+    assert peak < 250_000_000
 
 
 def test_no_vectors(spark):
