@@ -1,10 +1,10 @@
 """Secret scans: a trigram inverted index selects the documents on which each rule's regular expression runs.
 
 Every rule's expression is analysed into a Boolean query over trigrams, in disjunctive form: a document can hold a
-match only if, for one of the alternatives, it holds all of its trigrams. Postings are kept document-major, as the
-array of those of the rules' trigrams that a document holds, so that intersecting them needs no shuffle;
-``trigram_postings`` gives the trigram-major view. Candidates are verified by the expression itself, and rules without
-mandatory trigrams (runs of hexadecimal digits) run on every document. All of it is SQL expressions.
+match only if, for one of the alternatives, it holds all of its trigrams. One pass over the texts gives the postings of
+the rules' trigrams, (trigram, document); the queries intersect them, and the candidates, a table of its own whose size
+Spark knows, are joined back and verified by the expressions themselves. Rules without mandatory trigrams (runs of
+hexadecimal digits) run on every document. All of it is SQL expressions.
 
 Cases: a null or empty text has no spans; texts are scanned whole, whatever their length; repeated rows give equal
 results; spans of different rules may overlap and are ordered by start, then rule; an empty table gives no rows; extra
@@ -21,7 +21,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import free_name, read_table, settle
 
 _parser = re._parser
 MARK = "\x01"
@@ -119,29 +119,72 @@ def query_trigrams(rules=RULES) -> list[str]:
     return sorted({t for r in rules for q in trigram_query(r.pattern) for t in q})
 
 
-def with_postings(docs: DataFrame, text: Column, rules=RULES) -> DataFrame:
-    """``docs`` with ``_postings``: of the rules' trigrams, those that the text holds (its letters in lower case).
+def _any_trigram(trigrams: list[str]) -> str:
+    """An expression that finds, at every place of a text, which of the trigrams begins there (group 1)."""
+    tree: dict[str, dict[str, list[str]]] = {}
+    for a, b, c in trigrams:
+        tree.setdefault(a, {}).setdefault(b, []).append(c)
 
-    The lower-case text is a column of its own first, so that it is made once and not once for each trigram.
-    """
-    held = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(t)), F.lit(t)) for t in query_trigrams(rules)]))
-    return docs.withColumn("_low", F.lower(text)).withColumn("_postings", held).drop("_low")
+    def either(parts: list[str]) -> str:
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return f"(?=({either([re.escape(a) + either([re.escape(b) + either([re.escape(c) for c in last]) for b, last in rest.items()]) for a, rest in tree.items()])}))"
 
 
 def trigram_postings(docs: DataFrame, key: str = "doc_id", text: str = "text", rules=RULES) -> DataFrame:
-    """(trigram, key): the trigram-major view, to be stored beside a corpus that is scanned often."""
-    return with_postings(docs.select(key, text), F.col(text), rules).select(F.explode("_postings").alias("trigram"), key)
+    """(trigram, key): the postings of the rules' trigrams, letters in lower case. One pass over each text."""
+    trigrams = query_trigrams(rules)
+    if not trigrams:
+        return docs.select(F.lit("").alias("trigram"), key).limit(0)
+    held = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_any_trigram(trigrams)), F.lit(1)))
+    return docs.select(F.explode(held).alias("trigram"), key)
+
 
+def candidates(postings: DataFrame, key: str = "doc_id", rules=RULES) -> DataFrame:
+    """(key, rule_kinds): of the rules with mandatory trigrams, those whose Boolean query the key's postings satisfy.
 
-def _candidate(rule: SecretRule, postings: Column) -> Column | None:
-    """None: the rule runs on every document."""
+    A query's alternatives are conjunctions. Every posting sets its bit in the alternatives that ask for its trigram,
+    and an alternative is met where all its bits come together.
+    """
+    places: dict[str, list[Column]] = {}
+    number = 0
+    for rule in rules:
+        for q in trigram_query(rule.pattern) if _mandatory(rule) else []:
+            for i, t in enumerate(sorted(q)):
+                # The widest alternative has far fewer trigrams than a long has bits.
+                place = F.struct(F.lit(number).alias("part"), F.lit(rule.kind).alias("kind"), F.lit(1 << i).cast("long").alias("bit"), F.lit((1 << len(q)) - 1).cast("long").alias("whole"))
+                places.setdefault(t, []).append(place)
+            number += 1
+    if not places:
+        return postings.select(key, F.array().cast("array<string>").alias("rule_kinds")).limit(0)
+    index = F.create_map(*[x for t, held in places.items() for x in (F.lit(t), F.array(*held))])
+    hits = postings.select(key, F.inline(F.element_at(index, F.col("trigram"))))
+    met = hits.groupBy(key, "part", "kind", "whole").agg(F.bit_or("bit").alias("bits")).filter("bits = whole")
+    return met.groupBy(key).agg(F.collect_set("kind").alias("rule_kinds"))  # at most one entry for each rule
+
+
+def _mandatory(rule: SecretRule) -> bool:
+    """Whether every match holds some trigram; if not, the rule runs on every document."""
     query = trigram_query(rule.pattern)
-    if not query or any(not q for q in query):
-        return None
-    found = F.lit(False)
-    for q in query:
-        found = found | (F.size(F.array_intersect(postings, F.lit(sorted(q)))) == len(q))
-    return found
+    return bool(query) and all(query)
+
+
+def _with_candidates(docs: DataFrame, text: str, rules) -> tuple[DataFrame, str, str]:
+    """``docs`` with the kinds of the rules that they are candidates of; the names of the helper columns.
+
+    Postings are keyed by a hash of the row: rows of equal hash share their postings, which only adds candidates.
+    """
+    key, kinds = free_name(docs, "posting_key"), free_name(docs, "rule_kinds")
+    plain = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    keyed = docs.withColumn(key, F.xxhash64(*plain))
+    found = settle(candidates(trigram_postings(keyed, key, text, rules), key, rules))
+    return keyed.join(found.withColumnRenamed("rule_kinds", kinds), key, "left"), key, kinds
+
+
+def _runs(rule: SecretRule, text: Column, kinds: str) -> Column:
+    """Whether a rule's expression runs on a text."""
+    gate = F.regexp_like(text, F.lit(_gate(rule)))
+    return F.coalesce(F.array_contains(kinds, rule.kind), F.lit(False)) & gate if _mandatory(rule) else gate
 
 
 def _gate(rule: SecretRule) -> str:
@@ -170,7 +213,7 @@ def _kept(match: Column, rule: SecretRule) -> Column:
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
-def _spans(text: Column, rule: SecretRule, rank: int, postings: Column) -> Column:
+def _spans(text: Column, rule: SecretRule, rank: int, kinds: str) -> Column:
     """Leftmost non-overlapping matches of one rule, in code points."""
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(False).alias("hit"), F.lit([]).cast(SPAN).alias("spans"))
 
@@ -181,29 +224,24 @@ def _spans(text: Column, rule: SecretRule, rank: int, postings: Column) -> Colum
         return F.struct(end.alias("at"), (~state["hit"]).alias("hit"), spans.cast(SPAN).alias("spans"))
 
     found = F.aggregate(_pieces(text, rule), zero, step)["spans"]
-    runs = F.regexp_like(text, F.lit(_gate(rule)))
-    candidate = _candidate(rule, postings)
-    return F.when(runs if candidate is None else candidate & runs, found).otherwise(F.lit([]).cast(SPAN))
+    return F.when(_runs(rule, text, kinds), found).otherwise(F.lit([]).cast(SPAN))
 
 
 def find_secrets(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """``docs`` with ``secret_spans``: structs of start, rank, end and kind, ordered by start, then rule."""
+    out, key, kinds = _with_candidates(docs, text, rules)
     whole = F.coalesce(F.col(text), F.lit(""))
-    out = with_postings(docs, whole, rules)
-    spans = [_spans(whole, r, k, F.col("_postings")) for k, r in enumerate(rules)]
-    return out.withColumn("secret_spans", F.array_sort(F.concat(*spans))).drop("_postings")
+    spans = [_spans(whole, r, k, kinds) for k, r in enumerate(rules)]
+    return out.withColumn("secret_spans", F.array_sort(F.concat(*spans))).drop(key, kinds)
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", rules=RULES, mask: str = "<{} removed>") -> DataFrame:
     """``docs`` with every kept match replaced, rule by rule; a null text stays null."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    out = with_postings(docs, whole, rules)
+    out, key, kinds = _with_candidates(docs, text, rules)
     for rule in rules:
         parts = _masked(_pieces(F.col(text), rule), rule, F.lit(mask.format(rule.kind)))
-        candidate = _candidate(rule, F.col("_postings"))
-        runs = F.regexp_like(F.col(text), F.lit(_gate(rule)))
-        out = out.withColumn(text, F.when(runs if candidate is None else candidate & runs, F.array_join(parts, "")).otherwise(F.col(text)))
-    return out.drop("_postings")
+        out = out.withColumn(text, F.when(_runs(rule, F.col(text), kinds), F.array_join(parts, "")).otherwise(F.col(text)))
+    return out.select(*docs.columns)
 
 
 def _masked(pieces: Column, rule: SecretRule, mask: Column) -> Column:
