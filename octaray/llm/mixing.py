@@ -11,7 +11,7 @@ buckets. The cut is found through a histogram of finish times whose number of ce
 
 Cases: a null text is empty and has size 0; documents of size 0 take nothing; a null source is a source of its own;
 a null id is ordered first; repeated rows are mixed as separate documents; an empty table gives no rows; extra columns
-are not read. Equal finish times are ordered by source, shuffle key and id.
+are not read (``take`` keeps them). Equal finish times are ordered by source, shuffle key and id.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, read_table, settle
+from .common import WORD, free_name, read_table, settle
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -58,11 +58,13 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EP
     return level.select("source", "source_size", "rows", "rank", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = (), weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken and the columns of ``carry`` (as ``carry_<name>``), one row per document."""
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    held = [F.col(c).alias(f"carry_{c}") for c in carry]
-    sized = settle(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), size.alias("size"), shuffle_key(F.col(doc_id), seed).alias("h"), *held))
+def words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """doc_id, source, size, h (shuffle key), source_size, target, copies and taken, one row per document."""
+    sized = settle(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), shuffle_key(F.col(doc_id), seed).alias("h")))
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     targets = settle(source_targets(per_source, weights, max_epochs))
     placed = sized.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
@@ -72,7 +74,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     sums = sums.select("rank", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("rank", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     ended = placed.join(sums, ["rank", "bucket"]).withColumn("end", F.col("base") + F.sum("size").over(inside))
-    ended = settle(ended.select("doc_id", "size", "source_size", "target", "rank", "h", "end", *[f"carry_{c}" for c in carry]))
+    ended = settle(ended.select("doc_id", "source", "size", "source_size", "target", "rank", "h", "end"))
 
     total, rows = ended.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     cells = max(1, -(-rows // rows_per_bucket))
@@ -97,7 +99,27 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
                 fits = fits | (one["cell"] == cell) & (_key(one) <= _key({k: F.lit(last[0][k]) for k in ("finish", "rank", "h", "id")}))
             taken = taken + fits.cast("int")
     out = ended.withColumn("copies", F.when(F.col("size") > 0, taken).otherwise(0))
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *[f"carry_{c}" for c in carry])
+    return out.select("doc_id", "source", "size", "h", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def take(docs: DataFrame, out: str, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
+    """``docs`` with the number of copies that the mix takes of each in ``out``, without a shuffle of the texts.
+
+    In a source's shuffled order, the documents up to some point are taken once more than those after it: that point,
+    one row for each source, is all that the documents are joined with. Rows of one id and size that lie on the point
+    together are all taken the smaller number of times.
+    """
+    key = F.struct(F.col("h").alias("h"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.col("size").alias("size"))
+    mixed = mix(docs, doc_id, text, source, seed=seed).filter("size > 0")
+    points = mixed.groupBy("source").agg(F.max(F.struct("copies", key.alias("key"))).alias("most"), F.min(F.struct("copies", key.alias("key"))).alias("fewest"))
+    point, from_ = free_name(docs, "point"), free_name(docs, "point_source")
+    points = settle(points.select(F.col("source").alias(from_), F.struct("most", "fewest").alias(point)))
+    joined = docs.join(points, F.col(source).eqNullSafe(F.col(from_)), "left")
+    own = F.struct(shuffle_key(F.col(doc_id), seed).alias("h"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("id"), words(F.col(text)).alias("size"))
+    most, fewest = F.col(point)["most"], F.col(point)["fewest"]
+    early = (most["copies"] == fewest["copies"]) | (own < most["key"]) | (own == most["key"]) & (most["key"] != fewest["key"])
+    copies = F.when(words(F.col(text)) == 0, 0).when(early, most["copies"]).otherwise(fewest["copies"])
+    return joined.withColumn(out, F.coalesce(copies, F.lit(0))).drop(point, from_)
 
 
 def _copy(epoch: int, cells: int) -> Column:
