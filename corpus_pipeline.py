@@ -16,15 +16,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold go. Null and empty texts stay."""
     labels = common.read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.learn(docs.select("doc_id", "text"), labels, fold=lambda doc_id: common.crc_mod(doc_id, 3) != 1)
-    scored = toxicity.score_texts(docs, model, out="_toxicity")
-    return scored.filter(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
+    score = common.free_name(docs, "toxicity_score")
+    return toxicity.score_texts(docs, model, out=score).filter(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component stays, once. Rows with a null id stay."""
-    gone = neardup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    left = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return left.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """One row of each component stays: of its smallest id, the text of smallest hash. Texts without words and rows with a null id stay.
+
+    Rows equal in id and text are one document, of which one row stays.
+    """
+    mark = F.xxhash64("text")
+    judged = neardup.near_duplicates(docs, mark=mark.cast("string")).filter("doc_id IS NOT NULL")
+    own, hashed = common.free_name(docs, "judged_id"), common.free_name(docs, "text_hash")
+    judged = judged.groupBy(F.col("doc_id").alias(own), F.col("mark").cast("long").alias(hashed)).agg(F.bool_and("first").alias("first"), F.count("*").alias("n"))
+    gone, repeated = (common.settle(judged.filter(c).select(own, hashed)) for c in ("NOT first", "first AND n > 1"))
+    rows = docs.withColumn(own, F.col("doc_id").cast("long")).withColumn(hashed, mark)
+    left = rows.join(gone, [own, hashed], "left_anti")
+    single, several = left.join(repeated, [own, hashed], "left_anti"), left.join(repeated, [own, hashed], "left_semi")
+    return single.unionByName(several.dropDuplicates([own, hashed])).select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +44,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it (0 to 3 times). Documents without words are not taken."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    mixed = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return mixed.select(*docs.columns)
+    many = common.free_name(docs, "copies")
+    taken = mixing.take(docs, many).filter(F.col(many) > 0)
+    return taken.withColumn(many, F.explode(F.sequence(F.lit(1), many))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
