@@ -28,12 +28,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     mark = F.xxhash64("text")
     judged = neardup.near_duplicates(docs, mark=mark.cast("string")).filter("doc_id IS NOT NULL")
     own, hashed = common.free_name(docs, "judged_id"), common.free_name(docs, "text_hash")
-    judged = judged.groupBy(F.col("doc_id").alias(own), F.col("mark").cast("long").alias(hashed)).agg(F.bool_and("first").alias("first"), F.count("*").alias("n"))
-    gone, repeated = (common.settle(judged.filter(c).select(own, hashed)) for c in ("NOT first", "first AND n > 1"))
+    judged = judged.groupBy(F.col("doc_id").alias(own), F.col("mark").cast("long").alias(hashed)).agg(F.bool_and("first").alias("first"), F.count("*").alias("_n"))
+    told = common.settle(judged.filter("NOT first OR _n > 1"))
     rows = docs.withColumn(own, F.col("doc_id").cast("long")).withColumn(hashed, mark)
-    left = rows.join(gone, [own, hashed], "left_anti")
-    single, several = left.join(repeated, [own, hashed], "left_anti"), left.join(repeated, [own, hashed], "left_semi")
-    return single.unionByName(several.dropDuplicates([own, hashed])).select(*docs.columns)
+    # One shuffle of the texts at every size: the table of decisions grows with the documents.
+    left = common.spread_join(rows, told.select(own, hashed).hint("merge"), [own, hashed], "left_anti", counts=told)
+    several = told.filter("first").select(own, hashed)
+    if not several.isEmpty():
+        left = left.unionByName(rows.join(several, [own, hashed], "left_semi").dropDuplicates([own, hashed]))
+    return left.select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
