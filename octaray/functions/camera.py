@@ -113,16 +113,20 @@ class Camera:
         return self._orbit(self.axes()[0], angle)
 
     def pan(self, angle: float) -> Camera:
+        """Turned about the vertical axis, the up vector too."""
         if self.planar:
             return self
-        return replace(self, look_at=_plus(self.eye, _turned(_sub(self.look_at, self.eye), (0.0, 1.0, 0.0), angle)))
+        vertical = (0.0, 1.0, 0.0)
+        ahead = _turned(_sub(self.look_at, self.eye), vertical, angle)
+        return replace(self, look_at=_plus(self.eye, ahead), up=_turned(self.axes()[1], vertical, angle))
 
     def tilt(self, angle: float) -> Camera:
-        """Blocked where the view would come within a degree of the poles."""
-        ahead = _turned(_sub(self.look_at, self.eye), self.axes()[0], angle)
-        if self.planar or abs(_unit(ahead)[1]) > math.cos(math.radians(1)):
+        """Turned about the right axis; blocked where that would leave less than the step to a pole."""
+        u, v, n = self.axes()
+        to_pole = math.acos(max(-1.0, min(1.0, _turned(n, u, angle)[1])))
+        if self.planar or min(to_pole, math.pi - to_pole) < angle:
             return self
-        return replace(self, look_at=_plus(self.eye, ahead))
+        return replace(self, look_at=_plus(self.eye, _turned(_sub(self.look_at, self.eye), u, angle)), up=_turned(v, u, angle))
 
     def zoom(self, speed: float) -> Camera:
         if self.orthographic:

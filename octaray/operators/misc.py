@@ -44,7 +44,7 @@ def to_sphere(points: DataFrame, key: str, radius: float, distance_squared: floa
 
 
 def format_duration(nanos: Column) -> Column:
-    """570ps, 1.050ns, 12.026ms, 1.025s, 5:03.450, 7:05:03, 2 days, 7:05:03. Not positive: null."""
+    """Picoseconds whole, up to seconds with three decimals (31ps, 4.200us), then 1:02.003, 4:00:09 and 3 days, 4:00:09. Not positive: null."""
     whole = nanos.cast("double")
 
     def part(unit: float, size: float) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import BOX, center, corners, length, morton, triangle_bounds, triangle_cross
@@ -74,16 +76,22 @@ def area_cdf(tri: DataFrame) -> DataFrame:
     return run.join(F.broadcast(total)).select("triangle_id", F.round(F.col("running") / F.nullif("total", F.lit(0.0)), 6).alias("cdf"))  # one row
 
 
+def _affine(row: tuple[float, float, float, float]) -> Column:
+    """One coordinate of a point times a matrix row; zero coefficients are left out."""
+    terms = [F.col(x) * k for x, k in zip("xyz", row, strict=False) if k]
+    return reduce(lambda a, b: a + b, [*terms, F.lit(float(row[3]))])
+
+
 def flatten(models: list[tuple[DataFrame, DataFrame, tuple]]) -> tuple[DataFrame, DataFrame]:
-    """(vertex, tri_index) of all models' (vertex, index, (scale, shift)) in one id space.
+    """(vertex, tri_index) of all models' (vertex, index, matrix) in one id space.
 
-    Positions go through the model's matrix (here scale and translation); each model's ids move behind those before it.
+    Positions go through the model's matrix, its three rows of four (normals are not touched); each model's ids move behind those before it.
     """
     vertex = index = None
     base_v = base_t = 0
-    for k, (v, i, (scale, shift)) in enumerate(models):
+    for k, (v, i, matrix) in enumerate(models):
         nv, nt = v.count(), i.count()
-        moved = v.select((F.col("vertex_id") + base_v).alias("vertex_id"), F.lit(k).alias("model_id"), *[(F.col(x) * scale + s).alias(x) for x, s in zip("xyz", shift, strict=True)])
+        moved = v.select((F.col("vertex_id") + base_v).alias("vertex_id"), F.lit(k).alias("model_id"), *[_affine(row).alias(x) for x, row in zip("xyz", matrix, strict=True)])
         rebased = i.select((F.col("triangle_id") + base_t).alias("triangle_id"), *[(F.col(c) + base_v).alias(c) for c in ("i0", "i1", "i2")])
         vertex = moved if vertex is None else vertex.unionByName(moved)
         index = rebased if index is None else index.unionByName(rebased)

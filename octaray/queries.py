@@ -33,6 +33,8 @@ QUERY_BOX = (8.0, 2.0, 2.0, 32.0, 10.0, 12.0)
 WIDE_SCENE = (-64.0, -128.0, -16.0, 448.0, 128.0, 112.0)
 RAY_BOX = (10.0, 10.0, 10.0, 50.0, 60.0, 70.0)
 MATRIX = ((0.0, -2.0, 0.0, 1.0), (1.0, 0.0, 0.0, -3.0), (0.0, 0.5, -1.0, 2.0))
+UNIT = ((1.0, 0.0, 0.0, 0.0), (0.0, 1.0, 0.0, 0.0), (0.0, 0.0, 1.0, 0.0))
+HALF = ((0.5, 0.0, 0.0, 10.0), (0.0, 0.5, 0.0, 20.0), (0.0, 0.0, 0.5, 30.0))
 NODE_COLUMNS = ("depth", "path", "cls", *BOX, "n_prims", "is_leaf")
 
 
@@ -95,7 +97,7 @@ def mesh_aabb(spark, sf_dir):
 
 def scene_flatten(spark, sf_dir):
     vertex, index = vertices(triangles(spark, sf_dir))
-    v, i = tri_ops.flatten([(vertex, index, (1.0, (0.0, 0.0, 0.0))), (vertex, index, (0.5, (10.0, 20.0, 30.0)))])
+    v, i = tri_ops.flatten([(vertex, index, UNIT), (vertex, index, HALF)])
     return tri_ops.assemble(i, v.select("vertex_id", "x", "y", "z"))
 
 

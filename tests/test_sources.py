@@ -74,3 +74,23 @@ def test_inverted_box_of_a_rotation(spark):
     turn = ((0.0, -1.0, 0.0, 0.0), (1.0, 0.0, 0.0, 0.0), (0.0, 0.0, 1.0, 0.0))
     assert tuple(boxes.transform(box, turn).first())[1:] == (0.0, 0.0, 0.0, -2.0, 1.0, 3.0)
     assert tuple(boxes.transform(box, turn, exact=True).first())[1:] == (-2.0, 0.0, 0.0, 0.0, 1.0, 3.0)
+
+
+def test_camera_pan_and_tilt():
+    c = Camera().orbit_xz(0.4)
+    u, v, n = c.axes()
+    panned = c.pan(0.3)
+    assert panned.eye == c.eye and panned.axes()[1][1] == pytest.approx(v[1]) and panned.axes()[2][1] == pytest.approx(n[1])
+    tilted = Camera().tilt(0.2)
+    assert tilted.axes()[0] == pytest.approx(Camera().axes()[0]) and abs(tilted.axes()[2][1]) == pytest.approx(math.sin(0.2))
+    assert Camera().tilt(0.9) == Camera() and Camera().tilt(0.7) != Camera()  # 0.67 are left to the pole, then 0.87
+    assert Camera().tilt(-0.9) != Camera() and Camera(planar=True).pan(1.0).tilt(0.1) == Camera(planar=True)
+
+
+def test_flatten_takes_any_matrix(spark):
+    vertex = spark.createDataFrame([(0, 1.0, 2.0, 3.0)], "vertex_id long, x double, y double, z double")
+    index = spark.createDataFrame([(0, 0, 0, 0)], "triangle_id long, i0 long, i1 long, i2 long")
+    turn = ((0.0, -1.0, 0.0, 5.0), (1.0, 0.0, 0.5, 0.0), (0.0, 0.0, 0.0, -7.0))
+    v, i = tri_ops.flatten([(vertex, index, turn), (vertex, index, turn)])
+    assert [tuple(r) for r in v.orderBy("vertex_id").collect()] == [(0, 0, 3.0, 2.5, -7.0), (1, 1, 3.0, 2.5, -7.0)]
+    assert [tuple(r) for r in i.orderBy("triangle_id").collect()] == [(0, 0, 0, 0), (1, 1, 1, 1)]
