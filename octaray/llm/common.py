@@ -43,12 +43,17 @@ def settle(df: DataFrame) -> DataFrame:
 
     It cuts the lineage like checkpoint(), survives the loss of any executor, and later reads prune columns.
     """
+    return settled_at(df)[0]
+
+
+def settled_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """The table of ``settle``, and its path."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if _OPEN:
         _OPEN[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def only_result(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
