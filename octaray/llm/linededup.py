@@ -155,7 +155,9 @@ def drop_common_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     own_id, own_mark, own_gone, lines = (free_name(docs, n) for n in ("line_id", "line_mark", "line_gone", "line_list"))
     n_lines, n_dropped = free_name(docs, "n_lines"), free_name(docs, "n_dropped")
     marked = docs.withColumn(own_id, F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))).withColumn(own_mark, F.xxhash64(F.col(text)))
-    out = marked.join(gone.select(F.col("id").alias(own_id), F.col("mark").alias(own_mark), F.col("gone").alias(own_gone)), [own_id, own_mark], "left")
+    # One shuffle of the texts at every size: the table of positions grows with the documents.
+    told = gone.select(F.col("id").alias(own_id), F.col("mark").alias(own_mark), F.col("gone").alias(own_gone)).hint("merge")
+    out = marked.join(told, [own_id, own_mark], "left")
     out = out.withColumn(lines, lines_of(F.col(text))).withColumn(n_lines, F.size(lines).cast("long"))
     out = out.withColumn(n_dropped, F.coalesce(F.size(own_gone), F.lit(0)).cast("long"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(own_gone))
