@@ -4,23 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.camera import Camera
-from ..functions.geometry import BOX, CORNERS, slab, triangle_bounds, vec
-from ..plans.schedule import LevelConfig
-from ..sources.scratch import settle
-from . import trees
+from ..functions.geometry import BOX, CORNERS, slab, vec
+from .treelets import entry
 
 RAY = ("ox", "oy", "oz", "dx", "dy", "dz")
-#: Levels of the grid pyramid: 2^10 cells along each axis.
-MOST_LEVELS = 10
-EPSILON = 1e-9
 
 
 def camera_rays(spark: SparkSession, camera: Camera, samples: int) -> DataFrame:
@@ -49,9 +43,7 @@ def box_hits(rays: DataFrame, box: tuple[float, ...]) -> DataFrame:
 CORNER = tuple(c for corner in CORNERS for c in corner)
 HIT = "ray_id long, triangle_id long, t double"
 #: Rays and triangles of one task of the brute-force comparison, and rays compared at once there.
-RAY_BLOCK, TRIANGLE_BLOCK, AT_ONCE = 2048, 4096, 32
-#: An indexed ray tests its cells in the order of entry: the first so many, then up to so many, then the rest.
-ROUNDS = (2, 8, 32)
+RAY_BLOCK, TRIANGLE_BLOCK, AT_ONCE = 2048, 4096, 8
 
 
 def _coefficients(k: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -95,18 +87,6 @@ def _numbers(data: pa.RecordBatch | pa.Table, names: tuple[str, ...], shape: tup
     return {n: np.asarray(data.column(n), dtype=np.float64).reshape(shape) for n in names}
 
 
-def _accepted(pairs: DataFrame) -> DataFrame:
-    """(ray_id, triangle_id, t) of the joined pairs that hit."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t, hit = _meet(_numbers(batch, RAY), _coefficients(_numbers(batch, CORNER)))
-            yield pa.RecordBatch.from_arrays([batch.column("ray_id"), batch.column("triangle_id"), pa.array(t)], names=["ray_id", "triangle_id", "t"]).filter(pa.array(hit))
-
-    long = [F.col(c).cast("long").alias(c) for c in ("ray_id", "triangle_id")]
-    return pairs.select(*long, *RAY, *CORNER).mapInArrow(work, HIT)
-
-
 def triangle_hits(rays: DataFrame, tri: DataFrame) -> DataFrame:
     """Every hit, by comparing every ray with every triangle: what the brute-force operator is for.
 
@@ -147,128 +127,23 @@ def with_misses(rays: DataFrame, found: DataFrame) -> DataFrame:
     return rays.select("ray_id").join(found, "ray_id", "left")
 
 
-def _entered(met: DataFrame, keep: list[str], pad: list[float], box_of=None) -> DataFrame:
+def _entered(met: DataFrame, keep: list[str], pad: list[float]) -> DataFrame:
     """Of rays joined with boxes, those that meet the closed, padded box, with the distance ``t_near`` of their entry.
 
-    ray_id, the ray, ``keep`` and t_near. Boxes are the BOX columns, or what ``box_of`` makes of a batch. In arrays, for
-    the reason given at ``_meet``.
+    ray_id, the ray, ``keep`` and t_near. Boxes are the BOX columns. In arrays, for the reason given at ``_meet``.
     """
     columns = ["ray_id", *RAY, *keep]
-    more = list(BOX) if box_of is None else []
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            r = _numbers(batch, RAY)
-            low, high = (([np.asarray(batch.column(f"{e}_{x}"), dtype=np.float64) for x in "xyz"] for e in ("min", "max"))) if box_of is None else box_of(batch)
-            near, far, inside = np.full(batch.num_rows, -np.inf), np.full(batch.num_rows, np.inf), np.ones(batch.num_rows, dtype=bool)
-            for x, lo, hi, p in zip("xyz", low, high, pad, strict=True):
-                # An inverted box (a split plane outside its node) bounds the same slab the other way round.
-                lo, hi = np.minimum(lo, hi) - p, np.maximum(lo, hi) + p
-                o, d = r[f"o{x}"], r[f"d{x}"]
-                with np.errstate(all="ignore"):
-                    t0, t1 = (lo - o) / d, (hi - o) / d
-                flat = d == 0
-                near = np.where(flat, near, np.maximum(near, np.minimum(t0, t1)))
-                far = np.where(flat, far, np.minimum(far, np.maximum(t0, t1)))
-                inside &= ~flat | ((lo <= o) & (o <= hi))
-            kept = inside & (near <= far) & (far >= 0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(near)], names=[*columns, "t_near"]).filter(pa.array(kept))
+            r = _numbers(batch, (*RAY, *BOX))
+            o, d = (np.stack([r[f"{p}{x}"] for x in "xyz"], axis=1) for p in "od")
+            near, met_ = entry(o, d, np.stack([r[n] for n in BOX], axis=1), np.array(pad))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(near)], names=[*columns, "t_near"]).filter(pa.array(met_))
 
     out = met.select(*columns)
     schema = ", ".join(f"{n} {t}" for n, t in out.dtypes) + ", t_near double"
-    return met.select(*columns, *more).mapInArrow(work, schema)
-
-
-def _nearest_first(visits: DataFrame, holds: DataFrame, cell: list[str]) -> DataFrame:
-    """Nearest hits from (ray_id, ray, cell, t_near) and the triangles of each cell (cell, triangle_id, corners).
-
-    Every ray tests the cells that it enters first, and those after them only if it enters them before the best hit.
-    """
-    order = Window.partitionBy("ray_id").orderBy("t_near", *cell)  # the cells on one ray
-    visits = settle(visits.withColumn("turn", F.row_number().over(order)))
-    best = None
-    for after, upto in zip((0, *ROUNDS), (*ROUNDS, None), strict=True):
-        some = visits.filter(F.col("turn") > after)
-        some = some if upto is None else some.filter(F.col("turn") <= upto)
-        if best is not None:
-            some = some.join(best.select("ray_id", F.col("t").alias("best")), "ray_id", "left")
-            some = some.filter(F.col("best").isNull() | (F.col("t_near") <= F.col("best")))
-        hits = _accepted(some.join(holds, cell))
-        best = settle(nearest(hits if best is None else hits.unionByName(best.select("ray_id", "triangle_id", "t"))))
-    return best
-
-
-def nearest_through_tree(rays: DataFrame, tri: DataFrame, configs: list[LevelConfig], scene: tuple[float, ...] | None = None, schedule: str = "compat") -> DataFrame:
-    """The rows of brute force, through a hybrid tree over the triangles' bounds.
-
-    All rays descend together, level by level: an equi-join of the rays at inner nodes with those nodes' children, and
-    the slab test with each child's box. Hits outside ``scene`` (by default the box of all triangles) are not found.
-    """
-    lo, hi = triangle_bounds()
-    prims = tri.select(F.col("triangle_id").alias("prim_id"), *[v.alias(n) for n, v in zip(BOX, (*lo, *hi), strict=True)])
-    if scene is None:
-        row = prims.agg(*[(F.min if n.startswith("min") else F.max)(n).alias(n) for n in BOX]).first()
-        scene = tuple(0.0 if v is None else v for v in row)
-    nodes, held = trees.build(prims, scene, configs, schedule)
-    nodes, held = settle(nodes), settle(held)
-    pad = [EPSILON * (abs(scene[i]) + abs(scene[i + 3]) + 1) for i in range(3)]
-    state = ["depth", "path", "is_leaf"]
-    root = nodes.filter("depth = 0 AND n_reach > 0").select("depth", "path", *BOX, "is_leaf")
-    at = _entered(_spread(rays).join(F.broadcast(root)), state, pad)  # one row
-    seen = []
-    for depth in range(sum(c.levels for c in configs) + 1):
-        at = settle(at)
-        seen.append(at.filter("is_leaf").drop("is_leaf"))
-        below = nodes.filter((F.col("depth") == depth + 1) & (F.col("n_reach") > 0)).select("depth", F.shiftright("path", 3).alias("parent"), F.col("path").alias("child"), *BOX, "is_leaf")
-        inner = at.filter("NOT is_leaf").select("ray_id", *RAY, F.col("path").alias("parent"))
-        at = _entered(inner.join(below, "parent").withColumnRenamed("child", "path"), state, pad)
-    visits = reduce(DataFrame.unionByName, seen)
-    holds = settle(held.withColumnRenamed("prim_id", "triangle_id").join(tri.select("triangle_id", *CORNER), "triangle_id"))
-    return _nearest_first(visits, holds, ["depth", "path"])
-
-
-def nearest_indexed(rays: DataFrame, tri: DataFrame, levels: int | None = None) -> DataFrame:
-    """The rows of brute force, through a pyramid of grids whose finest has about as many cells as there are triangles.
-
-    Triangles are listed under the finest cells that their bounds touch; a coarser cell is occupied if one below it is.
-    Rays descend through occupied cells, which are halved along all axes at each level. Cells are
-    closed and padded by a relative epsilon, so that no exact hit is lost.
-    """
-    lo, hi = triangle_bounds()
-    bounded = tri.select("triangle_id", *CORNER, *[v.alias(n) for n, v in zip(BOX, (*lo, *hi), strict=True)])
-    row = bounded.agg(*[(F.min if n.startswith("min") else F.max)(n).alias(n) for n in BOX], F.count("*").alias("n")).first()
-    if row["min_x"] is None:
-        return rays.sparkSession.createDataFrame([], "ray_id long, t double, triangle_id long")
-    levels = max(1, min(MOST_LEVELS, math.ceil(math.log(row["n"], 8)))) if levels is None else levels
-    start, size = [row[f"min_{x}"] for x in "xyz"], [row[f"max_{x}"] - row[f"min_{x}"] for x in "xyz"]
-    pad = [EPSILON * (abs(start[i]) + abs(row[f"max_{x}"]) + 1) for i, x in enumerate("xyz")]
-    cell, cells = ["gx", "gy", "gz"], 1 << levels
-
-    def place(value: Column, i: int) -> Column:
-        return F.greatest(F.lit(0), F.least(F.lit(cells - 1), F.floor((value - start[i]) / max(size[i] / cells, 1e-300)))).cast("int")
-
-    listed = bounded
-    for i, x in enumerate("xyz"):
-        listed = listed.withColumn(f"g{x}", F.explode(F.sequence(place(F.col(f"min_{x}"), i), place(F.col(f"max_{x}"), i))))
-    listed = settle(listed.select("triangle_id", *CORNER, *cell))
-    first = min(levels, 2)  # its cells, at most 64, are tried with every ray
-    occupied = [settle(listed.select(*cell).distinct())]
-    for _ in range(levels - first):
-        occupied.append(settle(occupied[-1].select(*[F.shiftright(c, 1).alias(c) for c in cell]).distinct()))
-    at = _spread(rays).select("*", *[F.lit(0).alias(c) for c in cell])
-    for level in range(first, levels + 1):
-        step = [s / (1 << level) for s in size]
-        up = first if level == first else 1
-        below = occupied[levels - level].select(*[F.shiftright(c, up).alias(f"up_{c}") for c in cell], *cell)
-        at = at.select("ray_id", *RAY, *[F.col(c).alias(f"up_{c}") for c in cell]).join(below, [f"up_{c}" for c in cell])
-
-        def box_of(batch: pa.RecordBatch, step: list[float] = step) -> tuple[list[np.ndarray], list[np.ndarray]]:
-            g = [np.asarray(batch.column(c), dtype=np.float64) for c in cell]
-            return [start[i] + g[i] * step[i] for i in range(3)], [start[i] + (g[i] + 1) * step[i] for i in range(3)]
-
-        at = _entered(at, cell, pad, box_of)
-        at = settle(at) if level < levels else at
-    return _nearest_first(at, listed, cell)
+    return met.select(*columns, *BOX).mapInArrow(work, schema)
 
 
 def depth_image(hits: DataFrame, rays: DataFrame) -> DataFrame:

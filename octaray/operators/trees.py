@@ -1,45 +1,79 @@
 """Hybrid trees, built level by level: which primitives reach a node is decided by its parent's pairs only.
 
+The levels near the root are DataFrame rounds, for as long as a branch has more primitives than one task should hold
+(``inside``); below, each branch is grown in arrays in one task.
+
 A node is internal if its depth is below the maximum and two or more primitives reach it; its children replicate every
 primitive whose box touches theirs (closed). Nodes are named by depth and a path of base-8 digits.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import BOX, longest_axis, overlap, overlap_values
 from ..plans import schedule as plan
 from ..sources.scratch import settle
+from .treelets import Treelet, grow, runs
 
 PRIM = [f"p_{n}" for n in BOX]
+#: Primitives of a branch that one task grows.
+INSIDE = 1 << 15
 
 
-def build(prims: DataFrame, scene: tuple[float, ...], configs: list[plan.LevelConfig], schedule: str = "compat") -> tuple[DataFrame, DataFrame]:
+def build(prims: DataFrame, scene: tuple[float, ...], configs: list[plan.LevelConfig], schedule: str = "compat", inside: int = INSIDE) -> tuple[DataFrame, DataFrame]:
     """(nodes, node_prims) from (prim_id, box) rows. Primitives that miss the scene box are not admitted.
 
     nodes: depth, path, cls, box, n_prims (leaves; 0 for internal nodes), n_reach, is_leaf. node_prims: depth, path, prim_id.
     """
+    top, cut, pairs = build_top(prims, scene, configs, schedule, inside)
+    kinds = plan.kinds_by_depth(configs, schedule)
+    grown = settle(_grown(cut, pairs, kinds))
+    names = F.element_at(F.lit(kinds), F.col("depth") + 1)
+    nodes = grown.filter("prim_id IS NULL").select("depth", "path", names.alias("cls"), *BOX, F.when(F.col("is_leaf"), F.col("n_reach")).otherwise(0).alias("n_prims"), "n_reach", "is_leaf")
+    held = grown.filter("prim_id IS NOT NULL").select("depth", "path", "prim_id")
+    if top is None:
+        return nodes, held
+    return top[0].unionByName(nodes), top[1].unionByName(held)
+
+
+def build_top(prims: DataFrame, scene: tuple[float, ...], configs: list[plan.LevelConfig], schedule: str = "compat", inside: int = INSIDE) -> tuple[tuple[DataFrame, DataFrame] | None, DataFrame, DataFrame]:
+    """The levels above the branches that are small enough for one task: (top, cut, pairs).
+
+    top: (nodes, node_prims) of finished nodes (None where nothing had to be split); cut: the branches' roots (depth,
+    path, box); pairs: the primitives that reach them (depth, path, prim_id, box with the prefix p_).
+    """
     spark = prims.sparkSession
     kinds, deepest = plan.kinds_by_depth(configs, schedule), plan.max_levels(configs)
     admitted = prims.filter(overlap_values(scene))
     pairs = admitted.select(F.lit(0).cast("long").alias("path"), "prim_id", *[F.col(n).alias(p) for n, p in zip(BOX, PRIM, strict=True)])
     nodes = spark.range(1).select(F.lit(0).cast("long").alias("path"), *[F.lit(v).alias(n) for n, v in zip(BOX, scene, strict=True)])
-    all_nodes, all_prims = [], []
+    done_nodes, done_prims, cut_nodes, cut_prims = [], [], [], []
     for depth in range(deepest + 1):
         if depth:
             pairs = settle(pairs)
+        in_arrays = all(k in plan.ARRAY_SPLITS for k in kinds[depth:deepest])
         reach = pairs.groupBy("path").agg(F.count("*").alias("n_reach"))
         here = nodes.join(reach, "path", "left").withColumn("n_reach", F.coalesce("n_reach", F.lit(0)).cast("long"))
-        here = here.withColumn("is_leaf", F.lit(depth == deepest) | (F.col("n_reach") < 2))
-        here = settle(here.select(F.lit(depth).alias("depth"), "path", F.lit(kinds[depth]).alias("cls"), *BOX, F.when(F.col("is_leaf"), F.col("n_reach")).otherwise(0).alias("n_prims"), "n_reach", "is_leaf"))
-        all_nodes.append(here)
-        ends = pairs if depth == deepest else pairs.join(here.filter("is_leaf").select("path"), "path", "left_semi")
-        all_prims.append(ends.select(F.lit(depth).alias("depth"), "path", "prim_id"))
-        if depth == deepest:
+        small = F.lit(in_arrays) & (F.col("n_reach") <= inside)
+        here = here.withColumn("is_leaf", ~small & (F.lit(depth == deepest) | (F.col("n_reach") < 2))).withColumn("is_cut", small)
+        here = settle(here.select(F.lit(depth).alias("depth"), "path", F.lit(kinds[depth]).alias("cls"), *BOX, F.when(F.col("is_leaf"), F.col("n_reach")).otherwise(0).alias("n_prims"), "n_reach", "is_leaf", "is_cut"))
+        states = {(r["is_leaf"], r["is_cut"]) for r in here.select("is_leaf", "is_cut").distinct().collect()}  # at most three
+        done_nodes.append(here.filter("NOT is_cut").drop("is_cut"))
+        cut_nodes.append(here.filter("is_cut").select("depth", "path", *BOX))
+        whole = states == {(False, True)}
+        marked = pairs.withColumn("is_cut", F.lit(True)).withColumn("is_leaf", F.lit(False)) if whole else pairs.join(here.select("path", "is_leaf", "is_cut"), "path")
+        cut_prims.append(marked.filter("is_cut").select(F.lit(depth).alias("depth"), "path", "prim_id", *PRIM))
+        if not whole:
+            done_prims.append(marked.filter("is_leaf").select(F.lit(depth).alias("depth"), "path", "prim_id"))
+        if (False, False) not in states:
             break
-        inner = here.filter(~F.col("is_leaf")).select("path", *BOX)
+        inner = here.filter("NOT is_leaf AND NOT is_cut").select("path", *BOX)
         if kinds[depth] in plan.PLANAR:
             inner = inner.join(split_planes(pairs, inner), "path")
         children = inner.select(F.col("path").alias("parent"), F.explode(plan.SPLITS[kinds[depth]]()).alias("c"))
@@ -47,10 +81,41 @@ def build(prims: DataFrame, scene: tuple[float, ...], configs: list[plan.LevelCo
         reached = pairs.join(children, F.col("path") == F.col("parent")).filter(overlap("p_", ""))
         pairs = reached.select(F.col("child").alias("path"), "prim_id", *PRIM)
         nodes = children.select(F.col("child").alias("path"), *BOX)
-    out_nodes, out_prims = all_nodes[0], all_prims[0]
-    for a, b in zip(all_nodes[1:], all_prims[1:], strict=True):
-        out_nodes, out_prims = out_nodes.unionByName(a), out_prims.unionByName(b)
-    return out_nodes, out_prims
+    top = (reduce(DataFrame.unionByName, done_nodes), reduce(DataFrame.unionByName, done_prims)) if done_prims else None
+    return top, reduce(DataFrame.unionByName, cut_nodes), reduce(DataFrame.unionByName, cut_prims)
+
+
+GROWN = "depth int, path long, " + ", ".join(f"{n} double" for n in BOX) + ", n_reach long, is_leaf boolean, prim_id long"
+
+
+def grow_group(cut: pa.Table, pairs: pa.Table, kinds: list[str]) -> tuple[Treelet, np.ndarray]:
+    """The branch below the one row of ``cut`` over its pairs, and the ids of its primitives in order."""
+    ids = pairs.column("prim_id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    boxes = np.stack([pairs.column(c).to_numpy() for c in PRIM], axis=1).reshape(-1, 6)[order]
+    root = np.array([cut.column(c)[0].as_py() for c in BOX], dtype=np.float64)
+    return grow(boxes, root, cut.column("depth")[0].as_py(), cut.column("path")[0].as_py(), kinds), ids[order]
+
+
+def _grown(cut: DataFrame, pairs: DataFrame, kinds: list[str]) -> DataFrame:
+    """Nodes (prim_id is null) and held primitives (n_reach is null) of the branches, each grown in one task."""
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        tree, ids = grow_group(left, right, kinds)
+        leaf, m, n = tree.kids == 0, len(tree.first), len(tree.held)
+        of, _ = runs(tree.start, tree.count)
+        none = pa.nulls(n, pa.float64())
+        return pa.table({
+            "depth": pa.array(np.concatenate([tree.depth, tree.depth[of]]), pa.int32()),
+            "path": np.concatenate([tree.path, tree.path[of]]),
+            **{c: pa.chunked_array([pa.array(tree.boxes[:, i]), none]) for i, c in enumerate(BOX)},
+            "n_reach": pa.chunked_array([pa.array(tree.reach), pa.nulls(n, pa.int64())]),
+            "is_leaf": pa.chunked_array([pa.array(leaf), pa.nulls(n, pa.bool_())]),
+            "prim_id": pa.chunked_array([pa.nulls(m, pa.int64()), pa.array(ids[tree.held])]),
+        })
+
+    held = pairs.select("depth", "path", F.col("prim_id").cast("long").alias("prim_id"), *PRIM)
+    return cut.groupBy("depth", "path").cogroup(held.groupBy("depth", "path")).applyInArrow(work, GROWN)
 
 
 def split_planes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -32,6 +32,10 @@ HITS = """edged AS (
   SELECT ray_id, triangle_id, t, (d11 * d20 - d01 * d21) / nullif(d00 * d11 - d01 * d01, 0) AS u, (d00 * d21 - d01 * d20) / nullif(d00 * d11 - d01 * d01, 0) AS v FROM dots
 ), hits AS (SELECT ray_id, triangle_id, t FROM bary WHERE u >= 0 AND v >= 0 AND u + v <= 1),
 nearest AS (SELECT ray_id, t, triangle_id FROM (SELECT *, row_number() OVER (PARTITION BY ray_id ORDER BY t, triangle_id) AS k FROM hits) WHERE k = 1)"""
+_CORNERS = ("ax", "ay", "az", "bx", "b_y", "bz", "cx", "cy", "cz")
+#: The triangles of two models: as they are, and halved and shifted.
+FLAT = TRI.replace("tri AS", "one AS", 1) + f""", tri AS (
+  SELECT * FROM one UNION ALL SELECT triangle_id + (SELECT count(*) FROM one), {", ".join(f"{c} * 0.5::DOUBLE + {s} AS {c}" for c, s in zip(_CORNERS, (10.0, 20.0, 30.0) * 3, strict=True))} FROM one)"""
 B = "min_x, min_y, min_z, max_x, max_y, max_z"
 AXIS = "CASE WHEN max_x - min_x > max_y - min_y AND max_x - min_x > max_z - min_z THEN 0 WHEN max_y - min_y > max_z - min_z THEN 1 ELSE 2 END"
 MESH = """meshes AS (SELECT triangle_id // 100 AS mesh_id, triangle_id // 100 * 300 AS start_index, 300 AS length FROM tri GROUP BY 1, 2),
@@ -233,6 +237,8 @@ ORACLE_SQL = {
     "ray_query_bruteforce": f"WITH {TRI}, {RAYS}, {HITS} SELECT ray_id, t, triangle_id FROM nearest",
     "ray_query_indexed": f"WITH {TRI}, {RAYS}, {HITS} SELECT ray_id, t, triangle_id FROM nearest",
     **{f"ray_query_{name}": f"WITH {TRI}, {RAYS}, {HITS} SELECT ray_id, t, triangle_id FROM nearest" for name in _SCHEDULES if name != "custom_split"},
+    "ray_query_hierarchy": f"WITH {TRI}, {RAYS}, {HITS} SELECT ray_id, t, triangle_id FROM nearest",
+    "ray_query_node_tree": f"WITH {FLAT}, {RAYS}, {HITS} SELECT ray_id, t, triangle_id FROM nearest",
     "ray_query_external_miss0": f"WITH {TRI}, {RAYS}, {HITS} SELECT ray_id, coalesce(t, 0) AS t FROM rays LEFT JOIN nearest USING (ray_id)",
     "ray_any_hit": f"WITH {TRI}, {RAYS}, {HITS} SELECT DISTINCT ray_id FROM hits",
     "depth_image": f"{IMAGE} SELECT px, py, r, r AS g, r AS b, 1.0::DOUBLE AS a FROM image",

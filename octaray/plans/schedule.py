@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +15,9 @@ from ..functions.geometry import BOX, longest_axis
 SPLITS: dict[str, Callable[[], Column]] = {}
 #: Splits that need ``plane``: the larger centroid, on the longest axis, of the two primitives of smallest id.
 PLANAR = {"kdtree"}
+#: The same splits in arrays, for branches that one task holds: (boxes, planes) -> (parent, k, child boxes). A split
+#: without this form runs in DataFrame rounds at every level.
+ARRAY_SPLITS: dict[str, Callable[[np.ndarray, np.ndarray | None], tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
 
 
 @dataclass(frozen=True)
@@ -22,9 +26,47 @@ class LevelConfig:
     levels: int
 
 
-def register_split(name: str, split: Callable[[], Column], planar: bool = False) -> None:
+def register_split(name: str, split: Callable[[], Column], planar: bool = False, arrays: Callable | None = None) -> None:
     SPLITS[name] = split
     (PLANAR.add if planar else PLANAR.discard)(name)
+    ARRAY_SPLITS.pop(name, None)
+    if arrays is not None:
+        ARRAY_SPLITS[name] = arrays
+
+
+def longest_axes(boxes: np.ndarray) -> np.ndarray:
+    """``longest_axis`` in arrays."""
+    x, y, z = (boxes[:, 3:] - boxes[:, :3]).T
+    return np.where((x > y) & (x > z), 0, np.where(y > z, 1, 2))
+
+
+def grid_arrays(counts: Callable[[np.ndarray], np.ndarray]) -> Callable:
+    """``_grid`` in arrays, with the numbers of cells along the axes from the boxes."""
+
+    def split(boxes: np.ndarray, planes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = counts(boxes)
+        size = n.prod(axis=1)
+        parent = np.repeat(np.arange(len(boxes)), size)
+        k = np.arange(len(parent)) - np.repeat(np.cumsum(size) - size, size)
+        ny, nz = n[parent, 1], n[parent, 2]
+        at = np.stack([k // (ny * nz), k // nz % ny, k % nz], axis=1)
+        step = ((boxes[:, 3:] - boxes[:, :3]) / n)[parent]
+        low = boxes[parent, :3] + step * at
+        return parent, k, np.hstack([low, low + step])
+
+    return split
+
+
+def _only(value: int, other: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Numbers of cells: ``value`` along the longest axis, ``other`` along the rest."""
+    return lambda boxes: np.where(longest_axes(boxes)[:, None] == np.arange(3), value, other)
+
+
+def plane_arrays(boxes: np.ndarray, planes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    axis, row = longest_axes(boxes), np.arange(len(boxes))
+    both = np.repeat(boxes, 2, axis=0)
+    both[2 * row, axis + 3] = both[2 * row + 1, axis] = planes
+    return np.repeat(row, 2), np.tile([0, 1], len(boxes)), both
 
 
 def cumulative(configs: list[LevelConfig]) -> list[int]:
@@ -100,7 +142,7 @@ def plane_split() -> Column:
     return _by_axis(make)
 
 
-register_split("octree", octree_split)
-register_split("quadtree", quadtree_split)
-register_split("bvh", midpoint_split)
-register_split("kdtree", plane_split, planar=True)
+register_split("octree", octree_split, arrays=grid_arrays(lambda boxes: np.full((len(boxes), 3), 2)))
+register_split("quadtree", quadtree_split, arrays=grid_arrays(_only(1, 2)))
+register_split("bvh", midpoint_split, arrays=grid_arrays(_only(2, 1)))
+register_split("kdtree", plane_split, planar=True, arrays=plane_arrays)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions.camera import Camera
 from .functions.geometry import BOX, longest_axis, surface
 from .operators import boxes as box_ops
-from .operators import bvh, misc, rays, trees
+from .operators import bvh, indexed, misc, rays, trees
 from .operators import triangles as tri_ops
 from .operators.scans import running_sum
 from .oracles import ORACLE_SQL
@@ -43,7 +43,7 @@ def thirds() -> Column:
     return plan._grid((3, 1, 1))
 
 
-plan.register_split("thirds", thirds)
+plan.register_split("thirds", thirds)  # without arrays: every level is a round
 
 
 def _tree(spark, sf_dir, name):
@@ -113,21 +113,32 @@ def _hits(spark, sf_dir):
 
 def external_miss0(spark, sf_dir):
     r, t = _hits(spark, sf_dir)
-    return rays.with_misses(r, rays.nearest_indexed(r, t)).select("ray_id", F.coalesce("t", F.lit(0.0)).alias("t"))
+    return rays.with_misses(r, indexed.through_hierarchy(r, t, settle(bvh.build(t)))).select("ray_id", F.coalesce("t", F.lit(0.0)).alias("t"))
+
+
+def ray_query_hierarchy(spark, sf_dir):
+    r, t = _hits(spark, sf_dir)
+    return indexed.through_hierarchy(r, t, settle(bvh.build(t)))
+
+
+def ray_query_node_tree(spark, sf_dir):
+    """Two flattened models, the hierarchy of their triangles, a hybrid tree over its nodes, and rays through that."""
+    tri = settle(scene_flatten(spark, sf_dir))
+    return indexed.through_node_tree(ray_table(spark, sf_dir), tri, settle(bvh.build(tri)), SCHEDULES["tree_hybrid"])
 
 
 def ray_any_hit(spark, sf_dir):
     r, t = _hits(spark, sf_dir)
-    return rays.nearest_indexed(r, t).select("ray_id")
+    return indexed.nearest_indexed(r, t).select("ray_id")
 
 
 def _ray_tree_query(name):
-    return lambda spark, sf_dir: rays.nearest_through_tree(*_hits(spark, sf_dir), SCHEDULES[name], TRIANGLE_SCENE)
+    return lambda spark, sf_dir: indexed.through_tree(*_hits(spark, sf_dir), SCHEDULES[name], TRIANGLE_SCENE)
 
 
 def _image(spark, sf_dir):
     r = rays.camera_rays(spark, CAMERA, SAMPLES)
-    return rays.depth_image(rays.nearest_indexed(r, triangles(spark, sf_dir)), r)
+    return rays.depth_image(indexed.nearest_indexed(r, triangles(spark, sf_dir)), r)
 
 
 def kd_split_plane(spark, sf_dir):
@@ -190,8 +201,10 @@ QUERIES = {
     "ray_box": lambda s, d: rays.box_hits(ray_table(s, d), RAY_BOX),
     "ray_triangle_hits": lambda s, d: rays.triangle_hits(*_hits(s, d)),
     "ray_query_bruteforce": lambda s, d: rays.nearest_bruteforce(*_hits(s, d)),
-    "ray_query_indexed": lambda s, d: rays.nearest_indexed(*_hits(s, d)),
+    "ray_query_indexed": lambda s, d: indexed.nearest_indexed(*_hits(s, d)),
     **{f"ray_query_{name}": _ray_tree_query(name) for name in SCHEDULES if name != "custom_split"},
+    "ray_query_hierarchy": ray_query_hierarchy,
+    "ray_query_node_tree": ray_query_node_tree,
     "ray_query_external_miss0": external_miss0,
     "ray_any_hit": ray_any_hit,
     "depth_image": _image,

@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from octaray.functions.geometry import BOX
-from octaray.operators import bvh, rays, trees
+from octaray.operators import bvh, indexed, rays, trees
+from octaray.operators import triangles as tri_ops
 from octaray.plans import schedule as plan
 from octaray.plans.schedule import LevelConfig
+from octaray.sources.scratch import settle
 
 SCENE = (0.0, 0.0, 0.0, 16.0, 16.0, 16.0)
 
@@ -142,20 +144,74 @@ def test_indexed_rays_equal_bruteforce(spark):
     r = spark.createDataFrame(rows, "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double")
     tri = some_triangles(spark, 250).unionByName(some_triangles(spark, 1, 8).withColumn("triangle_id", F.lit(900).cast("long")))
     want = sorted(map(tuple, rays.nearest_bruteforce(r, tri).collect()))
-    assert want and sorted(map(tuple, rays.nearest_indexed(r, tri).collect())) == want
+    assert want and sorted(map(tuple, indexed.nearest_indexed(r, tri).collect())) == want
     for configs in ([plan.LevelConfig("kdtree", 4)], [plan.LevelConfig("quadtree", 1), plan.LevelConfig("octree", 2)]):
-        assert sorted(map(tuple, rays.nearest_through_tree(r, tri, configs).collect())) == want
+        assert sorted(map(tuple, indexed.through_tree(r, tri, configs).collect())) == want
+
+
+RAY_SCHEMA = "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double"
+
+
+def crossing_rays(spark, n, seed=9):
+    rng = random.Random(seed)
+    return spark.createDataFrame([(i, *(rng.uniform(-10, 60) for _ in range(3)), *(rng.choice([0.0, rng.uniform(-1, 1)]) for _ in range(3))) for i in range(n)], RAY_SCHEMA)
+
+
+def test_small_treelets_give_the_same_hits(spark):
+    """Levels in joins above treelets of a few triangles, leaves of several treelets, and rounds bounded by the best hit."""
+    r, tri = crossing_rays(spark, 200), some_triangles(spark, 300)
+    want = sorted(map(tuple, rays.nearest_bruteforce(r, tri).collect()))
+    nodes = settle(bvh.build(tri))
+    assert indexed.hierarchy_index(nodes, tri, 16).links.count() > 30
+    found = [
+        indexed.through_hierarchy(r, tri, nodes, 16), indexed.through_hierarchy(r, tri, nodes), indexed.nearest_indexed(r, tri, 20),
+        indexed.through_tree(r, tri, [LevelConfig("octree", 1), LevelConfig("kdtree", 2)], inside=20), indexed.through_node_tree(r, tri, nodes, [LevelConfig("octree", 2)], inside=60),
+    ]
+    for hits in found:
+        assert sorted(map(tuple, hits.collect())) == want
+
+
+def test_branches_in_tasks_equal_rounds(spark):
+    prims = tri_ops.bounds(some_triangles(spark, 150)).withColumnRenamed("triangle_id", "prim_id")
+    scene = (0.0, 0.0, 0.0, 64.0, 64.0, 64.0)
+    for configs in ([LevelConfig("kdtree", 2), LevelConfig("quadtree", 2)], [LevelConfig("octree", 2), LevelConfig("bvh", 2)]):
+        one, other = (trees.build(prims, scene, configs, inside=n) for n in (0, 1 << 15))
+        third = trees.build(prims, scene, configs, inside=40)
+        for a, b, c in zip(one, other, third, strict=True):
+            columns = sorted(a.columns)
+            rows = [sorted(map(tuple, x.select(*columns).collect())) for x in (a, b, c)]
+            assert rows[0] == rows[1] == rows[2] and rows[0]
+
+
+def test_large_triangles_have_one_place_each(spark):
+    """One triangle in a hundred spans the scene: still one row for each, and the same hits."""
+    tri = some_triangles(spark, 400)
+    big = some_triangles(spark, 4, 3).select((F.col("triangle_id") + 1000).alias("triangle_id"), *[(F.col(c) * 40 - 900).alias(c) for c in tri.columns[1:]])
+    both = settle(tri.unionByName(big))
+    index = indexed.grid_index(both, 25)
+    assert index.treelets.agg(F.sum(F.size("ids"))).first()[0] == 404 and index.links is not None
+    r = crossing_rays(spark, 200, 4)
+    assert sorted(map(tuple, indexed.through(r, index).collect())) == sorted(map(tuple, rays.nearest_bruteforce(r, both).collect()))
+
+
+def test_rays_beside_nodes_without_triangles(spark):
+    tri = some_triangles(spark, 1)
+    r = crossing_rays(spark, 20)
+    nodes = settle(bvh.build(tri))
+    assert indexed.through_node_tree(r, tri, nodes, [LevelConfig("octree", 2)]).count() == rays.nearest_bruteforce(r, tri).count()
+    none = tri.limit(0)
+    assert indexed.through_hierarchy(r, none, settle(bvh.build(none))).count() == 0
 
 
 def test_planar_scene_is_hit_through_the_index(spark):
     tri = spark.createDataFrame([(1, 0.0, 0.0, 5.0, 4.0, 0.0, 5.0, 0.0, 4.0, 5.0)], TRI)
     r = spark.createDataFrame([(7, 1.0, 1.0, 0.0, 0.0, 0.0, 1.0)], "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double")
-    assert [tuple(x) for x in rays.nearest_indexed(r, tri).collect()] == [(7, 5.0, 1)]
-    assert [tuple(x) for x in rays.nearest_through_tree(r, tri, [plan.LevelConfig("octree", 2)]).collect()] == [(7, 5.0, 1)]
+    assert [tuple(x) for x in indexed.nearest_indexed(r, tri).collect()] == [(7, 5.0, 1)]
+    assert [tuple(x) for x in indexed.through_tree(r, tri, [plan.LevelConfig("octree", 2)]).collect()] == [(7, 5.0, 1)]
 
 
 def test_rays_without_triangles(spark):
     r = spark.createDataFrame([(7, 1.0, 1.0, 0.0, 0.0, 0.0, 1.0)], "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double")
     none = spark.createDataFrame([], TRI)
-    for found in (rays.nearest_bruteforce(r, none), rays.nearest_indexed(r, none), rays.nearest_through_tree(r, none, [plan.LevelConfig("octree", 2)])):
+    for found in (rays.nearest_bruteforce(r, none), indexed.nearest_indexed(r, none), indexed.through_tree(r, none, [plan.LevelConfig("octree", 2)])):
         assert found.count() == 0
