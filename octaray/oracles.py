@@ -71,6 +71,22 @@ NEAREST = f"""near AS (
     FROM leaves a JOIN leaves b ON b.pos BETWEEN a.pos - 128 AND a.pos + 128 AND a.pos <> b.pos) WHERE k = 1),
 mutual AS (SELECT x.pos AS i, x.nn AS j, x.area FROM near x JOIN near y ON x.nn = y.pos AND y.nn = x.pos WHERE x.pos < x.nn)"""
 
+#: All rounds of the agglomeration: the clusters of each round, in order, with those that it made marked as fresh.
+PLOC = f"""st AS (
+  SELECT pos, pos AS node_id, 1::BIGINT AS n_tri, {B}, NULL::BIGINT AS left_id, NULL::BIGINT AS right_id, true AS fresh, (SELECT count(*) FROM leaves) AS next FROM leaves
+  UNION ALL
+  SELECT row_number() OVER (ORDER BY a.pos) - 1 AS pos, CASE WHEN m.i IS NULL THEN a.node_id ELSE a.next + m.r END AS node_id, a.n_tri + coalesce(b.n_tri, 0) AS n_tri,
+         {', '.join(f'least(a.min_{x}, coalesce(b.min_{x}, a.min_{x})) AS min_{x}' for x in 'xyz')}, {', '.join(f'greatest(a.max_{x}, coalesce(b.max_{x}, a.max_{x})) AS max_{x}' for x in 'xyz')},
+         CASE WHEN m.i IS NOT NULL THEN a.node_id END AS left_id, b.node_id AS right_id, m.i IS NOT NULL AS fresh, a.next + max(coalesce(m.r, -1)) OVER () + 1 AS next
+  FROM st a LEFT JOIN (
+    SELECT x.pos AS i, x.nn AS j, row_number() OVER (ORDER BY x.pos) - 1 AS r FROM ({{near}}) x JOIN ({{near}}) y ON x.nn = y.pos AND y.nn = x.pos WHERE x.pos < x.nn
+  ) m ON m.i = a.pos LEFT JOIN st b ON b.pos = m.j
+  WHERE (SELECT count(*) FROM st) > 1 AND a.pos NOT IN (SELECT x.nn FROM ({{near}}) x JOIN ({{near}}) y ON x.nn = y.pos AND y.nn = x.pos WHERE x.pos < x.nn)
+), ploc AS (SELECT st.node_id, {', '.join('st.' + n for n in B.split(', '))}, leaves.triangle_id, n_tri, left_id, right_id FROM st LEFT JOIN leaves ON n_tri = 1 AND leaves.pos = node_id WHERE fresh)"""
+PLOC = PLOC.format(near=f"""SELECT pos, nn FROM (SELECT a.pos, b.pos AS nn, row_number() OVER (PARTITION BY a.pos ORDER BY {_UNION}, b.pos) AS k
+    FROM st a JOIN st b ON b.pos BETWEEN a.pos - 128 AND a.pos + 128 AND a.pos <> b.pos) WHERE k = 1""")
+HIERARCHY = f"WITH RECURSIVE {TRI}, {BOUNDS}, {MORTON}, {PLOC}"
+
 
 def _camera() -> str:
     """Rays of a 32 x 24 x 4 camera at (120, 50, 48) that looks along -x: right is -z there, up is y, far is 120."""
@@ -262,6 +278,14 @@ ORACLE_SQL = {
     "nearest_cluster": f"WITH {TRI}, {BOUNDS}, {MORTON}, {NEAREST} SELECT pos, nn, area FROM near",
     "mutual_pairs": f"WITH {TRI}, {BOUNDS}, {MORTON}, {NEAREST} SELECT i, j, area FROM mutual",
     "ploc_step": f"WITH {TRI}, {BOUNDS}, {MORTON}, {NEAREST} SELECT (SELECT count(*) FROM leaves) + row_number() OVER (ORDER BY i) - 1 AS node_id, {', '.join(f'least(a.min_{x}, b.min_{x}) AS min_{x}, greatest(a.max_{x}, b.max_{x}) AS max_{x}' for x in 'xyz')}, 2 AS n_tri, i AS left_id, j AS right_id FROM mutual JOIN leaves a ON a.pos = i JOIN leaves b ON b.pos = j",
+    **{name: f"{HIERARCHY} SELECT * FROM ploc" for name in ("bvh_ploc", "bvh_ploc_rounds")},
+    "bvh_stats": f"""{HIERARCHY}, areas AS (SELECT n_tri, left_id, {AREA.format('max_x - min_x', 'max_y - min_y', 'max_z - min_z')} AS area FROM ploc)
+SELECT count(*) AS n_nodes, count(*) FILTER (WHERE left_id IS NULL) AS n_leaves, max(n_tri) AS n_triangles,
+  round(sum(area * CASE WHEN left_id IS NULL THEN n_tri ELSE 1 END) / nullif(max_by(area, n_tri), 0), 6) AS sah FROM areas""",
+    "bvh_depths": f"""{HIERARCHY}, down AS (
+  SELECT node_id, 0 AS depth, left_id, right_id FROM ploc WHERE n_tri = (SELECT max(n_tri) FROM ploc)
+  UNION ALL SELECT p.node_id, depth + 1, p.left_id, p.right_id FROM down d JOIN ploc p ON p.node_id = d.left_id OR p.node_id = d.right_id)
+SELECT node_id, depth FROM down""",
     "compact_scan": "SELECT o_orderkey AS pos, (o_orderstatus = 'O')::BIGINT AS valid, coalesce(sum((o_orderstatus = 'O')::BIGINT) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS slot FROM orders",
     "sample_hemisphere": f"""WITH p AS (SELECT c_custkey, 1 - 2 * ({_UNIFORM.format(1)}) AS z, {_UNIFORM.format(2)} AS v FROM customer),
 q AS (SELECT c_custkey, z, sqrt(greatest(0, 1 - z * z)) * cos(2 * pi() * v) AS x, sqrt(greatest(0, 1 - z * z)) * sin(2 * pi() * v) AS y, CASE WHEN z < 0 THEN -1 ELSE 1 END AS s FROM p)

@@ -230,6 +230,7 @@ QUERIES = {
     "ploc_step": ploc_step,
     "compact_scan": compact_scan,
     "bvh_ploc": lambda s, d: bvh.build(triangles(s, d)),
+    "bvh_ploc_rounds": lambda s, d: bvh.build(triangles(s, d), finish=256),
     "bvh_stats": lambda s, d: bvh.stats(bvh.build(triangles(s, d))),
     "bvh_depths": lambda s, d: bvh.depths(settle(bvh.build(triangles(s, d)))),
     "sample_hemisphere": lambda s, d: misc.hemisphere(table(s, d, "customer"), "c_custkey"),
