@@ -1,15 +1,17 @@
 """Agglomerative bounding-volume hierarchy over Morton-ordered triangles.
 
 Each round pairs clusters that are each other's nearest within a window of positions, by surface area of the union, and
-merges them. Rounds are DataFrame steps while there are many clusters; once at most ``FINISH`` are left, one task ends
-the tree: that bound does not grow with the data.
+merges them. While there are many clusters, a round deals spans of positions to tasks (``step`` is the same round as
+joins); once at most ``FINISH`` are left, one task ends the tree: that bound does not grow with the data.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import BOX, surface
@@ -17,7 +19,8 @@ from ..sources.scratch import settle
 from .scans import global_rank
 from .triangles import morton_order
 
-RADIUS, FINISH = 128, 4096
+#: Positions of the neighbour search, clusters that one task ends the tree with, positions of one task of a round.
+RADIUS, FINISH, SPAN = 128, 1 << 14, 4096
 NODE = "node_id long, " + ", ".join(f"{n} double" for n in BOX) + ", triangle_id long, n_tri long, left_id long, right_id long"
 
 
@@ -64,20 +67,69 @@ def step(clusters: DataFrame, next_id: int, radius: int = RADIUS) -> tuple[DataF
     return nodes, settle(after.select("pos", "node_id", "n_tri", *BOX))
 
 
+def _nearest(boxes: np.ndarray, radius: int) -> np.ndarray:
+    """For every box in order the position of its nearest within the radius, the lowest among equals; -1 alone."""
+    m = len(boxes)
+    best, nn = np.full(m, np.inf), np.full(m, -1)
+    for shift in [*range(-min(radius, m - 1), 0), *range(1, min(radius, m - 1) + 1)]:
+        i = np.arange(max(0, -shift), min(m, m - shift))
+        size = np.maximum(boxes[i, 3:], boxes[i + shift, 3:]) - np.minimum(boxes[i, :3], boxes[i + shift, :3])
+        area = 2.0 * size[:, 0] * size[:, 1] + 2.0 * size[:, 2] * size[:, 1] + 2.0 * size[:, 0] * size[:, 2]
+        less = area < best[i]
+        best[i[less]], nn[i[less]] = area[less], i[less] + shift
+    return nn
+
+
+ROUND = "span long, k long, m long, node_id long, " + ", ".join(f"{n} double" for n in BOX) + ", n_tri long, left_id long, right_id long"
+
+
+def _round(clusters: DataFrame, n: int, next_id: int, radius: int, span: int) -> tuple[DataFrame, int]:
+    """(the clusters of the next round by pos, how many of them are new): one shuffle, and one task for each span of positions.
+
+    A task sees two radii beyond its span on both sides: within one it knows the nearest of every cluster, so it knows
+    which of its own are mutual. It counts what it keeps and merges; sums over the spans turn these counts into
+    positions and ids. New clusters have links.
+    """
+    last = (n - 1) // span
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        own, pos = table.column("span")[0].as_py(), table.column("pos").to_numpy()
+        boxes = np.stack([table.column(c).to_numpy() for c in BOX], axis=1).reshape(-1, 6)
+        ids, n_tri = table.column("node_id").to_numpy(), table.column("n_tri").to_numpy()
+        nn, at = _nearest(boxes, radius), np.arange(len(pos))
+        mutual = (nn >= 0) & (nn[nn] == at)
+        mine = (pos >= own * span) & (pos < (own + 1) * span) & ~(mutual & (nn < at))
+        i = at[mine]
+        new = mutual[i]
+        j = np.where(new, nn[i], i)
+        box = np.hstack([np.minimum(boxes[i, :3], boxes[j, :3]), np.maximum(boxes[i, 3:], boxes[j, 3:])])
+        old = pa.array(~new)
+        empty = pa.scalar(None, pa.int64())
+        return pa.table({
+            "span": np.full(len(i), own), "k": np.arange(len(i)), "m": pc.if_else(old, empty, pa.array(np.cumsum(new) - 1)), "node_id": pc.if_else(old, pa.array(ids[i]), empty),
+            **{c: box[:, x] for x, c in enumerate(BOX)}, "n_tri": np.where(new, n_tri[i] + n_tri[j], n_tri[i]),
+            "left_id": pc.if_else(old, empty, pa.array(ids[i])), "right_id": pc.if_else(old, empty, pa.array(ids[j])),
+        })
+
+    near = F.sequence(F.greatest(F.lit(0), F.floor((F.col("pos") - 2 * radius) / span)), F.least(F.lit(last), F.floor((F.col("pos") + 2 * radius) / span)))
+    seen = clusters.select("pos", "node_id", "n_tri", *BOX, F.explode(near).alias("span"))
+    after = settle(seen.groupBy("span").applyInArrow(work, ROUND))
+    before = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)  # one row for each span
+    sums = after.groupBy("span").agg(F.count("*").alias("rows"), F.count("m").alias("made"))
+    sums = settle(sums.select("span", "made", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("rows", "made")]))
+    made = sums.agg(F.sum("made")).first()[0]
+    named = F.coalesce("node_id", F.col("m") + F.col("made_before") + next_id)
+    out = after.join(sums, "span").select((F.col("k") + F.col("rows_before")).alias("pos"), named.alias("node_id"), *BOX, "n_tri", "left_id", "right_id")
+    return out, made
+
+
 def _finish(pdf: pd.DataFrame, next_id: int, radius: int) -> pd.DataFrame:
     pdf = pdf.sort_values("pos")
     boxes, ids, n_tri = pdf[list(BOX)].to_numpy(), pdf["node_id"].to_numpy(), pdf["n_tri"].to_numpy()
     rows = []
     while len(ids) > 1:
-        m = len(ids)
-        best, nn = np.full(m, np.inf), np.full(m, -1)
-        for shift in [*range(-min(radius, m - 1), 0), *range(1, min(radius, m - 1) + 1)]:
-            i = np.arange(max(0, -shift), min(m, m - shift))
-            size = np.maximum(boxes[i, 3:], boxes[i + shift, 3:]) - np.minimum(boxes[i, :3], boxes[i + shift, :3])
-            area = 2.0 * size[:, 0] * size[:, 1] + 2.0 * size[:, 2] * size[:, 1] + 2.0 * size[:, 0] * size[:, 2]
-            less = area < best[i]
-            best[i[less]], nn[i[less]] = area[less], i[less] + shift
-        at = np.arange(m)
+        nn, at = _nearest(boxes, radius), np.arange(len(ids))
         first = at[(nn[nn] == at) & (at < nn)]
         second = nn[first]
         new = next_id + np.arange(len(first))
@@ -86,26 +138,26 @@ def _finish(pdf: pd.DataFrame, next_id: int, radius: int) -> pd.DataFrame:
         total = n_tri[first] + n_tri[second]
         rows.append(pd.DataFrame(np.hstack([low, high]), columns=list(BOX)).assign(node_id=new, n_tri=total, left_id=ids[first], right_id=ids[second]))
         boxes[first], ids[first], n_tri[first] = np.hstack([low, high]), new, total
-        keep = np.ones(m, bool)
+        keep = np.ones(len(ids), bool)
         keep[second] = False
         boxes, ids, n_tri = boxes[keep], ids[keep], n_tri[keep]
     out = pd.concat(rows) if rows else pd.DataFrame(columns=["node_id", *BOX, "n_tri", "left_id", "right_id"])
     return out.assign(triangle_id=pd.array([None] * len(out), dtype="Int64"))[["node_id", *BOX, "triangle_id", "n_tri", "left_id", "right_id"]]
 
 
-def build(tri: DataFrame, radius: int = RADIUS, finish: int = FINISH) -> DataFrame:
+def build(tri: DataFrame, radius: int = RADIUS, finish: int = FINISH, span: int = SPAN) -> DataFrame:
     """All 2 n - 1 nodes (none for an empty table)."""
     first = settle(leaves(tri))
     clusters = clusters_of(first)
     n = next_id = first.count()
     nodes = first
     while n > finish:
-        merged, clusters = step(clusters, next_id, radius)
-        made = merged.count()
+        clusters, made = _round(clusters, n, next_id, radius, span)
+        merged = clusters.filter(F.col("node_id") >= next_id).select("node_id", *BOX, F.lit(None).cast("long").alias("triangle_id"), "n_tri", "left_id", "right_id")
         nodes, next_id, n = nodes.unionByName(merged), next_id + made, n - made
     if n > 1:
         at = next_id
-        last = clusters.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: _finish(pdf, at, radius), NODE)
+        last = clusters.select("pos", "node_id", "n_tri", *BOX).withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: _finish(pdf, at, radius), NODE)
         nodes = nodes.unionByName(settle(last))
     return nodes
 

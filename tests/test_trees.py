@@ -129,8 +129,17 @@ def test_hierarchy_invariants(spark, finish):
 
 def test_rounds_and_finish_agree(spark):
     tri = some_triangles(spark, 40)
-    one, other = (bvh.build(tri, finish=f).select("node_id", "left_id", "right_id", "n_tri").toPandas().sort_values("node_id").fillna(-1).astype(int) for f in (4096, 1))
-    assert one.values.tolist() == other.values.tolist()
+    made = [bvh.build(tri, radius=3, finish=f, span=s).select("node_id", "left_id", "right_id", "n_tri").toPandas().sort_values("node_id").fillna(-1).astype(int) for f, s in ((4096, 4096), (1, 7), (9, 4096))]
+    assert made[0].values.tolist() == made[1].values.tolist() == made[2].values.tolist()
+
+
+def test_a_round_of_spans_equals_the_joins(spark):
+    clusters = settle(bvh.clusters_of(bvh.leaves(some_triangles(spark, 90))))
+    nodes, _ = bvh.step(clusters, 90, radius=4)
+    after, made = bvh._round(clusters, 90, 90, 4, 11)
+    columns = ["node_id", *BOX, "n_tri", "left_id", "right_id"]
+    assert sorted(map(tuple, after.filter("node_id >= 90").select(*columns).collect())) == sorted(map(tuple, nodes.select(*columns).collect()))
+    assert made == nodes.count() and sorted(r["pos"] for r in after.collect()) == list(range(90 - made))
 
 
 def test_hierarchy_of_none_and_one(spark):
