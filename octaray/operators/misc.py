@@ -43,6 +43,52 @@ def to_sphere(points: DataFrame, key: str, radius: float, distance_squared: floa
     return points.select(key, (F.cos(2 * math.pi * r1) * s).alias("x"), (F.sin(2 * math.pi * r1) * s).alias("y"), z.alias("z"))
 
 
+#: Rounds of drawing at most: each leaves out under half of what is left, so that one point in 10^20 would be left.
+DRAWS = 64
+
+
+def _rejected(points: DataFrame, key: str, names: str) -> DataFrame:
+    """key, the accepted point of the square or cube (-1, 1) that lies strictly inside the unit ball, and its round.
+
+    Draws count up from 0 with salts of their own and need no state: the first that is accepted is the row's point.
+    """
+    axes = len(names)
+
+    def draw(i: Column) -> Column:
+        at = [((F.col(key) * 7919 + (i * axes + a + 1) * 104729 + 12345) % 65537) / F.lit(65537.0) * 2 - 1 for a in range(axes)]
+        return F.struct(*[c.alias(n) for n, c in zip(names, at, strict=True)], i.cast("int").alias("round"))
+
+    def inside(p: Column) -> Column:
+        return sum((p[n] * p[n] for n in names[1:]), p[names[0]] * p[names[0]]) < 1
+
+    # A fold that stops drawing once a point is accepted.
+    none = F.lit(None).cast("struct<" + ",".join(f"{n}:double" for n in names) + ",round:int>")
+    found = F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(DRAWS - 1).cast("long")), none, lambda kept, i: F.when(kept.isNotNull(), kept).otherwise(F.when(inside(draw(i)), draw(i))))
+    return points.select(key, found.alias("p")).select(key, *[F.col(f"p.{n}").alias(n) for n in names], "p.round")
+
+
+def disk_by_rejection(points: DataFrame, key: str) -> DataFrame:
+    return _rejected(points, key, "xy")
+
+
+def sphere_by_rejection(points: DataFrame, key: str) -> DataFrame:
+    return _rejected(points, key, "xyz")
+
+
+def uniform_range(id_: Column, salt: int, low: float, high: float) -> Column:
+    return F.lit(float(low)) + (high - low) * uniform(id_, salt)
+
+
+def uniform_int(id_: Column, salt: int, low: int, high: int) -> Column:
+    """A whole number from low up to, not including, high; fractions are cut off towards zero."""
+    return uniform_range(id_, salt, low, high).cast("int")
+
+
+def noise(points: DataFrame, key: str) -> DataFrame:
+    """A colour and a whole number of each row, from salts of their own."""
+    return points.select(key, *[uniform_range(F.col(key), i, 0.25, 0.75).alias(c) for i, c in enumerate("rgb", 1)], uniform_int(F.col(key), 4, -5, 6).alias("n"))
+
+
 def format_duration(nanos: Column) -> Column:
     """Picoseconds whole, up to seconds with three decimals (31ps, 4.200us), then 1:02.003, 4:00:09 and 3 days, 4:00:09. Not positive: null."""
     whole = nanos.cast("double")

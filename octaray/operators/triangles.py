@@ -60,8 +60,7 @@ def scene_bounds(boxes: DataFrame) -> DataFrame:
 
 
 def mesh_areas(tri: DataFrame) -> DataFrame:
-    held = areas(tri).join(tri.select("triangle_id", "mesh_id"), "triangle_id")
-    return held.groupBy("mesh_id").agg(F.round(F.sum("area"), 6).alias("area"))
+    return tri.groupBy("mesh_id").agg(F.round(F.sum(length(triangle_cross()) / 2), 6).alias("area"))
 
 
 def mesh_stats(tri: DataFrame) -> DataFrame:
@@ -87,16 +86,20 @@ def flatten(models: list[tuple[DataFrame, DataFrame, tuple]]) -> tuple[DataFrame
 
     Positions go through the model's matrix, its three rows of four (normals are not touched); each model's ids move behind those before it.
     """
-    vertex = index = None
-    base_v = base_t = 0
-    for k, (v, i, matrix) in enumerate(models):
-        nv, nt = v.count(), i.count()
-        moved = v.select((F.col("vertex_id") + base_v).alias("vertex_id"), F.lit(k).alias("model_id"), *[_affine(row).alias(x) for x, row in zip("xyz", matrix, strict=True)])
-        rebased = i.select((F.col("triangle_id") + base_t).alias("triangle_id"), *[(F.col(c) + base_v).alias(c) for c in ("i0", "i1", "i2")])
-        vertex = moved if vertex is None else vertex.unionByName(moved)
-        index = rebased if index is None else index.unionByName(rebased)
-        base_v, base_t = base_v + nv, base_t + nt
-    return vertex, index
+    rows = [[F.lit(k).alias("model_id"), *[_affine(row).alias(x) for x, row in zip("xyz", matrix, strict=True)]] for k, (_, _, matrix) in enumerate(models)]
+    vertex = reduce(DataFrame.unionByName, [v.select("vertex_id", *r) for (v, _, _), r in zip(models, rows, strict=True)])
+    index = reduce(DataFrame.unionByName, [i.select("triangle_id", "i0", "i1", "i2", F.lit(k).alias("model_id")) for k, (_, i, _) in enumerate(models)])
+    base_v, base_t = (F.broadcast(_offsets([m[j] for m in models], n)) for j, n in ((0, "_v"), (1, "_t")))  # one row for each model
+    vertex = vertex.join(base_v, "model_id").select((F.col("vertex_id") + F.col("_v")).alias("vertex_id"), "model_id", "x", "y", "z")
+    index = index.join(base_v, "model_id").join(base_t, "model_id")
+    return vertex, index.select((F.col("triangle_id") + F.col("_t")).alias("triangle_id"), *[(F.col(c) + F.col("_v")).alias(c) for c in ("i0", "i1", "i2")])
+
+
+def _offsets(frames: list[DataFrame], name: str) -> DataFrame:
+    """model_id and the number of rows of the frames before it: counted where the rows are read, by no action."""
+    counts = reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).withColumn("model_id", F.lit(k)) for k, df in enumerate(frames)])
+    before = Window.orderBy("model_id").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("model_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias(name))
 
 
 def recenter(vertex: DataFrame, max_scale: float | None) -> DataFrame:

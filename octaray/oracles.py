@@ -223,6 +223,39 @@ _COLLAPSE = """, single AS (SELECT depth, path FROM counts WHERE n_children = 1)
 tops AS (SELECT k.depth AS d, k.path AS p, min(s.depth) AS top FROM kept k JOIN single s ON s.depth <= k.depth AND s.path = k.path >> (3 * (k.depth - s.depth))::BIGINT GROUP BY 1, 2)
 SELECT depth, path, depth - CASE WHEN top IS NULL THEN 0 ELSE 1 END AS level, n_prims FROM kept LEFT JOIN tops ON d = depth AND p = path WHERE top IS NULL OR top < depth"""
 
+_MATRIX = [f"m{r}{c}" for r in range(3) for c in range(4)]
+
+
+def _graph() -> str:
+    turn = ((0.5, 0, 0, 0, 0.5, 0, 0, 0, 0.5), (0, -1.0, 0, 1.0, 0, 0, 0, 0, 1.0), (1.0, 0, 0, 0, 0, 1.0, 0, -1.0, 0))
+    shift = ("p_size", "k % 7", "k % 5")
+    own = [f"({shift[r]})::DOUBLE" if c == 3 else f"(CASE k % 3 WHEN 0 THEN {turn[0][3 * r + c]} WHEN 1 THEN {turn[1][3 * r + c]} ELSE {turn[2][3 * r + c]} END)::DOUBLE" for r in range(3) for c in range(4)]
+    joint = [" + ".join([f"p.m{r}{i} * g.m{i}{c}" for i in range(3)] + [f"p.m{r}3"] * (c == 3)) for r in range(3) for c in range(4)]
+    return f"""WITH RECURSIVE g AS (SELECT k, CASE WHEN k >= 4 THEN k // 4 END AS parent, k % 4 AS ord, {', '.join(f'{e} AS {m}' for e, m in zip(own, _MATRIX, strict=True))} FROM (SELECT p_partkey AS k, p_size FROM part)),
+w AS (
+  SELECT k, 0 AS depth, lpad(ord::VARCHAR, 2, '0') AS line, {', '.join(_MATRIX)} FROM g WHERE parent IS NULL
+  UNION ALL SELECT g.k, depth + 1, line || '/' || lpad(g.ord::VARCHAR, 2, '0'), {', '.join(f'{e} AS {m}' for e, m in zip(joint, _MATRIX, strict=True))} FROM w p JOIN g ON g.parent = p.k)
+SELECT k AS node_id, depth, (SELECT count(*) FROM w d WHERE starts_with(d.line, w.line)) AS size, row_number() OVER (ORDER BY line) - 1 AS position, {', '.join(_MATRIX)} FROM w"""
+
+
+def _snapshots() -> str:
+    own = [f"0.5::DOUBLE * {f}_{x} + (CASE kind WHEN 'add' THEN {a} ELSE {m} END)::DOUBLE AS own_{f}_{x}" for f in ("min", "max") for x, a, m in (("x", "k * 7 % 50", "k * 7 % 50 + 1000"), ("y", "k * 3 % 40", "k * 3 % 40 - 1000"), ("z", "k % 9", "k % 9"))]
+    run = [f"{f}(CASE WHEN kind = 'add' THEN own_{f}_{x} END) OVER (ORDER BY seq) AS {f}_{x}" for f in ("min", "max") for x in "xyz"]
+    return f"""WITH {TRI}, {BOUNDS}, mesh AS (SELECT triangle_id // 100 AS mesh_id, {', '.join(f'{f}({f}_{x}) AS {f}_{x}' for f in ('min', 'max') for x in 'xyz')} FROM bounds GROUP BY 1),
+e AS (SELECT s_suppkey AS k, s_suppkey * 2 AS seq, 'add' AS kind FROM supplier UNION ALL SELECT s_suppkey, s_suppkey * 2 + 5, 'move' FROM supplier WHERE s_suppkey % 2 = 0),
+o AS (SELECT seq, k AS model_id, kind, {', '.join(own)} FROM e JOIN mesh ON mesh_id = k % 2)
+SELECT seq, model_id, kind, count(*) FILTER (WHERE kind = 'add') OVER (ORDER BY seq) AS n_models, {', '.join(run)}, {', '.join(f'own_{f}_{x}' for f in ('min', 'max') for x in 'xyz')} FROM o"""
+
+
+def _rejection(names: str) -> str:
+    axes = len(names)
+    draws = [f"((c_custkey * 7919 + (i * {axes} + {a + 1}) * 104729 + 12345) % 65537) / 65537.0::DOUBLE * 2 - 1 AS {n}" for a, n in enumerate(names)]
+    return f"""WITH d AS (SELECT c_custkey, i, {', '.join(draws)} FROM customer, range(64) AS r(i))
+SELECT c_custkey, {', '.join(names)}, i::INT AS round FROM d WHERE {' + '.join(f'{n} * {n}' for n in names)} < 1 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY i) = 1"""
+
+
+_U1, _U2 = "(" + _UNIFORM.format(1) + ")", "(" + _UNIFORM.format(2) + ")"
+
 ORACLE_SQL = {
     "box_metrics": f"WITH {BOXES} SELECT prim_id, {_METRICS}, {AREA.format('max_x - min_x', 'max_y - min_y', 'max_z - min_z')} AS area, {AXIS} AS axis FROM boxes",
     "box_transform": _transform(),
@@ -290,6 +323,18 @@ SELECT node_id, depth FROM down""",
     "sample_hemisphere": f"""WITH p AS (SELECT c_custkey, 1 - 2 * ({_UNIFORM.format(1)}) AS z, {_UNIFORM.format(2)} AS v FROM customer),
 q AS (SELECT c_custkey, z, sqrt(greatest(0, 1 - z * z)) * cos(2 * pi() * v) AS x, sqrt(greatest(0, 1 - z * z)) * sin(2 * pi() * v) AS y, CASE WHEN z < 0 THEN -1 ELSE 1 END AS s FROM p)
 SELECT c_custkey, round(x * s, 6) AS x, round(y * s, 6) AS y, round(z * s, 6) AS z FROM q""",
+    "sample_cosine": f"SELECT c_custkey, round(cos(2 * pi() * {_U1}) * sqrt({_U2}), 6) AS x, round(sin(2 * pi() * {_U1}) * sqrt({_U2}), 6) AS y, round(sqrt(1 - {_U2}), 6) AS z FROM customer",
+    "sample_disk": f"SELECT c_custkey, round(cos(2 * pi() * {_U1}) * sqrt({_U2}), 6) AS x, round(sin(2 * pi() * {_U1}) * sqrt({_U2}), 6) AS y FROM customer",
+    "sample_to_sphere": f"""WITH z AS (SELECT c_custkey, {_U1} AS u, 1 + {_U2} * (sqrt(1 - 4.0::DOUBLE / 25.0) - 1) AS z FROM customer)
+SELECT c_custkey, round(cos(2 * pi() * u) * sqrt(1 - z * z), 6) AS x, round(sin(2 * pi() * u) * sqrt(1 - z * z), 6) AS y, round(z, 6) AS z FROM z""",
+    "sample_disk_rejection": _rejection("xy"),
+    "sample_sphere_rejection": _rejection("xyz"),
+    "sample_noise": "SELECT c_custkey, " + ", ".join(f"0.25::DOUBLE + 0.5::DOUBLE * ({_UNIFORM.format(i)}) AS {c}" for i, c in enumerate("rgb", 1)) + f", trunc(-5.0::DOUBLE + 11 * ({_UNIFORM.format(4)}))::INT AS n FROM customer",
+    "materials": """WITH m AS (SELECT p_partkey AS mesh_id, (p_partkey * 3 % 17) / 8.0::DOUBLE AS er, (p_partkey * 5 % 17) / 8.0::DOUBLE AS eg, (p_partkey * 7 % 17) / 8.0::DOUBLE AS eb, p_size * 20.0::DOUBLE / 1000 AS smoothness, (p_partkey % 4) / 4.0::DOUBLE AS metallic FROM part)
+SELECT mesh_id, greatest(er, eg, eb) AS strength, er * greatest(er, eg, eb, 1) AS er, eg * greatest(er, eg, eb, 1) AS eg, eb * greatest(er, eg, eb, 1) AS eb, smoothness, metallic FROM m""",
+    "scene_graph": _graph(),
+    "scene_snapshots": _snapshots(),
+    "collapse": _tree_sql(BVH, "SELECT depth, path, n_prims FROM kept LEFT JOIN counts USING (depth, path) WHERE n_children IS DISTINCT FROM 1", _WIDE),
     "format_duration": """WITH n AS (SELECT o_orderkey, o_orderkey::DOUBLE * o_orderkey * o_orderkey * 97 + 0.5 AS ns FROM orders),
 p AS (SELECT o_orderkey, floor((ns / 0.001::DOUBLE) % 1000)::INT AS ps, floor(ns % 1000)::INT AS n, floor((ns / 1e3::DOUBLE) % 1000)::INT AS us, floor((ns / 1e6::DOUBLE) % 1000)::INT AS ms,
   floor((ns / 1e9::DOUBLE) % 60)::INT AS s, floor((ns / 6e10::DOUBLE) % 60)::INT AS m, floor((ns / 3.6e12::DOUBLE) % 24)::INT AS h, floor(ns / 8.64e13::DOUBLE)::INT AS d FROM n)

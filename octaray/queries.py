@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions.camera import Camera
 from .functions.geometry import BOX, longest_axis, surface
 from .operators import boxes as box_ops
-from .operators import bvh, indexed, misc, rays, trees
+from .operators import bvh, indexed, misc, rays, scenes, trees
 from .operators import triangles as tri_ops
 from .operators.scans import running_sum
 from .oracles import ORACLE_SQL
@@ -173,6 +173,47 @@ def format_duration(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", misc.format_duration(nanos).alias("said"))
 
 
+def _graph(spark, sf_dir):
+    """A node for each part: node k hangs below node k // 4, those below 4 are roots; turns, halvings and shifts."""
+    k = F.col("p_partkey")
+    turn = {0: (0.5, 0, 0, 0, 0.5, 0, 0, 0, 0.5), 1: (0, -1.0, 0, 1.0, 0, 0, 0, 0, 1.0), 2: (1.0, 0, 0, 0, 0, 1.0, 0, -1.0, 0)}
+    shift = (F.col("p_size"), k % 7, k % 5)
+    cells = [shift[r] if c == 3 else F.when(k % 3 == 0, turn[0][3 * r + c]).when(k % 3 == 1, turn[1][3 * r + c]).otherwise(turn[2][3 * r + c]) for r in range(3) for c in range(4)]
+    parent = F.when(k >= 4, F.floor(k / 4))
+    return table(spark, sf_dir, "part").select(k.alias("node_id"), parent.alias("parent_id"), (k % 4).alias("ord"), *[v.cast("double").alias(m) for m, v in zip(scenes.MATRIX, cells, strict=True)])
+
+
+def scene_graph(spark, sf_dir):
+    return scenes.pre_order(scenes.world_matrices(_graph(spark, sf_dir))).select("node_id", "depth", "size", "position", *scenes.MATRIX)
+
+
+def scene_snapshots(spark, sf_dir):
+    """Every supplier is a model, the mesh of its number modulo the meshes; it is added, and moved later if its key is even."""
+    tri = triangles(spark, sf_dir)
+    size = F.lit(100)
+    mesh = tri_ops.bounds(tri).withColumn("mesh_id", F.floor(F.col("triangle_id") / size)).groupBy("mesh_id").agg(*[(F.min if n.startswith("min") else F.max)(n).alias(n) for n in BOX])
+    k = F.col("s_suppkey")
+    models = table(spark, sf_dir, "supplier").select(k.alias("model_id"), (k % 2).alias("mesh_id")).join(mesh, "mesh_id").drop("mesh_id")
+    shift = {"add": (k * 7 % 50, k * 3 % 40, k % 9), "move": (k * 7 % 50 + 1000, k * 3 % 40 - 1000, k % 9)}
+
+    def event(kind, seq):
+        cells = [shift[kind][r] if c == 3 else F.lit(0.5 if r == c else 0.0) for r in range(3) for c in range(4)]
+        return table(spark, sf_dir, "supplier").select(seq.alias("seq"), k.alias("model_id"), F.lit(kind).alias("kind"), *[v.cast("double").alias(m) for m, v in zip(scenes.MATRIX, cells, strict=True)])
+
+    events = event("add", k * 2).unionByName(event("move", k * 2 + 5).filter("model_id % 2 = 0"))
+    return scenes.scene_snapshots(events, models)
+
+
+def materials(spark, sf_dir):
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(k.alias("mesh_id"), *[(k * f % 17 / F.lit(8.0)).alias(c) for c, f in (("er", 3), ("eg", 5), ("eb", 7))], (F.col("p_size") * 20.0).alias("shininess"), (k % 4 / F.lit(4.0)).alias("ambient_r"))
+    return tri_ops.material(rows)
+
+
+def _sample(draw, *names):
+    return lambda s, d: draw(table(s, d, "customer"), "c_custkey").select("c_custkey", *[F.round(n, 6).alias(n) for n in names])
+
+
 QUERIES = {
     "box_metrics": lambda s, d: box_ops.metrics(boxes(s, d)),
     "box_transform": box_transform,
@@ -234,5 +275,15 @@ QUERIES = {
     "bvh_stats": lambda s, d: bvh.stats(bvh.build(triangles(s, d))),
     "bvh_depths": lambda s, d: bvh.depths(settle(bvh.build(triangles(s, d)))),
     "sample_hemisphere": lambda s, d: misc.hemisphere(table(s, d, "customer"), "c_custkey"),
+    "sample_cosine": _sample(misc.cosine_hemisphere, "x", "y", "z"),
+    "sample_disk": _sample(misc.unit_disk, "x", "y"),
+    "sample_to_sphere": _sample(lambda p, k: misc.to_sphere(p, k, 2.0, 25.0), "x", "y", "z"),
+    "sample_disk_rejection": lambda s, d: misc.disk_by_rejection(table(s, d, "customer"), "c_custkey"),
+    "sample_sphere_rejection": lambda s, d: misc.sphere_by_rejection(table(s, d, "customer"), "c_custkey"),
+    "sample_noise": lambda s, d: misc.noise(table(s, d, "customer"), "c_custkey"),
+    "materials": materials,
+    "scene_graph": scene_graph,
+    "scene_snapshots": scene_snapshots,
+    "collapse": lambda s, d: trees.collapse(trees.remove_empty(_sparse_tree(s, d, "tree_bvh")[0])).select("depth", "path", "n_prims"),
     "format_duration": format_duration,
 }
