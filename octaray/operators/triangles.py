@@ -140,6 +140,28 @@ def vertex_normals(index: DataFrame, tri: DataFrame) -> DataFrame:
     return n.select("vertex_id", *[(F.col(f"n{x}") / size).alias(f"n{x}") for x in "xyz"])
 
 
+def vertex_tangents(index: DataFrame, tri: DataFrame, corners_uv: DataFrame) -> DataFrame:
+    """vertex_id and the normalised sum of its triangles' tangents: the directions in which u grows.
+
+    corners_uv: triangle_id and u0, v0 .. u2, v2. Triangles whose texture points lie on one line add nothing.
+    """
+    a, b, c = corners()
+    e1, e2 = [q - p for p, q in zip(a, b, strict=True)], [q - p for p, q in zip(a, c, strict=True)]
+    du1, dv1, du2, dv2 = (F.col(f"{n}{i}") - F.col(f"{n}0") for i in (1, 2) for n in "uv")
+    det = F.nullif(du1 * dv2 - du2 * dv1, F.lit(0.0))
+    each = tri.join(corners_uv, "triangle_id").select("triangle_id", *[((p * dv2 - q * dv1) / det).alias(f"t{x}") for x, p, q in zip("xyz", e1, e2, strict=True)])
+    at = each.filter("tx IS NOT NULL").join(index, "triangle_id").select(F.explode(F.array("i0", "i1", "i2")).alias("vertex_id"), "tx", "ty", "tz")
+    summed = at.groupBy("vertex_id").agg(*[F.sum(f"t{x}").alias(f"t{x}") for x in "xyz"])
+    size = F.nullif(F.sqrt(F.col("tx") * F.col("tx") + F.col("ty") * F.col("ty") + F.col("tz") * F.col("tz")), F.lit(0.0))
+    return summed.select("vertex_id", *[(F.col(f"t{x}") / size).alias(f"t{x}") for x in "xyz"])
+
+
+def corner_uv(triangle: DataFrame, texture: DataFrame) -> DataFrame:
+    """triangle_id and the texture points u0, v0 .. u2, v2 of its corners, from t0 .. t2."""
+    at = triangle.select("triangle_id", F.posexplode(F.array("t0", "t1", "t2")).alias("corner", "texture_id")).join(texture, "texture_id")
+    return at.groupBy("triangle_id").agg(*[F.max(F.when(F.col("corner") == i, F.col(n))).alias(f"{n}{i}") for i in range(3) for n in "uv"])
+
+
 def morton_codes(tri: DataFrame) -> DataFrame:
     """30-bit codes of the centers of the triangles' bounds within the box of all triangles."""
     b = bounds(tri)

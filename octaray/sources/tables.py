@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geometry import BOX
+from .scratch import settle
 
 BOX_CSV = T.StructType([T.StructField(f"{a}_{e}", T.DoubleType()) for e in ("min", "max") for a in "xyz"])
 #: The scenes that trees and joins over the derived tables use: dyadic, so that splits are exact.
@@ -81,26 +82,90 @@ def cached_mesh(spark: SparkSession, path: str, importer) -> DataFrame:
     return spark.read.parquet(cache)
 
 
+#: Where a line of a text file stands: its file, the split that read it, and the order inside the split.
+SPLIT = ["file", "block"]
+
+
+def _text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """SPLIT, at and the words of every line. ``at`` is an order inside a split only."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = raw.select(*SPLIT, "at", F.split(F.trim("value"), r"\s+").alias("w"))
+    return lines.withColumn("kind", F.get("w", F.lit(0)))
+
+
+def _in_file_order(lines: DataFrame, counts: dict[str, Column], names: dict[str, Column]) -> DataFrame:
+    """``lines`` with running sums of ``counts``, their own included, and the latest non-null of ``names``, in file order.
+
+    Both run inside each split, and what the splits before it add comes from one row for each split.
+    """
+    lines = settle(lines.select("*", *[c.cast("long").alias(f"_{n}") for n, c in counts.items()], *[c.alias(f"_{n}") for n, c in names.items()]))
+    each = [F.sum(f"_{n}").alias(n) for n in counts] + [F.max(F.when(F.col(f"_{n}").isNotNull(), F.struct("at", F.col(f"_{n}").alias("s")))).alias(n) for n in names]
+    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # the splits of a file
+    files = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    splits = settle(lines.groupBy(*SPLIT).agg(*each))
+    whole = splits.groupBy("file").agg(*[F.sum(n).alias(n) for n in counts])
+    whole = whole.select("file", *[F.coalesce(F.sum(n).over(files), F.lit(0)).alias(f"_f_{n}") for n in counts])
+    base = splits.select(*SPLIT, *[F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"_b_{n}") for n in counts], *[F.last(F.col(f"{n}.s"), ignorenulls=True).over(ahead).alias(f"_b_{n}") for n in names])
+    inside = Window.partitionBy(*SPLIT).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    run = lines.select("*", *[F.sum(f"_{n}").over(inside).alias(f"_r_{n}") for n in counts], *[F.last(f"_{n}", ignorenulls=True).over(inside).alias(f"_r_{n}") for n in names])
+    run = run.join(F.broadcast(base), SPLIT).join(F.broadcast(whole), "file")  # a row for each split, and for each file
+    return run.select(*lines.columns, *[(F.col(f"_r_{n}") + F.col(f"_b_{n}") + F.col(f"_f_{n}")).alias(n) for n in counts], *[F.coalesce(f"_r_{n}", f"_b_{n}").alias(n) for n in names])
+
+
+def read_obj_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of Wavefront text: vertex, texture (u, v), normal and triangle, numbered in file order from 0.
+
+    triangle: triangle_id, the corners' vertices i0 .. i2, texture points t0 .. t2 and normals n0 .. n2 (null where a
+    corner names none), group ('o' or 'g') and material ('usemtl') in force. Polygons become fans. Negative numbers count
+    back from the line where they stand. Other records are left out.
+    """
+    lines = _text_lines(spark, path).filter(F.col("kind").isin("v", "vt", "vn", "f", "o", "g", "usemtl"))
+    counts = {"n_v": F.col("kind") == "v", "n_vt": F.col("kind") == "vt", "n_vn": F.col("kind") == "vn", "n_t": F.when(F.col("kind") == "f", F.greatest(F.lit(0), F.size("w") - 3)).otherwise(0)}
+    said = F.concat_ws(" ", F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))))
+    names = {"group": F.when(F.col("kind").isin("o", "g"), said), "material": F.when(F.col("kind") == "usemtl", said)}
+    lines = settle(_in_file_order(lines, counts, names))
+
+    def numbers(kind: str, count: str, key: str, *columns: str) -> DataFrame:
+        some = lines.filter(F.col("kind") == kind)
+        return some.select((F.col(count) - 1).alias(key), *[F.get("w", F.lit(i)).try_cast("double").alias(c) for i, c in enumerate(columns, 1)])
+
+    corner = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda c: F.split(c, "/"))
+    face = lines.filter("kind = 'f' AND size(w) > 3").select(corner.alias("c"), (F.col("n_t") - F.col("_n_t") - 1).alias("base"), "n_v", "n_vt", "n_vn", "group", "material")
+    fans = face.select("*", F.explode(F.sequence(F.lit(1), F.size("c") - 2)).alias("k"))
+
+    def index(place: Column, part: int, count: str) -> Column:
+        i = F.get(F.get("c", place), F.lit(part)).try_cast("long")
+        return F.when(i < 0, F.col(count) + i).otherwise(i - 1)
+
+    places = (F.lit(0), F.col("k"), F.col("k") + 1)
+    triangle = fans.select(
+        (F.col("base") + F.col("k")).alias("triangle_id"),
+        *[index(p, part, count).alias(f"{n}{j}") for part, (n, count) in enumerate((("i", "n_v"), ("t", "n_vt"), ("n", "n_vn"))) for j, p in enumerate(places)], "group", "material",
+    )
+    return {"vertex": numbers("v", "n_v", "vertex_id", "x", "y", "z"), "texture": numbers("vt", "n_vt", "texture_id", "u", "v"), "normal": numbers("vn", "n_vn", "normal_id", "nx", "ny", "nz"), "triangle": triangle}
+
+
 def read_obj(spark: SparkSession, path: str) -> DataFrame:
-    """Triangles (triangle_id, ax .. cz) of a Wavefront text file; polygons become fans. Vertices keep file order."""
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-    parts = lines.select("at", F.split(F.trim("value"), r"\s+").alias("w"))
-    vertex = parts.filter(F.col("w")[0] == "v").select("at", *[F.col("w")[i + 1].cast("double").alias(n) for i, n in enumerate("xyz")])
-    vertex = _numbered(vertex, "at", "vertex_id")
-    face = parts.filter(F.col("w")[0] == "f").select("at", F.transform(F.slice("w", 2, F.size("w") - 1), lambda c: F.split(c, "/")[0].cast("long") - 1).alias("v"))
-    fans = face.select("at", "v", F.explode(F.sequence(F.lit(1), F.size("v") - 2)).alias("k"))
-    fans = _numbered(fans.withColumn("order", F.struct("at", "k")), "order", "triangle_id")
-    fans = fans.select("triangle_id", F.col("v")[0].alias("i0"), F.col("v")[F.col("k")].alias("i1"), F.col("v")[F.col("k") + 1].alias("i2"))
+    """Triangles (triangle_id, ax .. cz) of Wavefront text, in file order."""
     from ..operators.triangles import assemble
 
-    return assemble(fans, vertex)
+    parts = read_obj_tables(spark, path)
+    return assemble(parts["triangle"].select("triangle_id", "i0", "i1", "i2"), parts["vertex"])
+
+
+def read_mtl(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each material of a Wavefront material file: name, colours, shininess and the diffuse texture's path.
 
+    Columns fit ``triangles.material`` once a mesh_id is joined by name: er, eg, eb (Ke), shininess (Ns), ambient_r (Ka).
+    """
+    said = F.concat_ws(" ", F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))))
+    lines = _in_file_order(_text_lines(spark, path), {"n": F.col("kind") == "newmtl"}, {"name": F.when(F.col("kind") == "newmtl", said)})
 
-def _numbered(df: DataFrame, order: str | Column, name: str) -> DataFrame:
-    """Row numbers in file order from 0; the import of one mesh file is the only caller."""
-    from pyspark.sql import Window
+    def value(kind: str, i: int) -> Column:
+        return F.max(F.when(F.col("kind") == kind, F.get("w", F.lit(i)).try_cast("double")))
 
-    return df.withColumn(name, F.row_number().over(Window.orderBy(order)) - 1)
+    colours = [value(k, i).alias(n) for k, names in (("Kd", ("dr", "dg", "db")), ("Ke", ("er", "eg", "eb"))) for i, n in enumerate(names, 1)]
+    return lines.filter("n > 0").groupBy((F.col("n") - 1).alias("material_id"), "name").agg(*colours, value("Ka", 1).alias("ambient_r"), value("Ns", 1).alias("shininess"), F.max(F.when(F.col("kind") == "map_Kd", said)).alias("diffuse_texture"))
 
 
 def weld(vertex: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -26,6 +26,85 @@ def test_obj_fans_weld_and_cache(spark, tmp_path):
     assert {(r["nx"], r["ny"], r["nz"]) for r in smooth} == {(0.0, 0.0, 1.0)}
 
 
+OBJ = """# two parts
+mtllib a.mtl
+o first part
+v 0 0 0
+v 1 0 0
+v 1 1 0
+v 0 1 0
+vt 0 0
+vt 1 0
+vt 1 1
+vt 0 1
+vn 0 0 1
+usemtl red
+f 1/1/1 2/2/1 3/3/1 4/4/1
+g second
+v 0 0 5
+usemtl glow
+f -1 1//-1 2
+f 1 2
+f 3/3 4/4 5
+"""
+
+
+def test_every_record_of_a_mesh_file(spark, tmp_path):
+    path = tmp_path / "two.obj"
+    path.write_text(OBJ)
+    got = tables.read_obj_tables(spark, str(path))
+    rows = [tuple(r) for r in got["triangle"].orderBy("triangle_id").collect()]
+    no = (None,) * 3
+    assert rows == [
+        (0, 0, 1, 2, 0, 1, 2, 0, 0, 0, "first part", "red"), (1, 0, 2, 3, 0, 2, 3, 0, 0, 0, "first part", "red"),
+        (2, 4, 0, 1, *no, None, 0, None, "second", "glow"), (3, 2, 3, 4, 2, 3, None, *no, "second", "glow"),
+    ]
+    assert [tuple(r) for r in got["vertex"].orderBy("vertex_id").collect()][3:] == [(3, 0.0, 1.0, 0.0), (4, 0.0, 0.0, 5.0)]
+    assert [tuple(r) for r in got["texture"].orderBy("texture_id").collect()] == [(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 1.0, 1.0), (3, 0.0, 1.0)]
+    assert [tuple(r) for r in got["normal"].collect()] == [(0, 0.0, 0.0, 1.0)]
+    tri, square = tables.read_obj(spark, str(path)), got["triangle"].filter("triangle_id < 2")
+    tangents = tri_ops.vertex_tangents(square, tri, tri_ops.corner_uv(square, got["texture"])).collect()
+    assert {(r["tx"], r["ty"], r["tz"]) for r in tangents} == {(1.0, 0.0, 0.0)} and len(tangents) == 4
+
+
+def test_mesh_file_over_many_splits(spark, tmp_path):
+    """Numbers, names and relative indices run on from split to split, without one task for the whole file."""
+    lines, n = [], 3000
+    for i in range(n):
+        lines += [f"v {i} 0 0", f"v {i} 1 0", f"v {i} 0 1"] + ([f"g part {i // 1000}"] if i % 1000 == 0 else []) + ["f -3 -2 -1"]
+    path = tmp_path / "long.obj"
+    path.write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        parts = tables.read_obj_tables(spark, str(path))
+        got = [tuple(r) for r in parts["triangle"].orderBy("triangle_id").select("triangle_id", "i0", "i1", "i2", "group").collect()]
+    finally:
+        for k, v in zip(("maxPartitionBytes", "openCostInBytes"), before, strict=True):
+            spark.conf.set(f"spark.sql.files.{k}", v)
+    assert got == [(i, 3 * i, 3 * i + 1, 3 * i + 2, f"part {i // 1000}") for i in range(n)]
+    assert parts["vertex"].filter("vertex_id = 3 * x").count() == n
+
+
+def test_material_file(spark, tmp_path):
+    path = tmp_path / "a.mtl"
+    path.write_text("newmtl red\nKd 1 0 0\nKa 0.5 0 0\nNs 250\nKe 0 0 0\nmap_Kd wood old.png\n\nnewmtl glow\nKe 2 4 1\nNs 10\n")
+    got = {r["name"]: r for r in tables.read_mtl(spark, str(path)).collect()}
+    assert got["red"]["diffuse_texture"] == "wood old.png" and got["red"]["dr"] == 1.0 and got["glow"]["dr"] is None
+    rows = tables.read_mtl(spark, str(path)).withColumn("mesh_id", F.col("material_id"))
+    told = {r["mesh_id"]: tuple(r)[1:] for r in tri_ops.material(rows).collect()}
+    assert told[0] == (0.0, 0.0, 0.0, 0.0, 0.25, 0.5) and told[1][:5] == (4.0, 8.0, 16.0, 4.0, 0.01)
+
+
+def test_flatten_runs_no_job(spark):
+    vertex, index = tables.vertices(tables.triangles(spark, "/root/testdata/sf0.001"))
+    jobs = spark._jsparkSession.sparkContext().dagScheduler().numTotalJobs
+    before = jobs()
+    tri_ops.flatten([(vertex, index, ((1.0, 0, 0, 0), (0, 1.0, 0, 0), (0, 0, 1.0, 0)))] * 3)
+    assert jobs() == before
+
+
 def test_box_csv_round_trip(spark, tmp_path):
     rows = [(0.0, 1.0, 2.0, 3.0, 4.0, 5.5)]
     tables.write_boxes_csv(spark.createDataFrame(rows, ", ".join(f"{n} double" for n in BOX)), str(tmp_path / "nodes"))
