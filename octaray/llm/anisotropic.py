@@ -14,7 +14,8 @@ candidates nor hides others. Ties go to the smaller id.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part, as queries and as
 candidates; vectors are compared only with those of their own length; fewer than ``k`` candidates are all returned; a
-query's own id is no candidate; an empty table gives no rows; extra columns are not read.
+query's own row is no candidate, while other rows of its id are; several rows under one id that is asked for have a list
+each, under that id; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -132,8 +133,8 @@ def least_code_score(reach: np.ndarray | float, along: np.ndarray, across: np.nd
     return bound - 1e-5 * query_length * (lengths + coded) - 1e-36
 
 
-CODED = "dim int, vec_id long, vector array<double>, code binary"
-HITS = "query_id long, vec_id long, score double"
+CODED = "dim int, row long, vec_id long, vector array<double>, code binary"
+HITS = "query_row long, query_id long, vec_id long, score double"
 
 
 def search(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = K, rerank: int = RERANK, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -158,32 +159,34 @@ def search(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddin
                 at = np.flatnonzero(pdf["dim"].to_numpy() == dim)
                 codes = pack_codes(assign(padded(matrix(pdf["vector"].iloc[at])), shared.value[dim], eta(int(dim))))
                 out[at] = [c.tobytes() for c in codes]
-            yield pdf.assign(code=out)[["dim", "vec_id", "vector", "code"]]
+            yield pdf.assign(code=out)[["dim", "row", "vec_id", "vector", "code"]]
 
-    index = settle(rows.select("dim", "vec_id", "vector").mapInPandas(encode, CODED))
+    # A row is known by a number of its own, written with the index: ids may repeat.
+    numbered = rows.select("dim", F.monotonically_increasing_id().alias("row"), "vec_id", "vector")
+    index = settle(numbered.mapInPandas(encode, CODED))
     total = sum(sizes.values())
     blocks = max(1, -(-total // BLOCK_ROWS))
-    queries = index.filter(is_query(F.col("vec_id"))).select("dim", F.col("vec_id").alias("query_id"), "vector")
+    queries = index.filter(is_query(F.col("vec_id"))).select("dim", F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), "vector")
     parts = max(1, -(-queries.count() // QUERY_ROWS))
     # Equal vectors meet in one block, by a hash of the vector, unless there are many: 64 salts by id spread those.
     salt = F.pmod(F.xxhash64("vec_id"), F.lit(64))
     placed = index.withColumn("block", F.pmod(F.xxhash64("vector", salt), F.lit(blocks)))
     placed = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    asked = queries.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    asked = queries.withColumn("part", F.pmod(F.xxhash64("query_row"), F.lit(parts)).cast("int"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def look(key, data: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if not len(data) or not len(wanted):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        data = data.sort_values("vec_id", kind="stable")
+            return pd.DataFrame({"query_row": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        data = data.sort_values(["vec_id", "row"])
         whole = matrix(data["vector"])
         _, first, group = np.unique(whole.view([("", whole.dtype)] * whole.shape[1]).ravel(), return_index=True, return_inverse=True)
-        ids = data["vec_id"].to_numpy()
+        ids, own_rows = data["vec_id"].to_numpy(), data["row"].to_numpy()
         order = np.argsort(group, kind="stable")
         start = np.concatenate([[0], np.cumsum(np.bincount(group))])
         vectors = whole[first]
         codes = np.ascontiguousarray(np.frombuffer(b"".join(data["code"].iloc[first]), dtype=np.uint8).reshape(len(first), -1).T)
-        queries, asked_ids = matrix(wanted["vector"]), wanted["query_id"].to_numpy()
+        queries, asked_ids, asked_rows = matrix(wanted["vector"]), wanted["query_id"].to_numpy(), wanted["query_row"].to_numpy()
         lengths = np.sqrt((vectors * vectors).sum(axis=1))
         coded = decode(codes, shared.value[int(key[0])], vectors.shape[1])
         along = (coded * vectors).sum(axis=1) / lengths
@@ -195,7 +198,8 @@ def search(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddin
             least = np.partition(exact, -(k + 1))[-(k + 1)] if len(exact) > k else -np.inf
             hits = []
             for g, value in zip(near[exact >= least].tolist(), exact[exact >= least].tolist(), strict=True):
-                hits += [(value, v) for v in ids[order[start[g] : start[g] + min(k + 1, start[g + 1] - start[g])]] if v != me]
+                at = order[start[g] : start[g] + min(k + 1, start[g + 1] - start[g])]
+                hits += [(value, v) for v, r in zip(ids[at], own_rows[at], strict=True) if r != me]
             hits.sort(key=lambda h: (-h[0], h[1]))
             return hits[:k]
 
@@ -204,7 +208,7 @@ def search(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddin
         for at in range(0, len(queries), 64):
             table = tables(padded(queries[at : at + 64]), shared.value[int(key[0])])
             for i, t in enumerate(table):
-                score, q, me = scan(t, codes), queries[at + i], asked_ids[at + i]
+                score, q, me = scan(t, codes), queries[at + i], asked_rows[at + i]
                 near = np.argpartition(-score, n - 1)[:n] if n < len(score) else np.arange(n)
                 exact = vectors[near] @ q
                 hits = listed(near, exact, me)
@@ -216,12 +220,12 @@ def search(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddin
                     if len(more):
                         near, exact = np.concatenate([near, more]), np.concatenate([exact, vectors[more] @ q])
                         hits = listed(near, exact, me)
-                out += [(me, v, s) for s, v in hits]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                out += [(me, asked_ids[at + i], v, s) for s, v in hits]
+        return pd.DataFrame(out, columns=["query_row", "query_id", "vec_id", "score"])
 
     keys = ["dim", "block", "part"]
     found = placed.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(look, HITS)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

@@ -138,3 +138,16 @@ def test_ties_at_the_cut_go_to_the_smaller_id(spark):
     x[np.arange(1, 400), np.arange(1, 400)] = 1
     got = anisotropic.search(frame(spark, x), lambda i: i == 0).toPandas().sort_values("rank")
     assert got["vec_id"].tolist() == list(range(1, 21)) and (got["score"] == 1).all()
+
+
+def test_rows_that_share_an_id_are_rows_of_their_own(spark):
+    rng = np.random.default_rng(6)
+    ids = [20, 20, 40, *range(1, 19), 3]
+    x = rng.normal(size=(len(ids), 8))
+    df = spark.createDataFrame([(i, v.tolist(), "clash") for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>, row string")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in anisotropic.search(df, lambda i: i % 20 == 0).collect())
+    want = []
+    for q in (0, 1, 2):
+        near = sorted((-float(x[q] @ v), i) for n, (i, v) in enumerate(zip(ids, x, strict=True)) if n != q)[:20]
+        want += [(ids[q], rank, i, round(-s, 9)) for rank, (s, i) in enumerate(near, 1)]
+    assert got == sorted(want) and len(got) == 60
