@@ -42,14 +42,17 @@ class Camera:
     eye: Vec3 = (0.0, 0.0, -15.0)
     look_at: Vec3 = (0.0, 0.0, 0.0)
     up: Vec3 = (0.0, 1.0, 0.0)
-    near: float = 0.1
+    near: float = 0.05
     far: float = 40.0
     fov_x: float = math.radians(20.0)
+    #: Set apart by ``with_fov_y`` only: any other angle follows from ``fov_x`` and the aspect when it was set.
+    fov_y_set: float | None = None
     width: int = 32
     height: int = 24
     orthographic: bool = False
     planar: bool = False
-    corner: tuple[float, float] = (-1.0, -1.0)
+    corner_set: tuple[float, float] | None = None
+    saved: Camera | None = None
 
     @property
     def aspect(self) -> float:
@@ -57,8 +60,35 @@ class Camera:
 
     @property
     def fov_y(self) -> float:
+        if self.fov_y_set is not None:
+            return self.fov_y_set
         return 2 * math.atan(math.tan(self.fov_x / 2) / self.aspect)
 
+    @property
+    def corner(self) -> tuple[float, float]:
+        """The lower left corner of an orthographic view."""
+        return (-2 * self.aspect, -2.0) if self.corner_set is None else self.corner_set
+
+    def with_fov_x(self, angle: float) -> Camera:
+        """The vertical angle follows."""
+        return replace(self, fov_x=angle, fov_y_set=None)
+
+    def with_fov_y(self, angle: float) -> Camera:
+        """The horizontal angle stays: the two no longer belong together."""
+        return replace(self, fov_y_set=angle)
+
+    def with_size(self, width: int, height: int) -> Camera:
+        """Another aspect: both angles stay, the corner keeps its height."""
+        return replace(self, width=width, height=height, fov_y_set=self.fov_y, corner_set=(self.corner[1] * width / height, self.corner[1]))
+
+    def save(self) -> Camera:
+        """This camera, which ``reset`` brings back after any moves."""
+        return replace(self, saved=replace(self, saved=None))
+
+    def reset(self) -> Camera:
+        """The saved camera, or as it stands if none was saved."""
+        return self if self.saved is None else replace(self.saved, saved=self.saved)
+
     def axes(self) -> tuple[Vec3, Vec3, Vec3]:
         """(u, v, n): right, up, backward; a view along the up vector takes a fixed right axis."""
         n = _unit(_sub(self.eye, self.look_at))
@@ -131,9 +161,9 @@ class Camera:
     def zoom(self, speed: float) -> Camera:
         if self.orthographic:
             corner = (self.corner[0] + speed, self.corner[1] + speed / self.aspect)
-            return replace(self, corner=corner) if corner[0] < 0 and corner[1] < 0 else self
+            return replace(self, corner_set=corner) if corner[0] < 0 and corner[1] < 0 else self
         fov = self.fov_y - speed
-        return replace(self, fov_x=2 * math.atan(math.tan(fov / 2) * self.aspect)) if 0 < fov < math.pi else self
+        return replace(self, fov_x=2 * math.atan(math.tan(fov / 2) * self.aspect), fov_y_set=None) if 0 < fov < math.pi else self
 
     def track(self, center: Vec3) -> Camera:
         return replace(self, look_at=center)

@@ -17,8 +17,11 @@ from .treelets import entry
 RAY = ("ox", "oy", "oz", "dx", "dy", "dz")
 
 
-def camera_rays(spark: SparkSession, camera: Camera, samples: int) -> DataFrame:
-    """W x H x samples rays; sub-pixel positions on a floor(sqrt(samples)) grid; id = x + y W + s W H."""
+def camera_rays(spark: SparkSession, camera: Camera, samples: int, ids: DataFrame | None = None) -> DataFrame:
+    """W x H x samples rays; sub-pixel positions on a floor(sqrt(samples)) grid; id = x + y W + s W H.
+
+    ``ids``: the rays wanted, as a column ``id``; all by default.
+    """
     w, h = camera.width, camera.height
     u, v, n = camera.axes()
     plane_h = 2 * camera.far * math.tan(camera.fov_y / 2)
@@ -29,7 +32,7 @@ def camera_rays(spark: SparkSession, camera: Camera, samples: int) -> DataFrame:
     px = (x + (s % side) / F.lit(float(side))) / F.lit(float(w)) * plane_w - plane_w / 2
     py = (y + F.floor(s / side) / F.lit(float(side))) / F.lit(float(h)) * plane_h - plane_h / 2
     d = [F.lit(u[a]) * px + F.lit(v[a]) * py - n[a] * camera.far for a in range(3)]
-    out = spark.range(w * h * samples).select(i.alias("ray_id"), x.cast("int").alias("px"), y.cast("int").alias("py"), *[c.alias(f"e{a}") for a, c in zip("xyz", d, strict=True)])
+    out = (spark.range(w * h * samples) if ids is None else ids).select(i.alias("ray_id"), x.cast("int").alias("px"), y.cast("int").alias("py"), *[c.alias(f"e{a}") for a, c in zip("xyz", d, strict=True)])
     size = F.sqrt(F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey") + F.col("ez") * F.col("ez"))
     return out.select("ray_id", "px", "py", *[F.lit(float(e)).alias(f"o{a}") for a, e in zip("xyz", camera.eye, strict=True)], *[(F.col(f"e{a}") / size).alias(f"d{a}") for a in "xyz"])
 

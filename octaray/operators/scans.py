@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settle
+
 ROWS = 4096
 
 
@@ -23,3 +25,19 @@ def global_rank(df: DataFrame, key: str, rows: int = ROWS) -> DataFrame:
     """``df`` with ``rank`` from 0 in order of an integer ``key``."""
     ranked = running_sum(df.withColumn("_one", F.lit(1).cast("long")), key, "_one", rows, inclusive=False)
     return ranked.withColumnRenamed("running", "rank").drop("_one")
+
+
+def sorted_position(df: DataFrame, keys: list[str], name: str = "position") -> DataFrame:
+    """``df`` with the row's number from 0 in order of any keys that tell rows apart.
+
+    Ranges of a global sort, each about as many rows however the keys lie, are numbered inside and moved by the sizes of
+    those before them. The ranges are settled, so that both steps see the same.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settle(df.repartitionByRange(parts, *keys).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_range").orderBy(*keys)
+    out = ranged.join(F.broadcast(sizes), "_range").withColumn(name, F.col("_base") + F.row_number().over(inside) - 1)
+    return out.drop("_range", "_base")

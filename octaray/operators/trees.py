@@ -13,12 +13,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import BOX, longest_axis, overlap, overlap_values
 from ..plans import schedule as plan
 from ..sources.scratch import settle
+from .scans import sorted_position
 from .treelets import Treelet, grow, runs
 
 PRIM = [f"p_{n}" for n in BOX]
@@ -203,15 +204,8 @@ def preorder_key(deepest: int):
 
 
 def preorder(nodes: DataFrame, deepest: int) -> DataFrame:
-    """Nodes with ``position`` in pre-order from 0: a global sort in ranges, then offsets of the ranges."""
-    keyed = nodes.withColumn("pre", preorder_key(deepest))
-    top = F.substring("pre", 1, 2)
-    sizes = keyed.groupBy(top.alias("top")).agg(F.count("*").alias("n"))
-    before = Window.orderBy("top").rowsBetween(Window.unboundedPreceding, -1)  # at most 73 rows
-    sizes = sizes.select("top", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("top").orderBy("pre")
-    out = keyed.withColumn("top", top).join(F.broadcast(sizes), "top")
-    return out.withColumn("position", F.col("base") + F.row_number().over(inside) - 1).drop("top", "base", "pre")
+    """Nodes with ``position`` in pre-order from 0."""
+    return sorted_position(nodes.withColumn("pre", preorder_key(deepest)), ["pre"]).drop("pre")
 
 
 def empty_cells(nodes: DataFrame, node_prims: DataFrame) -> DataFrame:

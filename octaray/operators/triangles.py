@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import BOX, center, corners, length, morton, triangle_bounds, triangle_cross
-from .scans import global_rank, running_sum
-
-MORTON_BUCKETS = 1 << 12
+from .scans import global_rank, running_sum, sorted_position
 
 
 def bounds(tri: DataFrame) -> DataFrame:
@@ -172,11 +170,5 @@ def morton_codes(tri: DataFrame) -> DataFrame:
 
 
 def morton_order(tri: DataFrame) -> DataFrame:
-    """position: the rank by (morton, triangle_id), from the ranks within code prefixes."""
-    codes = morton_codes(tri).withColumn("prefix", F.shiftright("morton", 18))
-    sizes = codes.groupBy("prefix").agg(F.count("*").alias("n"))
-    before = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)  # at most 4096 rows
-    sizes = sizes.select("prefix", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("prefix").orderBy("morton", "triangle_id")
-    out = codes.join(F.broadcast(sizes), "prefix").withColumn("position", F.col("base") + F.row_number().over(inside) - 1)
-    return out.drop("prefix", "base")
+    """position: the rank by (morton, triangle_id)."""
+    return sorted_position(morton_codes(tri), ["morton", "triangle_id"])

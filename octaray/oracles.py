@@ -280,7 +280,7 @@ ORACLE_SQL = {
     "recenter_scale": f"WITH {TRI}, {VERTEX}, e AS (SELECT {', '.join(f'(max({x}) + min({x})) / 2 AS m{x}, max({x}) - (max({x}) + min({x})) / 2 AS h{x}' for x in 'xyz')} FROM vertex) SELECT vertex_id, {', '.join(f'({x} - m{x}) * least(1.0::DOUBLE, 16.0::DOUBLE / nullif(greatest(hx, hy, hz), 0)) AS {x}' for x in 'xyz')} FROM vertex CROSS JOIN e",
     "area_cdf": f"WITH {TRI}, {CROSS}, a AS (SELECT triangle_id, sqrt(kx * kx + ky * ky + kz * kz) / 2 AS area FROM crossed) SELECT triangle_id, round(sum(area) OVER (ORDER BY triangle_id) / sum(area) OVER (), 6) AS cdf FROM a",
     "component_naming": "WITH c AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS r FROM supplier), f AS (SELECT range AS n, row_number() OVER (ORDER BY range) AS r FROM range((SELECT count(*) FROM supplier) + 25) WHERE range NOT IN (SELECT n_nationkey * 3 FROM nation)) SELECT s_suppkey, 'CADModel ' || n AS name FROM c JOIN f USING (r)",
-    "camera_rays": f"WITH {_camera()} SELECT ray_id, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('ox', 'oy', 'oz', 'dx', 'dy', 'dz'))} FROM rays",
+    "camera_rays": f"WITH {_camera()} SELECT c_custkey, ray_id, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('ox', 'oy', 'oz', 'dx', 'dy', 'dz'))} FROM customer JOIN rays ON ray_id = c_custkey % 3072",
     "ray_box": _ray_box(),
     "ray_triangle_hits": f"WITH {TRI}, {RAYS}, {HITS} SELECT ray_id, triangle_id, t FROM hits",
     "ray_query_bruteforce": f"WITH {TRI}, {RAYS}, {HITS} SELECT ray_id, t, triangle_id FROM nearest",
@@ -294,7 +294,7 @@ ORACLE_SQL = {
     "image_normalize": f"{IMAGE} SELECT px, py, round(r, 6) AS r, round(r, 6) AS g, round(r, 6) AS b, 1.0::DOUBLE AS a FROM norm",
     "image_quantize": f"{IMAGE} SELECT px, 23 - py AS row, floor(r * 255)::INT AS r, floor(r * 255)::INT AS g, floor(r * 255)::INT AS b, 255 AS a FROM norm",
     "normal_to_rgb": f"WITH {TRI}, {CROSS} SELECT triangle_id, (kx / nullif(l, 0) + 1) / 2 AS r, (ky / nullif(l, 0) + 1) / 2 AS g, (kz / nullif(l, 0) + 1) / 2 AS b FROM (SELECT *, sqrt(kx * kx + ky * ky + kz * kz) AS l FROM crossed)",
-    "level_schedule": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {d}, '{k}')" for n, kinds in _SCHEDULES.items() for d, k in enumerate(kinds)) + ") AS t(name, depth, cls)",
+    "level_schedule": "WITH k(name, depth, n, cls) AS (VALUES " + ", ".join(f"('{n}', {d}, {len(kinds)}, '{k}')" for n, kinds in _SCHEDULES.items() for d, k in enumerate(kinds)) + ") SELECT p_partkey, name, depth, cls FROM part JOIN k ON depth = p_partkey % n",
     **{name: _tree_sql(kinds) for name, kinds in _SCHEDULES.items()},
     "kd_split_plane": f"WITH {BOXES} SELECT path, max((min_x + max_x) / 2) AS plane FROM (SELECT *, prim_id % 25 AS path, row_number() OVER (PARTITION BY prim_id % 25 ORDER BY prim_id) AS k FROM boxes) WHERE k <= 2 GROUP BY path",
     "tree_stats": _tree_sql(OCTREE, "SELECT 4 AS levels, count(*) AS n_nodes, sum(is_leaf::INT)::BIGINT AS n_leaves, sum(n_prims)::BIGINT AS n_refs, (SELECT count(DISTINCT prim_id) FROM lv) AS n_distinct, sum(n_prims) / sum(is_leaf::INT)::DOUBLE AS avg_prims, (sum(is_leaf::INT) * 2)::BIGINT AS reported_leaves, sum(n_prims) / (sum(is_leaf::INT) * 2)::DOUBLE AS reported_avg FROM nodes"),

@@ -62,8 +62,20 @@ def _tree_query(name):
 
 
 def level_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(name, d, k) for name, c in SCHEDULES.items() for d, k in enumerate(plan.kinds_by_depth(c))]
-    return spark.createDataFrame(rows, "name string, depth int, cls string")
+    """The kind of node that each part's level has in every schedule; parts take turns through the levels."""
+    kinds = {name: plan.kinds_by_depth(c) for name, c in SCHEDULES.items()}
+    rows = [F.struct(F.lit(n).alias("name"), F.lit(k).alias("kinds")) for n, k in kinds.items()]
+    each = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(*rows)).alias("s"))
+    depth = (F.col("p_partkey") % F.size("s.kinds")).cast("int")
+    return each.select("p_partkey", "s.name", depth.alias("depth"), F.element_at("s.kinds", depth + 1).alias("cls"))
+
+
+def camera_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The camera's ray of every customer: customers take turns through the rays of the image."""
+    ids = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % (CAMERA.width * CAMERA.height * SAMPLES)).alias("id"))
+    made = rays.camera_rays(spark, CAMERA, SAMPLES, ids.select("id").distinct())
+    named = ids.join(made, F.col("id") == F.col("ray_id"))
+    return named.select("c_custkey", "ray_id", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in rays.RAY])
 
 
 def box_transform(spark, sf_dir):
@@ -238,7 +250,7 @@ QUERIES = {
     "recenter_scale": lambda s, d: tri_ops.recenter(vertices(triangles(s, d))[0], 16.0),
     "area_cdf": lambda s, d: tri_ops.area_cdf(triangles(s, d)),
     "component_naming": component_naming,
-    "camera_rays": lambda s, d: rays.camera_rays(s, CAMERA, SAMPLES).select("ray_id", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in rays.RAY]),
+    "camera_rays": camera_rays,
     "ray_box": lambda s, d: rays.box_hits(ray_table(s, d), RAY_BOX),
     "ray_triangle_hits": lambda s, d: rays.triangle_hits(*_hits(s, d)),
     "ray_query_bruteforce": lambda s, d: rays.nearest_bruteforce(*_hits(s, d)),

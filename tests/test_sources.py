@@ -138,6 +138,39 @@ def test_camera():
     assert math.isclose(math.dist(c.orbit_y(0.7).eye, c.look_at), 15.0)
 
 
+def test_projection():
+    c = Camera()
+    t = math.tan(c.fov_y / 2)
+    p = c.projection_matrix()
+    assert p[0][0] == pytest.approx(1 / (t * 4 / 3)) and p[1][1] == pytest.approx(1 / t) and p[3] == (0.0, 0.0, -1.0, 0.0)
+
+    def depth(z, m):
+        return (m[2][2] * z + m[2][3]) / (m[3][2] * z + m[3][3])
+
+    assert depth(-c.near, p) == pytest.approx(-1) and depth(-c.far, p) == pytest.approx(1)
+    flat = Camera(orthographic=True)
+    q = flat.projection_matrix()
+    assert flat.corner == (-2 * 32 / 24, -2.0) and q[0][0] == pytest.approx(24 / 64) and q[1][1] == 0.5
+    assert depth(-c.near, q) == pytest.approx(-1) and depth(-c.far, q) == pytest.approx(1)
+    near = flat.zoom(0.4)
+    assert near.corner == pytest.approx((-2 * 32 / 24 + 0.4, -2 + 0.3)) and flat.zoom(5.0) == flat
+    assert c.zoom(0.1).fov_y == pytest.approx(c.fov_y - 0.1)
+    eye = c.view_matrix()
+    assert [sum(r[i] * v for i, v in enumerate((*c.eye, 1.0))) for r in eye] == pytest.approx([0, 0, 0, 1])
+    assert c.truck(2.0).eye == (-2.0, 0.0, -15.0) and c.truck(2.0).axes() == c.axes()
+
+
+def test_camera_state():
+    c = Camera().save()
+    moved = c.truck(1.0).orbit_y(0.3).zoom(0.05)
+    assert moved != c and moved.reset() == c and moved.reset().truck(3.0).reset() == c
+    assert Camera().boom(1.0).reset() == Camera().boom(1.0)
+    tall = c.with_fov_y(1.0)
+    assert tall.fov_x == c.fov_x and tall.fov_y == 1.0 and tall.with_fov_x(0.5).fov_y == pytest.approx(Camera(fov_x=0.5).fov_y)
+    wide = c.with_size(64, 24)
+    assert wide.fov_y == pytest.approx(c.fov_y) and wide.fov_x == c.fov_x and wide.corner == pytest.approx((-2 * 64 / 24, -2.0))
+
+
 def test_image_of_misses_is_black(spark, tmp_path):
     c = Camera(width=4, height=3)
     r = rays.camera_rays(spark, c, 4)
