@@ -166,7 +166,7 @@ def search(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddin
     index = settle(numbered.mapInPandas(encode, CODED))
     total = sum(sizes.values())
     blocks = max(1, -(-total // BLOCK_ROWS))
-    queries = index.filter(is_query(F.col("vec_id"))).select("dim", F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), "vector")
+    queries = index.filter(is_query(F.col("vec_id"))).select("dim", F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("vector").alias("asked"))
     parts = max(1, -(-queries.count() // QUERY_ROWS))
     # Equal vectors meet in one block, by a hash of the vector, unless there are many: 64 salts by id spread those.
     salt = F.pmod(F.xxhash64("vec_id"), F.lit(64))
@@ -186,7 +186,7 @@ def search(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddin
         start = np.concatenate([[0], np.cumsum(np.bincount(group))])
         vectors = whole[first]
         codes = np.ascontiguousarray(np.frombuffer(b"".join(data["code"].iloc[first]), dtype=np.uint8).reshape(len(first), -1).T)
-        queries, asked_ids, asked_rows = matrix(wanted["vector"]), wanted["query_id"].to_numpy(), wanted["query_row"].to_numpy()
+        queries, asked_ids, asked_rows = matrix(wanted["asked"]), wanted["query_id"].to_numpy(), wanted["query_row"].to_numpy()
         lengths = np.sqrt((vectors * vectors).sum(axis=1))
         coded = decode(codes, shared.value[int(key[0])], vectors.shape[1])
         along = (coded * vectors).sum(axis=1) / lengths
