@@ -30,9 +30,9 @@ KEY = [*NODE, "chunk"]
 ARRAYS = ("boxes", "first", "kids", "start", "count", "held")
 ROW = "depth int, path long, chunk int, boxes array<double>, " + ", ".join(f"{n} array<int>" for n in ARRAYS[1:]) + ", ids array<long>, corners array<double>"
 #: Rays of one block that meets a treelet, and treelets that a ray searches in the first rounds.
-BLOCK, TURNS = 1 << 12, (1, 4)
+BLOCK, TURNS = 1 << 11, (1, 4)
 #: Triangles of a treelet of a hierarchy.
-HELD = 1 << 13
+HELD = 1 << 15
 #: Levels of the pyramid of grids: 2^10 cells along each axis.
 LEVELS = 10
 
@@ -252,7 +252,7 @@ def _searched(some: DataFrame, treelets: DataFrame, blocks: DataFrame) -> DataFr
         o, d = (np.stack([rays.column(f"{p}{x}").to_numpy() for x in "xyz"], axis=1) for p in "od")
 
         def meet(r: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            c = stacked[held].T
+            c = np.moveaxis(stacked[held], -1, 0)  # pairs, or a block of rays by triangles
             own = {f"{p}{x}": v[r, i] for p, v in (("o", o), ("d", d)) for i, x in enumerate("xyz")}
             return _meet(own, {"a": c[:3], "e1": c[3:6], "e2": c[6:9], "n": c[9:12], "d00": c[12], "d01": c[13], "d11": c[14]})
 
@@ -261,7 +261,11 @@ def _searched(some: DataFrame, treelets: DataFrame, blocks: DataFrame) -> DataFr
         return pa.table({"ray_id": rays.column("ray_id").to_numpy()[hit], "triangle_id": name, "t": t})
 
     columns = [F.col("ray_id").cast("long").alias("ray_id"), *RAY, F.col("best").cast("double").alias("best"), *key]
-    return left.select(*columns).groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(work, HIT)
+    # Few heavy groups: more partitions than that, or the runtime puts them into one task for their few bytes.
+    spark = some.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    left, right = (df.repartition(parts, *key).groupBy(*key) for df in (left.select(*columns), right))
+    return left.cogroup(right).applyInArrow(work, HIT)
 
 
 def through(rays: DataFrame, index: Index) -> DataFrame:

@@ -15,6 +15,8 @@ from ..plans import schedule as plan
 EPSILON = 1e-9
 #: Rays searched at once, pairs of rays and triangles tested at once, and leaves tested in the order of entry.
 RAYS, PAIRS, ROUNDS = 512, 1 << 15, (2, 8, 32)
+#: Primitives of a leaf that is tested as a block: all of them against all rays in it.
+DENSE = 48
 
 
 @dataclass
@@ -200,6 +202,10 @@ def search(tree: Treelet, ids: np.ndarray, o: np.ndarray, d: np.ndarray, bound:
 
 def _test(tree: Treelet, ids: np.ndarray, ray: np.ndarray, leaf: np.ndarray, best: np.ndarray, name: np.ndarray, meet) -> None:
     """Rays against all primitives of the leaves beside them, in bounded pieces; ``best`` and ``name`` follow."""
+    dense = tree.count[leaf] >= DENSE
+    if dense.any():
+        _test_blocks(tree, ids, ray[dense], leaf[dense], best, name, meet)
+        ray, leaf = ray[~dense], leaf[~dense]
     total = np.cumsum(tree.count[leaf])
     at = 0
     while at < len(leaf):
@@ -216,3 +222,25 @@ def _test(tree: Treelet, ids: np.ndarray, ray: np.ndarray, leaf: np.ndarray, bes
         nearer = (t < best[r]) | (name[r] < 0) | (i < name[r])  # t equals the best in the last two cases
         best[r[nearer]], name[r[nearer]] = t[nearer], i[nearer]
         at = to
+
+
+def _test_blocks(tree: Treelet, ids: np.ndarray, ray: np.ndarray, leaf: np.ndarray, best: np.ndarray, name: np.ndarray, meet) -> None:
+    """``_test`` for large leaves, one after the other: no row is gathered more than once for a block of rays."""
+    order = np.argsort(leaf, kind="stable")
+    ray, leaf = ray[order], leaf[order]
+    cuts = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1], True])
+    for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+        start, count = tree.start[leaf[begin]], tree.count[leaf[begin]]
+        for at in range(0, count, PAIRS):
+            held = tree.held[start + at : start + min(count, at + PAIRS)]
+            step = max(1, PAIRS // len(held))
+            for k in range(begin, end, step):
+                r = ray[k : min(k + step, end)]
+                t, hit = meet(r[:, None], held[None, :])
+                t = np.where(hit, t, np.inf)
+                least = t.min(axis=1)
+                some = np.flatnonzero(np.isfinite(least) & (least <= best[r]))
+                r, least = r[some], least[some]
+                i = np.where(t[some] == least[:, None], ids[held][None, :], np.iinfo(np.int64).max).min(axis=1)
+                nearer = (least < best[r]) | (name[r] < 0) | (i < name[r])  # t equals the best in the last two cases
+                best[r[nearer]], name[r[nearer]] = least[nearer], i[nearer]
