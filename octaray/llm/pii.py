@@ -12,11 +12,12 @@ by letter within vowels and consonants of their script.
 Collision checks: the distinct (entity, surrogate) pairs of all texts are gathered; entities whose surrogate another one
 has too, or equals an entity of the corpus (itself included), get the next surrogate of their chain, in distributed
 rounds over all pairs until no clash is left. From attempt ``LISTED`` on, listed names leave their list and are permuted
-by letters; from ``WIDER`` on, names and e-mail addresses get more letters, as their shape can be full. More than
-``MAX_CLASHES`` moved entities (they are broadcast) or ``MAX_ROUNDS`` rounds raise an error; no clash is left in silence.
+by letters; from ``WIDER`` on, names and e-mail addresses get more letters, as their shape can be full. Up to ``INLINE``
+moved entities are broadcast; more are joined with the texts that hold them, which changes the plan only. More than
+``MAX_ROUNDS`` rounds raise an error; no clash is left in silence.
 
 Cases: null and empty texts stay; texts are read whole; repeated rows are replaced alike; an empty table gives no rows;
-extra columns stay.
+extra columns stay, and where one is called ``n_entities`` or ``spans``, the new column gets underscores.
 """
 
 from __future__ import annotations
@@ -26,16 +27,17 @@ import hmac
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, settle
+from .common import free_name, read_table, settle, spread_join
 
 KEY = b"octaray surrogate key"
-MAX_CLASHES, MAX_ROUNDS = 100_000, 64
+INLINE, MAX_ROUNDS = 100_000, 64
 LISTED, WIDER = 4, 8
 
 #: Given names by script and gender, and surnames by script.
@@ -270,30 +272,59 @@ def settled_pairs(pairs: DataFrame, key: bytes) -> DataFrame:
 OUT = "text string, n_entities int, spans string"
 
 
-def replace_entities(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
+def _texts(texts: pd.Series, key: bytes, attempts: Iterator) -> pd.DataFrame:
+    """OUT of texts, each with a table of the attempts of its moved entities."""
+    rows = []
+    for t, attempt in zip(texts, attempts, strict=False):
+        spans = find_entities(t)
+        parts, at = [], 0
+        for s, e, kind in spans:
+            parts += [t[at:s], _replacement(kind, t[s:e], key, attempt.get((kind, canonical(kind, t[s:e])), 0))]
+            at = e
+        rows.append(("".join([*parts, t[at:]]) if spans else t, len(spans), ",".join(f"{k}:{s}:{e}" for s, e, k in spans)))
+    return pd.DataFrame(rows, columns=["text", "n_entities", "spans"])
+
+
+def _moved_by_text(docs: DataFrame, text: str, moved: DataFrame) -> DataFrame:
+    """mark (a hash of the text) and its moved entities: as many as the text holds. A frequent entity is dealt over tasks."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = {(m, k, canonical(k, t[s:e])) for m, t in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True) for s, e, k in find_entities(t)}
+            columns = list(zip(*rows, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], names=["mark", "kind", "entity"])
+
+    found = settle(docs.select(F.xxhash64(text).alias("mark"), text).mapInArrow(work, "mark long, kind string, entity string").distinct())
+    held = spread_join(found, moved, ["kind", "entity"])
+    return settle(held.groupBy("mark").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("moved")))
+
+
+def replace_entities(docs: DataFrame, text: str = "text", key: bytes = KEY, inline: int = INLINE) -> DataFrame:
     """``docs`` with the text's entities replaced, ``n_entities`` and ``spans`` (kind:start:end of the original text)."""
     spark = docs.sparkSession
     pairs = settled_pairs(entity_pairs(docs, text, key), key)
-    listed = pairs.filter("attempt > 0").select("kind", "entity", "attempt").distinct().limit(MAX_CLASHES + 1).collect()
-    if len(listed) > MAX_CLASHES:
-        raise ValueError("the key maps too many entities to the same surrogates")
-    again = spark.sparkContext.broadcast({(r["kind"], r["entity"]): r["attempt"] for r in listed})
-
-    @F.pandas_udf(OUT)
-    def work(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            spans = find_entities(t)
-            parts, at = [], 0
-            for s, e, kind in spans:
-                attempt = again.value.get((kind, canonical(kind, t[s:e])), 0)
-                parts += [t[at:s], _replacement(kind, t[s:e], key, attempt)]
-                at = e
-            rows.append(("".join([*parts, t[at:]]) if spans else t, len(spans), ",".join(f"{k}:{s}:{e}" for s, e, k in spans)))
-        return pd.DataFrame(rows, columns=["text", "n_entities", "spans"])
-
-    out = docs.withColumn("_new", work(F.col(text)))
-    return out.withColumn(text, F.col("_new.text")).withColumn("n_entities", F.col("_new.n_entities")).withColumn("spans", F.col("_new.spans")).drop("_new")
+    moved = pairs.filter("attempt > 0").select("kind", "entity", "attempt").distinct()
+    listed = moved.limit(inline + 1).collect()
+    new, mark, held = (free_name(docs, n) for n in ("new_text", "text_mark", "text_moved"))
+    if len(listed) <= inline:
+        again = spark.sparkContext.broadcast({(r["kind"], r["entity"]): r["attempt"] for r in listed})
+
+        @F.pandas_udf(OUT)
+        def alike(texts: pd.Series) -> pd.DataFrame:
+            return _texts(texts, key, repeat(again.value))
+
+        out = docs.withColumn(new, alike(F.col(text)))
+    else:
+
+        @F.pandas_udf(OUT)
+        def apart(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
+            return _texts(texts, key, ({} if v is None else {(r["kind"], r["entity"]): r["attempt"] for r in v} for v in lists))
+
+        told = _moved_by_text(docs, text, moved).select(F.col("mark").alias(mark), F.col("moved").alias(held))
+        joined = docs.withColumn(mark, F.xxhash64(text)).join(told, mark, "left")
+        out = joined.withColumn(new, apart(F.col(text), F.col(held)))
+    others = [F.col(new)["text"].alias(c) if c == text else F.col(c) for c in docs.columns]
+    return out.select(*others, *[F.col(new)[n].alias(free_name(docs, n)) for n in ("n_entities", "spans")])
 
 
 def op3_surrogates(spark, sf_dir: str) -> DataFrame:

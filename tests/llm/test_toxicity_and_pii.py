@@ -100,3 +100,18 @@ def test_no_surrogate_is_an_entity_or_another_surrogate(spark):
     assert not set(same) & {(k, pii.canonical(k, real[i])) for k, i in zip(kinds, out["doc_id"], strict=True)}
     # The two mentions of one telephone number may differ by their country code; all others are different entities.
     assert len(set(same)) >= len(real) - 1
+
+
+def test_moved_entities_are_joined_or_broadcast_alike(spark):
+    """Names of a full list clash; with no room in the plan they come by a join. Columns that clash stay."""
+    rows = [(i, f"we met {g} {s} and {g} {s} again", "kept", 7, "new", "mark") for i, (g, s) in enumerate((g, s) for g in pii.GIVEN["greek", "f"] for s in pii.SURNAMES["greek"])]
+    rows += [rows[0], (900, None, "kept", 7, "new", "mark"), (901, "", "kept", 7, "new", "mark"), (902, "x" * 100_000, "kept", 7, "new", "mark")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_entities int, new_text string, text_mark string")
+    one, other = (pii.replace_entities(df, inline=n) for n in (pii.INLINE, 0))
+    assert one.columns == other.columns == [*df.columns, "n_entities_", "spans_"]
+    got = sorted(map(tuple, one.collect()), key=repr)
+    assert got == sorted(map(tuple, other.collect()), key=repr)
+    assert {r[2:6] for r in got} == {("kept", 7, "new", "mark")} and {r[6] for r in got} == {0, 2}
+    assert pii.entity_pairs(df, "text", pii.KEY).count() == 80
+    assert pii.settled_pairs(pii.entity_pairs(df, "text", pii.KEY), pii.KEY).filter("attempt > 0").count() > 0
+    assert pii.replace_entities(df.limit(0)).collect() == []
