@@ -3,10 +3,11 @@
 Texts become ids (byte-level BPE) and an end id; documents longer than a sequence are cut into full pieces, with the
 remainder first. Full pieces fill a sequence alone. The other pieces are dealt evenly to shards of about ``shard_rows``
 pieces; a shard is packed by ``islands`` populations that evolve apart and pass their best packing on to the next
-island after each epoch. A chromosome is a list of bins. Crossover injects the other parent's best filled bins, removes
-the bins that hold duplicates of their pieces, and puts the displaced pieces back by best fit, largest first; mutation
-dissolves the emptiest bins and some random ones and best-fits their pieces. Fitness is fewer bins first, then the
-mean squared fill. Evolution starts from best-fit decreasing and is seeded, so reruns agree.
+island after each epoch. A chromosome is a list of bins. The first packing is best-fit decreasing; the others fill bin
+after bin by random choices, so that parents differ. Crossover injects the fullest bins of the other parent that this
+one lacks and removes the bins that hold duplicates of their pieces; mutation dissolves the emptiest bins and some
+random ones. Displaced pieces first replace shorter ones in bins that they fill better, then what is left goes back by
+best fit, largest first. Fitness is fewer bins first, then the mean squared fill. Evolution is seeded, so reruns agree.
 
 The number of shards follows the number of pieces, and each shard wastes at most about one bin against a packing of
 everything at once.
@@ -33,7 +34,10 @@ from pyspark.sql import functions as F
 from .common import byte_slices, read_table, settle
 
 CAPACITY, END_ID = 1024, 2
-SHARD_ROWS, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 2, 2, 4, 4
+SHARD_ROWS, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 2, 2, 8, 4
+#: Share of the bins that mutation dissolves (as many again at random); pieces of the largest bin that exchanges some;
+#: random choices for each place of a bin in the packings that evolution starts from.
+DISSOLVED, EXCHANGED, TRIES = 0.01, 12, (10, 2, 6)
 #: Encodings of words kept per Python worker; the cache is emptied when it is full.
 CACHE_WORDS = 400_000
 #: The vocabulary's word pattern starts anew at a space that is followed by anything but white space. In a text whose
@@ -145,100 +149,210 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_i
     return docs.mapInArrow(work, PIECE)
 
 
-class Bins:
-    """Best fit into open bins, by free space: ``at[f]`` holds the bins with f places left."""
-
-    def __init__(self, capacity: int, bins: list[list[int]], lengths: list[int]):
-        self.capacity, self.lengths, self.bins = capacity, lengths, bins
-        self.at: list[list[int]] = [[] for _ in range(capacity + 1)]
-        self.held = 0  # bit f: at[f] is not empty
-        for b, items in enumerate(bins):
-            self._open(b, capacity - sum(lengths[i] for i in items))
-
-    def _open(self, b: int, free: int) -> None:
-        if free:
-            self.at[free].append(b)
-            self.held |= 1 << free
-
-    def put(self, item: int) -> None:
-        size = self.lengths[item]
-        fitting = self.held >> size
+Packing = list[tuple[int, ...]]
+
+
+class Pool:
+    """Pieces without a bin, by length; bit n of ``mask``: some have length n."""
+
+    def __init__(self, items, lengths: list[int]):
+        self.lengths, self.at, self.mask, self.pairs = lengths, {}, 0, 0
+        for i in items:
+            self.add(i)
+
+    def add(self, item: int) -> None:
+        n = self.lengths[item]
+        self.at.setdefault(n, []).append(item)
+        self.mask |= 1 << n
+
+    def take(self, n: int) -> int:
+        here = self.at[n]
+        item = here.pop()
+        if not here:
+            del self.at[n]
+            self.mask ^= 1 << n
+        return item
+
+    def longest(self, room: int) -> int:
+        """The greatest length of at most ``room``; below 1: none."""
+        return (self.mask & ((2 << room) - 1)).bit_length() - 1
+
+    def add_pairs(self, capacity: int) -> None:
+        """Bit n of ``pairs``: two of the pieces had length n together when this was last called."""
+        sums = 0
+        for n, here in self.at.items():
+            sums |= (self.mask if len(here) > 1 else self.mask ^ (1 << n)) << n
+        self.pairs = sums & ((2 << capacity) - 1)
+
+    def split(self, total: int) -> tuple[int, ...]:
+        for n, here in self.at.items():
+            if total - n in self.at and (2 * n != total or len(here) > 1):
+                return n, total - n
+        return ()
+
+    def longest_pair(self, room: int, least: int, capacity: int) -> tuple[int, ...]:
+        """The lengths of two pieces, together as long as fits and longer than ``least``; (): there are none."""
+        low = (2 << room) - 1
+        while (total := (self.pairs & low).bit_length() - 1) > least:
+            if pair := self.split(total):
+                return pair
+            self.add_pairs(capacity)
+        return ()
+
+
+def best_fit(lengths: list[int], capacity: int, bins: Packing, items) -> Packing:
+    """Each item, in order, goes to the bin that it leaves with the least space."""
+    out: list = [list(b) for b in bins]
+    with_space: dict[int, list[int]] = {}
+    spaces = 0  # bit f: some bin has f places left
+
+    def leave(b: int, space: int) -> int:
+        if not space:
+            return 0
+        with_space.setdefault(space, []).append(b)
+        return 1 << space
+
+    for b, items_in in enumerate(out):
+        spaces |= leave(b, capacity - sum(lengths[i] for i in items_in))
+    for i in items:
+        n = lengths[i]
+        fitting = spaces >> n
         if fitting:
-            free = size + (fitting & -fitting).bit_length() - 1
-            b = self.at[free].pop()
-            if not self.at[free]:
-                self.held &= ~(1 << free)
-            self.bins[b].append(item)
-            self._open(b, free - size)
+            space = n + (fitting & -fitting).bit_length() - 1
+            b = with_space[space].pop()
+            if not with_space[space]:
+                spaces ^= 1 << space
         else:
-            self.bins.append([item])
-            self._open(len(self.bins) - 1, self.capacity - size)
-
-
-def best_fit(lengths: list[int], capacity: int, bins: list[list[int]], items) -> list[list[int]]:
-    packed = Bins(capacity, bins, lengths)
-    for i in sorted(items, key=lambda i: (-lengths[i], i)):
-        packed.put(i)
-    return packed.bins
-
-
-def fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> float:
+            b, space = len(out), capacity
+            out.append([])
+        out[b].append(i)
+        spaces |= leave(b, space - n)
+    return [tuple(sorted(b)) for b in out]
+
+
+def by_length(lengths: list[int], items) -> list[int]:
+    return sorted(items, key=lambda i: (-lengths[i], i))
+
+
+def tight_fit(lengths: list[int], capacity: int, rng, tries: int) -> Packing:
+    """Bin by bin: the longest piece left, then, again and again, the one or two of some random choices that fill best."""
+    pool, bins = Pool(range(len(lengths)), lengths), []
+    while pool.mask:
+        n = pool.mask.bit_length() - 1
+        inside, room = [pool.take(n)], capacity - n
+        while room and (longest := pool.longest(room)) > 0:
+            best = (longest,)
+            for some in rng.integers(1, room + 1, tries).tolist() if longest < room else ():
+                one = pool.longest(some)
+                if one < 1:
+                    continue
+                two = pool.longest(min(room - one, one if len(pool.at[one]) > 1 else one - 1))
+                if one + max(two, 0) > sum(best):
+                    best = (one, two) if two > 0 else (one,)
+            inside += [pool.take(n) for n in best]
+            room -= sum(best)
+        bins.append(tuple(sorted(inside)))
+    return bins
+
+
+def fitness(bins: Packing, lengths: list[int], capacity: int) -> float:
     return sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins)) - len(bins)
 
 
-def crossover(one: list[list[int]], other: list[list[int]], lengths: list[int], capacity: int, rng) -> list[list[int]]:
-    fills = sorted(other, key=lambda b: -sum(lengths[i] for i in b))
-    most = max(1, len(fills) // 2)
-    injected = fills[: int(rng.integers(max(1, most // 4), most + 1))]
+def replace_dominated(bins: Packing, pool: Pool, lengths: list[int], capacity: int, rng) -> None:
+    """Bins in random order give up to two pieces for one or two longer ones of the pool, those that fill them best.
+
+    The pool is left with more and shorter pieces, which best fit places more easily. Bins of over ``EXCHANGED`` pieces
+    stay as they are: small pieces fill them already.
+    """
+    pool.add_pairs(capacity)
+    for b in rng.permutation(len(bins)).tolist():
+        inside = bins[b]
+        sizes = [lengths[i] for i in inside]
+        space = capacity - sum(sizes)
+        if not space or len(inside) > EXCHANGED:
+            continue
+        choices = [((), 0), *(((x,), n) for x, n in enumerate(sizes)), *(((x, y), sizes[x] + sizes[y]) for x in range(len(sizes)) for y in range(x))]
+        gain, given, taken = 0, (), ()
+        for out, size in choices:
+            one = pool.longest(space + size)
+            if one - size > gain:
+                gain, given, taken = one - size, out, (one,)
+            if pair := pool.longest_pair(space + size, size + gain, capacity):
+                gain, given, taken = sum(pair) - size, out, pair
+            if gain == space:
+                break
+        if gain:
+            new = [pool.take(n) for n in taken]
+            for x in given:
+                pool.add(inside[x])
+            bins[b] = tuple(sorted([*(i for x, i in enumerate(inside) if x not in given), *new]))
+
+
+def crossover(one: Packing, other: Packing, lengths: list[int], capacity: int, rng) -> tuple[Packing, list[int]]:
+    """(bins, displaced pieces): some of the fullest bins of ``other`` that ``one`` lacks, and the bins of ``one`` that
+    hold none of their pieces."""
+    held_by_both = set(one)
+    lacking = sorted((b for b in other if b not in held_by_both), key=lambda b: (-sum(lengths[i] for i in b), b))
+    most = max(1, len(lacking) // 2)
+    injected = lacking[: int(rng.integers(max(1, most // 4), most + 1))]
     held = {i for b in injected for i in b}
     kept = [b for b in one if held.isdisjoint(b)]
-    inside = held.union(*kept) if kept else held
-    displaced = [i for b in one for i in b if i not in inside]
-    return best_fit(lengths, capacity, [list(b) for b in injected + kept], displaced)
+    inside = held.union(*kept)
+    return injected + kept, [i for b in one for i in b if i not in inside]
 
 
-def mutate(bins: list[list[int]], lengths: list[int], capacity: int, rng, share: float = 0.05) -> list[list[int]]:
+def mutate(bins: Packing, lengths: list[int], rng, share: float) -> tuple[Packing, list[int]]:
+    """(bins, displaced pieces): the emptiest bins and as many random ones are dissolved."""
+    if not bins:
+        return [], []
     order = sorted(range(len(bins)), key=lambda b: sum(lengths[i] for i in bins[b]))
-    n = max(1, int(len(bins) * share))
-    out = set(order[:n]) | set(rng.integers(0, len(bins), n).tolist())
-    return best_fit(lengths, capacity, [list(b) for k, b in enumerate(bins) if k not in out], [i for k in out for i in bins[k]])
+    n = max(2, int(len(bins) * share))
+    out = sorted({*order[:n], *rng.integers(0, len(bins), n).tolist()})
+    gone = set(out)
+    return [b for k, b in enumerate(bins) if k not in gone], [i for k in out for i in bins[k]]
+
+
+def offspring(one: Packing, other: Packing, lengths: list[int], capacity: int, rng, share: float) -> Packing:
+    bins, displaced = crossover(one, other, lengths, capacity, rng)
+    bins, more = mutate(bins, lengths, rng, share)
+    pool = Pool([*displaced, *more], lengths)
+    replace_dominated(bins, pool, lengths, capacity, rng)
+    return best_fit(lengths, capacity, bins, by_length(lengths, (i for here in pool.at.values() for i in here)))
 
 
-def evolve(lengths: list[int], capacity: int, population: list[list[list[int]]], generations: int, size: int, seed: int) -> list[list[list[int]]]:
-    """Best first. Ends early where the bins are as few as the words allow."""
+def evolve(lengths: list[int], capacity: int, population: list[Packing], generations: int, size: int, seed: int, share: float = DISSOLVED) -> list[Packing]:
+    """Best first. Ends early where the bins are as few as the lengths allow."""
     rng = np.random.default_rng(seed)
-    if not population:
-        population = [best_fit(lengths, capacity, [], range(len(lengths)))]
+    population = population or [best_fit(lengths, capacity, [], by_length(lengths, range(len(lengths))))]
     least = -(-sum(lengths) // capacity)
-    while len(population) < size and len(population[0]) > least:
-        population.append(mutate(population[0], lengths, capacity, rng, 0.3))
+    while len(population) < size and min(map(len, population)) > least:
+        population = [*population, tight_fit(lengths, capacity, rng, TRIES[len(population) % len(TRIES)])]
     worth = [fitness(p, lengths, capacity) for p in population]
     for _ in range(generations):
-        best = int(np.argmax(worth))
-        if len(population[best]) <= least:
+        if len(population) < 2 or min(map(len, population)) <= least:
             break
-        a, b = rng.choice(len(population), 2, replace=False)
-        child = mutate(crossover(population[a], population[b], lengths, capacity, rng), lengths, capacity, rng)
+        a, b = sorted(rng.choice(len(population), 2, replace=False).tolist(), key=lambda k: -worth[k])
+        child = offspring(population[a], population[b], lengths, capacity, rng, share)
         value, worst = fitness(child, lengths, capacity), int(np.argmin(worth))
-        if value > worth[worst]:
+        if value > worth[worst] and value not in worth:
             population[worst], worth[worst] = child, value
-    order = sorted(range(len(population)), key=lambda k: -worth[k])
-    return [population[k] for k in order]
+    return [population[k] for k in sorted(range(len(population)), key=lambda k: -worth[k])]
 
 
-def _numbers(bins: list[list[int]], n: int) -> bytes:
+def _numbers(bins: Packing, n: int) -> bytes:
     out = np.empty(n, dtype=np.int32)
     for b, items in enumerate(bins):
-        out[items] = b
+        out[list(items)] = b
     return out.tobytes()
 
 
-def _bins(numbers: bytes) -> list[list[int]]:
+def _bins(numbers: bytes) -> Packing:
     number = np.frombuffer(numbers, dtype=np.int32)
     out: list[list[int]] = [[] for _ in range(int(number.max()) + 1)] if len(number) else []
     for i, b in enumerate(number.tolist()):
         out[b].append(i)
-    return out
+    return [tuple(b) for b in out]
 
 
 ISLAND = "shard long, island int, lengths array<int>, packings array<binary>"
@@ -264,7 +378,7 @@ def _epoch(capacity: int, generations: int, population: int, epoch: int):
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION) -> DataFrame:
     """``pieces`` (with ``length``) plus sequence_id and offset."""
     names = pieces.columns
-    placed = pieces.withColumn("_row", F.monotonically_increasing_id())
+    placed = settle(pieces.withColumn("_row", F.monotonically_increasing_id()))  # numbers are fixed once they are written
     full = placed.filter(F.col("length") >= capacity)
     full = full.withColumn("sequence_id", -1 - F.col("_row")).withColumn("offset", F.lit(0).cast("long"))
     part = placed.filter(F.col("length") < capacity)
@@ -302,7 +416,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, shard_rows: int = S
 def pack(docs: DataFrame, vocabulary: str | None = None, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return pack_pieces(settle(cut_pieces(source, vocabulary or default_vocabulary(), capacity)), capacity)
+    return pack_pieces(cut_pieces(source, vocabulary or default_vocabulary(), capacity), capacity)
 
 
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:

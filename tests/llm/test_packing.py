@@ -53,12 +53,62 @@ def test_pack(spark, tokenizer):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_evolution_never_worsens_and_keeps_every_piece():
+def valid(bins, lengths, capacity=1024):
+    return sorted(i for b in bins for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= capacity for b in bins)
+
+
+def test_evolution_saves_bins():
+    """Triples that fill a bin each: best fit and the packings that evolution starts from need more bins than evolution."""
+    rng = np.random.default_rng(0)
+    lengths = []
+    for _ in range(600):
+        a, b = int(rng.integers(390, 513)), int(rng.integers(200, 300))
+        lengths += [a, b, 1024 - a - b]
+    lengths.sort(reverse=True)
+    start = packing.evolve(lengths, 1024, [], 0, 4, 1)
+    plain = packing.best_fit(lengths, 1024, [], range(len(lengths)))
+    few, many = (packing.evolve(lengths, 1024, [], n, 4, 1)[0] for n in (packing.GENERATIONS, 60))
+    assert all(valid(b, lengths) for b in (*start, plain, few, many))
+    assert 600 <= len(many) <= len(few) < len(plain) and len(many) < min(map(len, start)) and len(plain) - len(many) >= 0.8 * (len(plain) - 600)
+
+
+@pytest.mark.parametrize("low, high, n", [(1, 1024, 400), (200, 600, 90), (1, 3, 50), (1023, 1024, 5), (512, 513, 7), (1, 2, 0), (1, 2, 1)])
+def test_evolution_never_worsens_and_keeps_every_piece(low, high, n):
     rng = np.random.default_rng(4)
-    lengths = rng.integers(200, 600, 90).tolist()
-    start = packing.best_fit(lengths, 1024, [], range(90))
-    best = packing.evolve(lengths, 1024, [], 30, 6, 1)[0]
-    assert sorted(i for b in best for i in b) == list(range(90)) and all(sum(lengths[i] for i in b) <= 1024 for b in best)
-    assert packing.fitness(best, lengths, 1024) >= packing.fitness(start, lengths, 1024)
-    child = packing.crossover(start, best, lengths, 1024, rng)
-    assert sorted(i for b in child for i in b) == list(range(90))
+    lengths = sorted(rng.integers(low, high, n).tolist(), reverse=True)
+    start = packing.best_fit(lengths, 1024, [], range(n))
+    best = packing.evolve(lengths, 1024, [], 30, 6, 1)
+    assert all(valid(b, lengths) for b in best) and packing.fitness(best[0], lengths, 1024) >= packing.fitness(start, lengths, 1024)
+    assert packing.evolve(lengths, 1024, [], 30, 6, 1) == best
+    bins, displaced = packing.crossover(start, packing.tight_fit(lengths, 1024, rng, 3), lengths, 1024, rng)
+    assert sorted([*displaced, *(i for b in bins for i in b)]) == list(range(n))
+    bins, displaced = packing.mutate(start, lengths, rng, 0.1)
+    assert sorted([*displaced, *(i for b in bins for i in b)]) == list(range(n))
+
+
+def test_fewest_bins_by_trying_all():
+    """Small cases against the least number of bins, found by trying every assignment."""
+
+    def least(lengths, capacity, spaces=()):
+        if not lengths:
+            return len(spaces)
+        first, rest = lengths[0], lengths[1:]
+        tries = [least(rest, capacity, (*spaces, capacity - first))]
+        for s in {s for s in spaces if s >= first}:
+            k = spaces.index(s)
+            tries.append(least(rest, capacity, (*spaces[:k], s - first, *spaces[k + 1 :])))
+        return min(tries)
+
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        lengths = sorted(rng.integers(3, 12, 8).tolist(), reverse=True)
+        assert len(packing.evolve(lengths, 20, [], 30, 6, 1)[0]) == least(lengths, 20)
+
+
+def test_reruns_agree_and_shards_evolve_apart(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(n)) for i, n in enumerate([*rng.integers(200, 600, 900), 1024, 1024])]
+    pieces = spark.createDataFrame(rows, "doc_id long, length long").repartition(3)
+    one, two = (sorted(map(tuple, packing.pack_pieces(pieces, shard_rows=300).collect())) for _ in range(2))
+    assert one == two and len(one) == len(rows)
+    assert len({r[2] for r in one}) < len(packing.best_fit([n for _, n in rows], 1024, [], sorted(range(len(rows)), key=lambda i: -rows[i][1])))
