@@ -7,7 +7,7 @@ the mixed-radix number of their letters and digits, walked on until it leaves no
 equal entities get equal surrogates, different ones different surrogates, and punctuation, letter case, country codes
 and the state of a card's check digit stay. Telephone numbers are permuted by their digits, whatever their punctuation.
 Names move within a list of the same script and gender by a keyed step; names that are not listed are permuted letter
-by letter within vowels and consonants of their script.
+by letter within vowels and consonants of their script. Titles and initials stay.
 
 Collision checks: the distinct (entity, surrogate) pairs of all texts are gathered; entities whose surrogate another one
 has too, or equals an entity of the corpus (itself included), get the next surrogate of their chain, in distributed
@@ -16,6 +16,10 @@ by letters; from ``WIDER`` on, names and e-mail addresses get more letters, as t
 moved entities are broadcast; more are joined with the texts that hold them, which changes the plan only. More than
 ``MAX_ROUNDS`` rounds raise an error; no clash is left in silence.
 
+Coreference: a name is an entity by its words without titles. Surnames are settled first, each for all who bear it (one
+that is mentioned with only a title is an entity by itself); then full names, by their given names alone. So "Ms.
+Garcia" and "Maria Garcia" share a surname after any clash, and so do all the people of one surname.
+
 Cases: null and empty texts stay; texts are read whole; repeated rows are replaced alike; an empty table gives no rows;
 extra columns stay, and where one is called ``n_entities`` or ``spans``, the new column gets underscores.
 """
@@ -31,7 +35,7 @@ from itertools import repeat
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, read_table, settle, spread_join
@@ -127,9 +131,18 @@ def canonical(kind: str, text: str) -> str:
         return text.lower()
     if kind in ("phone", "card", "ssn"):
         return "".join(c for c in text if c.isdigit())
+    if kind == "name":
+        return " ".join(_parts(text)[1])
     return text
 
 
+def _parts(name: str) -> tuple[list[str], list[str]]:
+    """(titles, the other words) of a mention."""
+    words = name.split(" ")
+    n = next((i for i, w in enumerate(words[:-1]) if w.rstrip(".") not in TITLES), len(words) - 1)
+    return words[:n], words[n:]
+
+
 def _lead(text: str) -> int:
     """The digits of a number's country code."""
     if not text.startswith("+"):
@@ -147,14 +160,12 @@ def _step(words: list[str], word: str, key: bytes, tweak: str) -> str:
     return words[(words.index(word) + 1 + _digest(key, tweak) % (len(words) - 1)) % len(words)]
 
 
-def _one_name(word: str, key: bytes, tweak: str, listed: bool = True) -> str:
-    if listed:
-        for group, words in GIVEN.items():
+def _one_name(word: str, key: bytes, tweak: str, lists: list[dict]) -> str:
+    """A step in the first list that holds the word, or the word's letters permuted."""
+    for names in lists:
+        for group, words in names.items():
             if word in words:
-                return _step(words, word, key, f"{tweak}/given/{group}")
-        for script, words in SURNAMES.items():
-            if word in words:
-                return _step(words, word, key, f"{tweak}/surname/{script}")
+                return _step(words, word, key, f"{tweak}/{group}")
     return permute_text(word, key, f"{tweak}/name", _PHONETIC)
 
 
@@ -166,7 +177,10 @@ def _more(text: str, key: bytes, tweak: str, attempt: int) -> str:
 
 
 def surrogate(kind: str, text: str, key: bytes = KEY, attempt: int = 0) -> str:
-    """The replacement of one mention; ``attempt`` walks the entity's chain of surrogates."""
+    """The replacement of one mention; ``attempt`` walks the entity's chain of surrogates.
+
+    Of a "name", given names with the surrogate of the surname, the given names are replaced.
+    """
     tweak = f"{kind}/{attempt}"
     if kind == "email":
         local, _, domain = text.lower().rpartition("@")
@@ -192,9 +206,13 @@ def surrogate(kind: str, text: str, key: bytes = KEY, attempt: int = 0) -> str:
         digits = canonical(kind, text)
         lead = _lead(text)
         return _refill(text, digits[:lead] + permute_text(digits[lead:], key, tweak))
-    words = text.split(" ")
-    out = " ".join(w if w.rstrip(".") in TITLES or re.fullmatch(r"\w\.", w) else _one_name(w, key, tweak, attempt < LISTED) for w in words)
-    return out if attempt < WIDER else out + _more(text, key, tweak, attempt)
+    more = _more(text, key, tweak, attempt) if attempt >= WIDER else ""
+    if kind == "surname":
+        return _one_name(text, key, tweak, [SURNAMES, GIVEN] if attempt < LISTED else []) + more
+    *given, last = text.split(" ")
+    lists = [GIVEN, SURNAMES] if attempt < LISTED else []
+    given = [w if w.rstrip(".") in TITLES or re.fullmatch(r"\w\.", w) else _one_name(w, key, tweak, lists) for w in given]
+    return " ".join([given[0] + more, *given[1:], last])
 
 
 def find_entities(text: str | None) -> list[tuple[int, int, str]]:
@@ -217,6 +235,23 @@ def _replacement(kind: str, text: str, key: bytes, attempt: int) -> str:
     return surrogate(kind, text, key, attempt)
 
 
+def _mention(kind: str, text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> str:
+    """The replacement of a mention as it stands in a text; ``attempts`` of its entity and its surname, if not 0."""
+    if kind != "name":
+        return _replacement(kind, text, key, attempts.get((kind, canonical(kind, text)), 0))
+    titles, (*given, last) = _parts(text)
+    new = _replacement("surname", last, key, attempts.get(("surname", last), 0))
+    if given:
+        new = _replacement("name", " ".join([*given, new]), key, attempts.get(("name", " ".join([*given, last])), 0))
+    return " ".join([*titles, new])
+
+
+def _entities(kind: str, text: str) -> list[tuple[str, str]]:
+    """The entities whose attempts a mention's replacement depends on."""
+    whole = canonical(kind, text)
+    return [(kind, whole), ("surname", whole.rpartition(" ")[2])] if kind == "name" else [(kind, whole)]
+
+
 PAIRS = "kind string, entity string, form int, mention string, attempt int, surrogate string"
 
 
@@ -230,7 +265,7 @@ def entity_pairs(docs: DataFrame, text: str, key: bytes) -> DataFrame:
                 for s, e, kind in find_entities(t):
                     place = kind, canonical(kind, t[s:e]), _lead(t[s:e]) if kind == "phone" else 0
                     if place not in seen:
-                        seen[place] = t[s:e], canonical(kind, _replacement(kind, t[s:e], key, 0))
+                        seen[place] = t[s:e], canonical(kind, _mention(kind, t[s:e], key, {}))
             rows = [(*place, *said) for place, said in seen.items()]
             types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["kind", "entity", "form", "mention", "surrogate"])
@@ -240,16 +275,19 @@ def entity_pairs(docs: DataFrame, text: str, key: bytes) -> DataFrame:
     return pairs.select("kind", "entity", "form", "mention", F.lit(0).alias("attempt"), "surrogate")
 
 
-def clashes(pairs: DataFrame) -> DataFrame:
-    """(kind, entity) whose surrogate is an entity, or also another's surrogate: all but the smallest of those that share one."""
+def clashes(pairs: DataFrame, avoided: Column | None = None) -> DataFrame:
+    """(kind, entity) whose surrogate is an entity, or also another's surrogate: all but the smallest of those that share one.
+
+    ``avoided``: which pairs' entities no surrogate may equal, if not those of all.
+    """
     first = pairs.groupBy("kind", "surrogate").agg(F.min("entity").alias("first"), F.max("entity").alias("last")).filter("first <> last")
     shared = pairs.join(first, ["kind", "surrogate"]).filter("entity <> first").select("kind", "entity")
-    entities = pairs.select("kind", F.col("entity").alias("surrogate"))
+    entities = (pairs if avoided is None else pairs.filter(avoided)).select("kind", F.col("entity").alias("surrogate"))
     return shared.union(pairs.join(entities, ["kind", "surrogate"], "left_semi").select("kind", "entity")).distinct()
 
 
-def settled_pairs(pairs: DataFrame, key: bytes) -> DataFrame:
-    """``pairs`` with the attempt and surrogate of each at which no clash is left."""
+def _without_clashes(pairs: DataFrame, key: bytes) -> DataFrame:
+    """``PAIRS`` of kinds that do not depend on each other, at attempts that leave no clash."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,14 +299,41 @@ def settled_pairs(pairs: DataFrame, key: bytes) -> DataFrame:
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([f for f in batch.schema if f.name != "moved"]))
 
     pairs = settle(pairs)
+    # A surname is an entity where it is mentioned alone (form 1), and always its own.
+    avoided = F.expr("kind <> 'surname' OR form = 1 OR entity = surrogate")
     for _ in range(MAX_ROUNDS):
-        moved = settle(clashes(pairs))
+        moved = settle(clashes(pairs, avoided))
         if moved.isEmpty():
             return pairs
         pairs = settle(pairs.join(moved.withColumn("moved", F.lit(True)), ["kind", "entity"], "left").select(*pairs.columns, "moved").mapInArrow(work, PAIRS))
     raise ValueError("the entities of some shape leave no free surrogates")
 
 
+def _last_word(column: str) -> Column:
+    return F.substring_index(column, " ", -1)
+
+
+def _first_words(column: str) -> Column:
+    """All but the last word, with the space behind them."""
+    return F.col(column).substr(F.lit(1), F.length(column) - F.length(_last_word(column)))
+
+
+def settled_pairs(pairs: DataFrame, key: bytes) -> DataFrame:
+    """``pairs`` with the attempt and surrogate of each at which no clash is left, and a pair of kind "surname" for each
+    surname, mentioned alone (form 1) or not (0). Full names keep what is settled for their surnames."""
+    pairs = settle(pairs)
+    names, alone = pairs.filter("kind = 'name'"), ~F.col("entity").contains(" ")
+    surname = F.struct(F.lit("surname").alias("kind"), _last_word("entity").alias("entity"), alone.cast("int").alias("form"), _last_word("entity").alias("mention"))
+    surnames = names.groupBy(surname.alias("of")).agg(F.min(_last_word("surrogate")).alias("surrogate"))
+    surnames = surnames.select("of.*", F.lit(0).alias("attempt"), "surrogate")
+    apart = _without_clashes(pairs.filter("kind <> 'name'").unionByName(surnames), key)
+
+    new = apart.filter("kind = 'surname'").select(F.col("entity").alias("_last"), F.col("surrogate").alias("_new")).distinct()
+    full = spread_join(names.filter(~alone).withColumn("_last", _last_word("entity")), new, ["_last"])
+    full = full.withColumn("mention", F.concat(_first_words("entity"), "_new")).withColumn("surrogate", F.concat(_first_words("surrogate"), "_new"))
+    return apart.unionByName(_without_clashes(full.select(*pairs.columns), key))
+
+
 OUT = "text string, n_entities int, spans string"
 
 
@@ -279,7 +344,7 @@ def _texts(texts: pd.Series, key: bytes, attempts: Iterator) -> pd.DataFrame:
         spans = find_entities(t)
         parts, at = [], 0
         for s, e, kind in spans:
-            parts += [t[at:s], _replacement(kind, t[s:e], key, attempt.get((kind, canonical(kind, t[s:e])), 0))]
+            parts += [t[at:s], _mention(kind, t[s:e], key, attempt)]
             at = e
         rows.append(("".join([*parts, t[at:]]) if spans else t, len(spans), ",".join(f"{k}:{s}:{e}" for s, e, k in spans)))
     return pd.DataFrame(rows, columns=["text", "n_entities", "spans"])
@@ -290,7 +355,7 @@ def _moved_by_text(docs: DataFrame, text: str, moved: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {(m, k, canonical(k, t[s:e])) for m, t in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True) for s, e, k in find_entities(t)}
+            rows = {(m, *x) for m, t in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True) for s, e, k in find_entities(t) for x in _entities(k, t[s:e])}
             columns = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], names=["mark", "kind", "entity"])
 

@@ -4,7 +4,6 @@ import numpy as np
 
 from octaray.llm import pii, toxicity
 from octaray.llm.common import crc_mod
-from pyspark.sql import functions as F
 
 INSULTS = "idiot moron worthless pathetic".split()
 
@@ -47,6 +46,40 @@ def test_decoding_keeps_plain_words():
         assert toxicity.decode(word, model, classes) == word
 
 
+def test_decoding_is_the_best_of_all_readings():
+    """Viterbi against every path of the lattice, under a character model counted from words."""
+    rng = np.random.default_rng(3)
+    counts = np.zeros(toxicity.CLASSES**4, dtype=np.int64)
+    table = toxicity.class_table()
+    for word in "idiot moron pathetic worthless late tale ill toil goat boat allot tattoo".split() * 20:
+        code = table[np.frombuffer(f"\n\n\n{word}\n".encode(), dtype=np.uint8)]
+        np.add.at(counts, ((code[:-3] * 28 + code[1:-2]) * 28 + code[2:-1]) * 28 + code[3:], 1)
+    model, classes = toxicity.character_model(counts), {c: i + 1 for i, c in enumerate(toxicity.LETTERS)}
+
+    def worth(text, cost):
+        code = [0, 0, 0, *(classes.get(c, 27 if c.isalpha() else 0) for c in text), 0]
+        return cost + sum(float(model[(code[i] * 28 + code[i + 1]) * 28 + code[i + 2], code[i + 3]]) for i in range(len(code) - 3))
+
+    tokens = ["1d10t", "m0r*n", "p.a-t", "ttta1!", "g0|at", "b00at", "é1l", "*#o"]
+    tokens += ["".join(rng.choice(list("aotil013|.*"), rng.integers(1, 5))) for _ in range(60)]
+    for token in tokens:
+        paths = [("", 0.0)]
+        for options in toxicity.lattice(token):
+            paths = [(said + text, cost + more) for said, cost in paths for text, more in options]
+        best = max(worth(*p) for p in paths)
+        said = toxicity.decode(token, model, classes)
+        assert abs(max(worth(t, c) for t, c in paths if t == said) - best) < 1e-4, (token, said)
+
+
+def test_a_score_at_the_threshold_is_toxic(spark):
+    """One word with a precision of 0.7, alone and with others; a score is the noisy-or of what a text shows."""
+    chars = spark.sparkContext.broadcast(toxicity.character_model(np.ones(toxicity.CLASSES**4, dtype=np.int64)))
+    model = {"chars": chars, "features": {"=kalomi": 0, "=terona": 1}, "precision": [toxicity.THRESHOLD, 0.5], "base": 0.0}
+    rows = [(1, "a kalomi b"), (2, "terona"), (3, "Kalomi terona kalomi"), (4, "x" * 50_000), (5, None)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert abs(got[1] - 0.7) < 1e-12 and got[2] == 0.5 and abs(got[3] - 0.85) < 1e-12 and got[4] == got[5] == 0
+
+
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -86,7 +119,6 @@ def test_permutations_are_one_to_one():
 def test_clashes_are_found(spark):
     pairs = spark.createDataFrame([("a", "x", "s"), ("a", "y", "s"), ("a", "z", "t"), ("b", "x", "s")], "kind string, entity string, surrogate string")
     assert [tuple(r) for r in pii.clashes(pairs).collect()] == [("a", "y")]
-    assert F is not None
 
 
 def test_no_surrogate_is_an_entity_or_another_surrogate(spark):
@@ -115,3 +147,25 @@ def test_moved_entities_are_joined_or_broadcast_alike(spark):
     assert pii.entity_pairs(df, "text", pii.KEY).count() == 80
     assert pii.settled_pairs(pii.entity_pairs(df, "text", pii.KEY), pii.KEY).filter("attempt > 0").count() > 0
     assert pii.replace_entities(df.limit(0)).collect() == []
+
+
+def test_people_keep_one_surname_after_clashes(spark):
+    """A dense corpus: listed given names times listed surnames, each with a mention by title; every full name clashes."""
+    given, last = [*pii.GIVEN["latin", "f"][:12], *pii.GIVEN["latin", "m"][:12]], [*pii.SURNAMES["latin"][:20], "Qarvel", "Ostby"]
+    people = [(g, s) for g in given for s in last]
+    rows = [(i, f"we met {g} {s} and Mr. {s} too, then Dr. {g} {s}") for i, (g, s) in enumerate(people)]
+    rows += [(5000 + i, f"{g} {s}") for i, (g, s) in enumerate((g, s) for g in pii.GIVEN["greek", "m"] for s in pii.SURNAMES["greek"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for inline in (pii.INLINE, 0):
+        out = {r["doc_id"]: r["text"] for r in pii.replace_entities(df, inline=inline).collect()}
+        said = {}
+        for i, (g, s) in enumerate(people):
+            first, surname, alone, again = out[i].removeprefix("we met ").replace(" and Mr. ", " ").replace(" too, then Dr. ", " ").split(" ", 3)
+            assert alone == surname and again == f"{first} {surname}"
+            said[g, s] = first, surname
+        assert len(set(said.values())) == len(people) and not set(said.values()) & set(people)
+        assert len({n for _, n in said.values()}) == len(last) == len({(s, said[g, s][1]) for g, s in people})
+        greek = {out[i] for i in out if i >= 5000}
+        assert len(greek) == 80 and not greek & {t for i, t in rows if i >= 5000}
+        assert len({t.split(" ")[1] for t in greek}) == len(pii.SURNAMES["greek"])
+    assert pii.canonical("name", "Dr. Maria Garcia") == "Maria Garcia" and pii.canonical("name", "Ms. Garcia") == "Garcia"
