@@ -62,6 +62,39 @@ def test_beams_widen_until_the_audit_passes():
     assert sum(len(e[0]) for e in links.edges) < len(u)
 
 
+def test_audits_measure_where_no_query_has_links(spark):
+    """Vectors far from each other: what is looked for is planted, found, and left out of the result."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1500, 32)).astype(np.float32)
+    nodes = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "rep long, weight long, vector array<float>")
+    found = hnsw.vector_links(nodes, 0.9)
+    audit = hnsw.audited_recall(found).first()
+    assert audit["links"] >= 1000 and audit["recall"] >= hnsw.AUDIT_RECALL
+    assert found.filter("kind <> 2").count() == 0
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (hnsw.planted(u.astype(np.float64), 0.9, 200, rng) @ u.T).max(axis=1)
+    assert (near >= 0.9 - 1e-6).all() and near.min() < 0.92 and near.max() > 0.98
+    assert np.allclose(hnsw.planted(np.ones((3, 1)), 0.9, 5, rng), 1)
+
+
+@pytest.mark.parametrize("links", [3, 6])
+def test_a_poor_graph_loses_no_link(links):
+    """With few links a node, the first beams miss links, or no beam reaches them: they widen until nothing is missed."""
+    rng = np.random.default_rng(9)
+    u = rng.normal(size=(600, 24))
+    u[400:] = u[:200] + rng.normal(size=(200, 24)) * 0.25
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    graph, ids = hnsw.Graph(u), np.arange(len(u))
+    graph.layers[0].near[:, links:] = -1
+    true = u @ u.T >= 0.9
+    q, v, _ = hnsw._met(graph, u[graph.order], u, 0.9, hnsw.BEAM)
+    assert links > 3 or len(q) < 0.9 * true.sum()
+    found = hnsw.Links(ids, ids, np.ones(len(u)))
+    asked, got = hnsw.find_links(graph, u, u, 0.9, 1, found)
+    assert got >= hnsw.AUDIT_RECALL * asked and (found.weight <= true.sum(axis=1) - 1).all()
+    assert found.weight.sum() >= 0.995 * (true.sum() - len(u)) > 300 and (links > 3 or found.weight.sum() == true.sum() - len(u))
+
+
 def test_repeated_ids(spark):
     rows = [(1, [1.0, 0.0]), (1, None), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (None, [1.0, 0.0]), (2, [1.0, 0.01])]
     got = hnsw.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
