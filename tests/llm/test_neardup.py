@@ -102,3 +102,57 @@ def test_connected_components(spark):
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {i: 1 for i in range(1, 71)} | dict.fromkeys((100, 200, 300), 100) | {500 + i: 500 for i in range(30)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def edited_copies(rng, words, n):
+    """Chains in which each text is the one before it with two words changed, with gaps; and one group of copies of a
+    base that is not among them, with two to five changes each."""
+    rows = []
+    for _ in range(4):
+        text = [rng.choice(words) for _ in range(300)]
+        for _ in range(n // 8):
+            for _ in range(2):
+                text[rng.randrange(300)] = rng.choice(words)
+            if rng.random() < 0.5:
+                rows.append(" ".join(text))
+    base = [rng.choice(words) for _ in range(300)]
+    for _ in range(n // 2):
+        copy = list(base)
+        for at in rng.sample(range(300), rng.randint(2, 5)):
+            copy[at] = rng.choice(words)
+        rows.append(" ".join(copy))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_edited_copies_without_a_common_original_lose_no_link(spark):
+    """Links close to the threshold in large groups; each component must be that of all pairs."""
+    rng = random.Random(11)
+    rows = edited_copies(rng, [f"w{k}" for k in range(20_000)], 1000)
+    sets = [shingles(t) for t in rows]
+    number = {g: k for k, g in enumerate({g for s in sets for g in s})}
+    held = np.zeros((len(rows), len(number)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        held[i, [number[g] for g in s]] = 1
+    both, size = held @ held.T, held.sum(axis=1)
+    near = both >= 0.8 * (size[:, None] + size[None, :] - both) - 1e-3
+    top = np.arange(len(rows))
+    while True:
+        after = np.array([top[near[i]].min() for i in range(len(rows))])
+        if (after == top).all():
+            break
+        top = after
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["component"] for r in got.collect()} == dict(enumerate(top.tolist()))
+    assert 20 < len(set(top.tolist())) < len(rows) / 2
+
+
+def test_order_counts(spark):
+    """Two texts of the same paragraphs in another order share nearly all word runs, but only half of them in order."""
+    rng = random.Random(5)
+    paragraphs = [" ".join(f"t{rng.randrange(5000)}" for _ in range(80)) for _ in range(6)]
+    one, other = "\n".join(paragraphs), "\n".join(paragraphs[3:] + paragraphs[:3])
+    assert len(shingles(one) & shingles(other)) >= 0.9 * len(shingles(one) | shingles(other))
+    rows = [(1, one), (2, other), (3, one.replace(paragraphs[0][:4], "xx", 1)), (4, other + " end")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component"] for r in got} == {1: 1, 2: 2, 3: 1, 4: 2}
