@@ -1,19 +1,20 @@
 """Nearest hits through trees and hierarchies: rays descend in rounds of joins to treelets, and search those in arrays.
 
-An index is a table of treelets, one row of arrays for each (``trees.INSIDE`` primitives at most), and a table of the
-links above them, which is empty while one treelet holds everything. Rays are joined with the links level by level,
-then grouped with the treelets that they enter, hot treelets copied to several blocks of rays, nearest treelets first:
-the best hit so far bounds what a later round still has to search. Index and query are apart, so one index serves many.
+An index is a table of treelets, one row of arrays for each (``trees.INSIDE`` primitives at most), and a small table of the
+links above them, some for each treelet. Rays descend the links in the tasks that hold the rays, and are then grouped
+with the treelets that they enter, hot treelets copied to several blocks of rays, nearest treelets first: the best hit
+so far bounds what a later round still has to search. Index and query are apart, so one index serves many.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import BOX, spread_bits, triangle_bounds
@@ -22,15 +23,19 @@ from ..plans.schedule import LevelConfig
 from ..sources.scratch import settle
 from . import trees
 from .rays import CORNER, HIT, RAY, _coefficients, _entered, _meet, _spread, nearest
-from .treelets import EPSILON, Treelet, grow, layered, linked, search
+from .treelets import EPSILON, RAYS, Treelet, _turns, every_hit, grow, layered, leaves, linked, packed, search
 
 NODE = ["depth", "path"]
 KEY = [*NODE, "chunk"]
 #: Arrays of a treelet, in the order of their columns.
 ARRAYS = ("boxes", "first", "kids", "start", "count", "held")
-ROW = "depth int, path long, chunk int, boxes array<double>, " + ", ".join(f"{n} array<int>" for n in ARRAYS[1:]) + ", ids array<long>, corners array<double>"
-#: Rays of one block that meets a treelet, and treelets that a ray searches in the first rounds.
-BLOCK, TURNS = 1 << 11, (1, 4)
+ROW = "depth int, path long, chunk long, boxes array<double>, " + ", ".join(f"{n} array<int>" for n in ARRAYS[1:]) + ", ids array<long>, corners array<double>"
+#: Rays of one block that meets a treelet, at least and at most, and treelets that a ray searches in the first rounds.
+BLOCKS, TURNS = (1 << 8, 1 << 13), (1, 4)
+#: Links that every task holds as arrays; with more of them, rays and links are joined level by level.
+LINKS = 1 << 20
+#: Rays and triangles of one task that finds all hits.
+ALL_RAYS, ALL_HELD = 1 << 11, 1 << 12
 #: Triangles of a treelet of a hierarchy.
 HELD = 1 << 15
 #: Levels of the pyramid of grids: 2^10 cells along each axis.
@@ -39,20 +44,30 @@ LEVELS = 10
 
 @dataclass
 class Index:
-    """root: one row (or none) with NODE, BOX and ``inner``; links: the same for children, with up_depth and up_path;
-    chunks: NODE and the number of treelets of leaves that have several (None: every leaf has one)."""
+    """scene: the box of everything; links: KEY, BOX and ``inner`` of every node above the treelets and of the treelets
+    themselves (not inner), with up_depth and up_path; what hangs below nothing has the up_depth -1."""
 
-    root: DataFrame
-    links: DataFrame | None
+    scene: tuple[float, ...]
+    links: DataFrame
     treelets: DataFrame
-    chunks: DataFrame | None
     pad: list[float]
 
 
+LINK = [*KEY, *BOX, "inner", "up_depth", "up_path"]
+
+
+def _bounds() -> list[Column]:
+    return [(F.min if n.startswith("min") else F.max)(n).alias(n) for n in BOX]
+
+
+def _up(depth: str = "depth", path: str = "path") -> list[Column]:
+    return [(F.col(depth) - 1).cast("int").alias("up_depth"), F.shiftright(path, 3).alias("up_path")]
+
+
 def _row(depth: int, path: int, chunk: int, tree: Treelet, ids: np.ndarray, corners: np.ndarray) -> pa.Table:
     lists = [tree.boxes.reshape(-1), *(getattr(tree, n).astype(np.int32) for n in ARRAYS[1:]), ids, corners.reshape(-1)]
     arrays = [pa.ListArray.from_arrays([0, len(v)], pa.array(v)) for v in lists]
-    return pa.Table.from_arrays([pa.array([depth], pa.int32()), pa.array([path], pa.int64()), pa.array([chunk], pa.int32()), *arrays], names=[*KEY, *ARRAYS, "ids", "corners"])
+    return pa.Table.from_arrays([pa.array([depth], pa.int32()), pa.array([path], pa.int64()), pa.array([chunk], pa.int64()), *arrays], names=[*KEY, *ARRAYS, "ids", "corners"])
 
 
 def _corners(table: pa.Table) -> np.ndarray:
@@ -65,24 +80,27 @@ def _padding(scene: tuple[float, ...]) -> list[float]:
 
 def tree_index(prims: DataFrame, scene: tuple[float, ...], configs: list[LevelConfig], schedule: str = "compat", inside: int = trees.INSIDE) -> Index:
     """A hybrid tree over (prim_id, box, triangle_id, corners); primitives without a triangle shape the tree and are never hit."""
-    spark, kinds = prims.sparkSession, plan.kinds_by_depth(configs, schedule)
+    kinds = plan.kinds_by_depth(configs, schedule)
     top, cut, pairs = trees.build_top(prims, scene, configs, schedule, inside)
-    cut = cut.select(*NODE, *BOX, F.lit(0).alias("chunk"), F.lit(True).alias("splits"))
-    held = pairs.select(*NODE, "prim_id", *trees.PRIM, F.lit(0).alias("chunk"))
-    links = chunks = None
+    none = F.lit(0).cast("long").alias("chunk")
+    cut = cut.select(*NODE, *BOX, none, F.lit(True).alias("splits"))
+    held = pairs.select(*NODE, "prim_id", *trees.PRIM, none)
+    links = cut.select(*KEY, *BOX, F.lit(False).alias("inner"), *_up())
     if top is not None:
-        # Leaves at the deepest level may hold any number: they are dealt into chunks.
+        # Leaves at the deepest level may hold any number: they are dealt into chunks of neighbours with boxes of their own.
         nodes, ends = top
-        leaves = nodes.filter("is_leaf AND n_reach > 0").select(*NODE, *BOX, F.ceil(F.col("n_reach") / inside).cast("int").alias("parts"))
-        chunks = leaves.select(*NODE, "parts")
+        full = nodes.filter("is_leaf AND n_reach > 0").select(*NODE, *BOX, F.ceil(F.col("n_reach") / inside).cast("int").alias("parts"))
         box = prims.select("prim_id", *[F.col(n).alias(p) for n, p in zip(BOX, trees.PRIM, strict=True)])
-        ends = ends.join(chunks, NODE).join(box, "prim_id").select(*NODE, "prim_id", *trees.PRIM, F.pmod(F.xxhash64("prim_id"), F.col("parts")).cast("int").alias("chunk"))
+        ends = ends.join(F.broadcast(full), NODE).join(box, "prim_id")  # leaves above the cut: few
+        ends = settle(ends.select(*NODE, "prim_id", *trees.PRIM, _cell().alias("cell")))
+        parts = ends.groupBy(*NODE, "cell").agg(F.ceil(F.count("*") / inside).cast("int").alias("parts"))
+        ends = ends.join(F.broadcast(parts), [*NODE, "cell"])
+        ends = settle(ends.select(*NODE, "prim_id", *trees.PRIM, (F.shiftleft(F.col("cell"), 32) + F.pmod(F.xxhash64("prim_id"), F.col("parts"))).alias("chunk")))
         held = held.unionByName(ends)
-        several = leaves.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        state = [*NODE, *BOX]
-        every = nodes.filter("n_reach > 0").select(*state, (~F.col("is_leaf")).alias("inner")).unionByName(cut.select(*state, F.lit(False).alias("inner")))
-        links = settle(every.withColumn("up_depth", F.col("depth") - 1).withColumn("up_path", F.shiftright("path", 3)))
-        cut = cut.unionByName(several.select(*cut.columns[:-1], F.lit(False).alias("splits")))
+        own = ends.select(*KEY, *[F.col(p).alias(n) for n, p in zip(BOX, trees.PRIM, strict=True)]).groupBy(*KEY).agg(*_bounds())
+        inner = nodes.filter("NOT is_leaf AND n_reach > 0").select(*NODE, none, *BOX, F.lit(True).alias("inner"), *_up())
+        links = links.unionByName(own.select(*KEY, *BOX, F.lit(False).alias("inner"), *_up())).unionByName(inner)
+        cut = cut.unionByName(own.select(*NODE, *BOX, "chunk", F.lit(False).alias("splits")))
     triangle = prims.filter("triangle_id IS NOT NULL").select("prim_id", "triangle_id", *CORNER)
     held = held.join(triangle, "prim_id", "left").select(*KEY, F.col("prim_id").cast("long").alias("prim_id"), F.col("triangle_id").cast("long").alias("triangle_id"), *trees.PRIM, *CORNER)
 
@@ -99,34 +117,42 @@ def tree_index(prims: DataFrame, scene: tuple[float, ...], configs: list[LevelCo
         before = np.concatenate([[0], np.cumsum(kept)])
         start = before[tree.start]
         count = before[tree.start + tree.count] - start
-        slim = Treelet(tree.boxes, tree.first, tree.kids, start, count, place[tree.held[kept]], tree.depth, tree.path, tree.reach)
+        slim = packed(Treelet(tree.boxes, tree.first, tree.kids, start, count, place[tree.held[kept]], tree.depth, tree.path, tree.reach), boxes[real])
         right = right.filter(pa.array(real))
         return _row(depth, path, chunk, slim, right.column("triangle_id").to_numpy(), _corners(right))
 
     rows = cut.groupBy(*KEY).cogroup(held.groupBy(*KEY)).applyInArrow(work, ROW)
-    root = spark.range(1).select(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("path"), *[F.lit(float(v)).alias(n) for n, v in zip(BOX, scene, strict=True)], F.lit(links is not None).alias("inner"))
-    if links is not None:
-        root = links.filter("depth = 0").select(*root.columns)
-    return Index(root, links, settle(rows), chunks, _padding(scene))
+    return Index(scene, settle(links.select(*LINK)), settle(rows), _padding(scene))
+
+
+def _cell() -> Column:
+    """The cell of a primitive's center in its leaf's box, in a grid with about ``parts`` cells: neighbours share one."""
+    bits = F.ceil(F.log2(F.col("parts")) / 3).cast("int")
+    code = F.lit(0).cast("long")
+    for x in "xyz":
+        low, size = F.least(f"min_{x}", f"max_{x}"), F.abs(F.col(f"max_{x}") - F.col(f"min_{x}"))
+        unit = ((F.col(f"p_min_{x}") + F.col(f"p_max_{x}")) / 2 - low) / F.nullif(size, F.lit(0.0))
+        code = code * F.pow(F.lit(2), bits) + F.greatest(F.lit(0), F.least(F.floor(F.coalesce(unit, F.lit(0.0)) * F.pow(F.lit(2), bits)), F.pow(F.lit(2), bits) - 1))
+    return code.cast("long")
 
 
 def hierarchy_index(nodes: DataFrame, tri: DataFrame, inside: int = HELD) -> Index:
     """Treelets of an agglomerative hierarchy: the largest branches of at most ``inside`` triangles, links above them."""
-    spark = nodes.sparkSession
     top = nodes.agg(F.max(F.struct("n_tri", "node_id", *BOX)).alias("r")).select("r.*").first()
     scene = (0.0,) * 6 if top["node_id"] is None else tuple(top[n] for n in BOX)
     small = nodes.filter(F.col("n_tri") <= inside)
-    links = None
-    schema = "depth int, path long, " + ", ".join(f"{n} double" for n in BOX) + ", inner boolean"
-    root = spark.createDataFrame([] if top["node_id"] is None else [(0, top["node_id"], *scene, top["n_tri"] > inside)], schema)
+    large = (F.col("n_tri") > inside).alias("inner")
+    plain = [F.lit(0).alias("depth"), F.col("node_id").alias("path"), F.lit(0).cast("long").alias("chunk"), *BOX, "inner"]
+    links = nodes.filter(F.col("node_id") == F.lit(top["node_id"])).select("node_id", *BOX, large)
+    links = links.select(*plain, F.lit(-1).alias("up_depth"), F.lit(0).cast("long").alias("up_path"))
     if top["node_id"] is None or top["n_tri"] <= inside:
         owned = small.withColumn("owner", F.lit(top["node_id"]).cast("long"))
     else:
         child = F.explode(F.array("left_id", "right_id"))
         up = nodes.filter("left_id IS NOT NULL").select(F.col("node_id").alias("up_path"), (F.col("n_tri") > inside).alias("large"), child.alias("node_id"))
         up = settle(up)
-        links = up.filter("large").select("up_path", "node_id").join(nodes.select("node_id", *BOX, (F.col("n_tri") > inside).alias("inner")), "node_id")
-        links = settle(links.select(F.lit(0).alias("depth"), F.col("node_id").alias("path"), *BOX, "inner", F.lit(0).alias("up_depth"), "up_path"))
+        below = up.filter("large").select("up_path", "node_id").join(nodes.select("node_id", *BOX, large), "node_id")
+        links = links.unionByName(below.select(*plain, F.lit(0).alias("up_depth"), "up_path"))
         owner = settle(up.join(small.select("node_id"), "node_id", "left_semi").select("node_id", F.when(F.col("large"), F.col("node_id")).otherwise(F.col("up_path")).alias("owner")))
         while True:  # every pointer jumps to where its target points, until all stand on the branches' tops
             to = owner.select(F.col("node_id").alias("owner"), F.col("owner").alias("next"))
@@ -146,7 +172,7 @@ def hierarchy_index(nodes: DataFrame, tri: DataFrame, inside: int = HELD) -> Ind
         held = table.take(pa.array(leaves))
         return _row(0, owner, 0, tree, held.column("triangle_id").to_numpy(), _corners(held))
 
-    return Index(root, links, settle(whole.groupBy("owner").applyInArrow(work, ROW)), None, _padding(scene))
+    return Index(scene, settle(links.select(*LINK)), settle(whole.groupBy("owner").applyInArrow(work, ROW)), _padding(scene))
 
 
 def grid_index(tri: DataFrame, inside: int = trees.INSIDE) -> Index:
@@ -156,7 +182,6 @@ def grid_index(tri: DataFrame, inside: int = trees.INSIDE) -> Index:
     are as many as the triangles, however large these are. Cells with at most ``inside`` triangles in and below them, under
     a cell with more, are the treelets; what a larger cell holds itself is dealt into treelets of its own.
     """
-    spark = tri.sparkSession
     prims = _prims(tri)
     scene = _scene(prims)
     side = max(*[scene[i + 3] - scene[i] for i in range(3)], 1e-300)
@@ -167,44 +192,42 @@ def grid_index(tri: DataFrame, inside: int = trees.INSIDE) -> Index:
     code = spread_bits(place[0]) * 4 + spread_bits(place[1]) * 2 + spread_bits(place[2])
     placed = prims.select(F.coalesce(level, F.lit(LEVELS)).alias("depth"), code.alias("path"), *BOX, F.col("triangle_id").cast("long").alias("triangle_id"), *CORNER)
     placed = placed.withColumn("path", F.expr(f"shiftright(path, 3 * ({LEVELS} - depth))"))
-    bounds = [(F.min if n.startswith("min") else F.max)(n).alias(n) for n in BOX]
-    own = settle(placed.groupBy(*NODE).agg(F.count("*").alias("own"), *bounds))
+    own = settle(placed.groupBy(*NODE).agg(F.count("*").alias("own"), *_bounds()))
     up = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("depth"))))
     up = up.select((F.col("depth") - F.col("k")).alias("depth"), F.expr("shiftright(path, 3 * k)").alias("path"), F.when(F.col("k") == 0, F.col("own")).otherwise(0).alias("here"), "own", *BOX)
-    every = settle(up.groupBy(*NODE).agg(F.sum("own").alias("total"), F.sum("here").alias("own"), *bounds).withColumn("inner", F.col("total") > inside))
-    above = [(F.col("depth") - 1).alias("up_depth"), F.shiftright("path", 3).alias("up_path")]
-    state = [*NODE, *BOX, "inner"]
-    root = every.filter("depth = 0").select(*state)
+    every = settle(up.groupBy(*NODE).agg(F.sum("own").alias("total"), F.sum("here").alias("own"), *_bounds()).withColumn("inner", F.col("total") > inside))
+    state, none = [*NODE, *BOX, "inner"], F.lit(0).cast("long").alias("chunk")
+    links = every.filter("depth = 0").select(*state, none, *_up())
     large = every.filter("inner")
-    links = chunks = None
     if large.isEmpty():
-        placed = placed.select(F.lit(0).alias("at"), F.lit(0).cast("long").alias("owner"), F.lit(0).alias("chunk"), "*")
+        placed = placed.select(F.lit(0).alias("at"), F.lit(0).cast("long").alias("owner"), none, "*")
     else:
         parent = large.select(F.col("depth").alias("up_depth"), F.col("path").alias("up_path"))
-        below = every.filter("depth > 0").select(*state, *above).join(parent, ["up_depth", "up_path"])
+        below = every.filter("depth > 0").select(*state, none, *_up()).join(F.broadcast(parent), ["up_depth", "up_path"])  # few: each has many below it
         held = large.filter("own > 0")
-        itself = held.select(*NODE, *BOX, F.lit(False).alias("inner"), F.col("depth").alias("up_depth"), F.col("path").alias("up_path"))
-        links = settle(below.select(*state, "up_depth", "up_path").unionByName(itself))
-        chunks = settle(held.select(*NODE, F.ceil(F.col("own") / inside).cast("int").alias("parts")))
-        tops = links.filter("NOT inner").select("depth", "path")
+        parts = held.select(*NODE, F.ceil(F.col("own") / inside).cast("int").alias("parts"))
+        itself = held.join(parts, NODE).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
+        itself = itself.select(*NODE, *BOX, F.lit(False).alias("inner"), "chunk", F.col("depth").alias("up_depth"), F.col("path").alias("up_path"))
+        links = settle(links.unionByName(below.select(*links.columns)).unionByName(itself.select(*links.columns)))
+        tops = links.filter("NOT inner").select("depth", "path").distinct()
         lines = own.select(F.col("depth").alias("d"), F.col("path").alias("p"), "depth", "path", F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("k"))
         lines = lines.select("d", "p", (F.col("depth") - F.col("k")).alias("depth"), F.expr("shiftright(path, 3 * k)").alias("path"))
         # Of the treelets' tops above a cell the deepest is its own; a large cell's own treelet lies above those below it.
         owner = lines.join(tops, NODE).groupBy("d", "p").agg(F.max(F.struct("depth", "path")).alias("o"))
         owner = owner.select(F.col("d").alias("depth"), F.col("p").alias("path"), F.col("o.depth").alias("at"), F.col("o.path").alias("owner"))
-        parts = chunks.withColumnRenamed("depth", "at").withColumnRenamed("path", "owner")
+        parts = parts.withColumnRenamed("depth", "at").withColumnRenamed("path", "owner")
         placed = placed.join(owner, NODE).join(parts, ["at", "owner"], "left")
-        placed = placed.withColumn("chunk", F.pmod(F.xxhash64("triangle_id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        placed = placed.withColumn("chunk", F.pmod(F.xxhash64("triangle_id"), F.coalesce("parts", F.lit(1))).cast("long")).drop("parts")
 
     def work(table: pa.Table) -> pa.Table:
         depth, path, chunk = (table.column(c)[0].as_py() for c in ("at", "owner", "chunk"))
         boxes = np.stack([table.column(c).to_numpy() for c in BOX], axis=1).reshape(-1, 6)
         tree, order = layered(table.column("depth").to_numpy().astype(np.int64), table.column("path").to_numpy(), boxes, depth)
-        held = table.take(pa.array(order))
+        held, tree = table.take(pa.array(order)), packed(tree, boxes[order])
         return _row(depth, path, chunk, tree, held.column("triangle_id").to_numpy(), _corners(held))
 
     rows = placed.groupBy("at", "owner", "chunk").applyInArrow(work, ROW)
-    return Index(root, links, settle(rows), chunks, _padding(scene))
+    return Index(scene, settle(links.select(*LINK)), settle(rows), _padding(scene))
 
 
 def nearest_indexed(rays: DataFrame, tri: DataFrame, inside: int = trees.INSIDE) -> DataFrame:
@@ -212,29 +235,73 @@ def nearest_indexed(rays: DataFrame, tri: DataFrame, inside: int = trees.INSIDE)
     return through(rays, grid_index(tri, inside))
 
 
-def visits(rays: DataFrame, index: Index) -> DataFrame:
-    """(ray_id, ray, KEY, t_near): the treelets that rays enter, by rounds of joins with the links."""
-    state = [*NODE, "inner"]
-    at = _entered(_spread(rays).join(F.broadcast(index.root)), state, index.pad)  # one row
-    if index.links is None:
-        return at.select("ray_id", *RAY, *NODE, "t_near", F.lit(0).alias("chunk"))
+def _above(links: pa.Table, scene: tuple[float, ...]) -> tuple[Treelet, list[np.ndarray]]:
+    """The links as one tree whose leaves are the treelets, and KEY by node; node 0 is the scene."""
+    inner = links.column("inner").to_numpy()
+    names = {(d, p): i for i, (d, p) in enumerate(zip(*(links.column(c).filter(links.column("inner")).to_pylist() for c in NODE), strict=True), 1)}
+    number = np.zeros(len(inner), np.int64)
+    number[inner] = np.arange(1, len(names) + 1)
+    up = np.fromiter((names.get(u, 0) for u in zip(links.column("up_depth").to_pylist(), links.column("up_path").to_pylist(), strict=True)), np.int64, len(inner))
+    order = np.argsort(up, kind="stable")
+    place = np.concatenate([[0], np.argsort(order) + 1])  # of the scene, then of every link
+    mine = np.concatenate([[0], place[1:][inner]])  # by the parents' numbers
+    boxes = np.vstack([np.array(scene).reshape(1, 6), np.stack([links.column(n).to_numpy() for n in BOX], axis=1).reshape(-1, 6)[order]])
+    first, kids = np.zeros(len(boxes), np.int64), np.zeros(len(boxes), np.int64)
+    n = np.bincount(up, minlength=len(mine))
+    first[mine], kids[mine] = 1 + np.cumsum(n) - n, n
+    none = np.zeros(len(boxes), np.int64)
+    tree = Treelet(boxes, first, kids, none, np.concatenate([[0], ~inner[order]]).astype(np.int64), none, none, none, none)
+    return tree, [np.concatenate([[0], links.column(c).to_numpy()[order]]) for c in KEY]
+
+
+SEARCH = ["ray_id", *RAY, "best"]
+
+
+def visits(rays: DataFrame, index: Index, after: int = 0, upto: int | None = None) -> DataFrame:
+    """(SEARCH, KEY): the treelets that rays enter no farther than their ``best``, from number ``after`` to ``upto`` on the ray."""
+    if index.links.count() > LINKS:
+        return _joined_visits(rays, index, after, upto)
+    above = rays.sparkSession.sparkContext.broadcast(_above(index.links.toArrow(), index.scene))  # LINKS rows at most
+    pad = np.array(index.pad)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, key = above.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, RAYS):
+                part = batch.slice(at, RAYS)
+                o, d = (np.stack([np.asarray(part.column(f"{p}{x}"), dtype=np.float64) for x in "xyz"], axis=1) for p in "od")
+                ray, leaf, near = leaves(tree, o, d, part.column("best").fill_null(np.inf).to_numpy(), pad)
+                order = np.lexsort((leaf, near, ray))
+                ray, leaf = ray[order], leaf[order]
+                turn = _turns(ray)
+                now = turn >= after if upto is None else (turn >= after) & (turn < upto)
+                held = part.take(pa.array(ray[now]))
+                yield pa.RecordBatch.from_arrays([*held.columns, *(pa.array(k[leaf[now]]).cast(t) for k, t in zip(key, (pa.int32(), pa.int64(), pa.int64()), strict=True))], names=[*SEARCH, *KEY])
+
+    return rays.select(*SEARCH).mapInArrow(work, "ray_id long, " + ", ".join(f"{n} double" for n in (*RAY, "best")) + ", depth int, path long, chunk long")
+
+
+def _joined_visits(rays: DataFrame, index: Index, after: int, upto: int | None) -> DataFrame:
+    """``visits`` by rounds of joins with the links, for more links than a task should hold."""
+    at = rays.select(*SEARCH, F.lit(-1).alias("up_depth"), F.lit(0).cast("long").alias("up_path"))
     seen = []
     while True:
-        at = settle(at)
+        at = settle(_entered(at.join(index.links, ["up_depth", "up_path"]), [*KEY, "inner", "best"], index.pad))
         seen.append(at.filter("NOT inner").drop("inner"))
-        above = at.filter("inner").select("ray_id", *RAY, F.col("depth").alias("up_depth"), F.col("path").alias("up_path"))
-        if above.isEmpty():
+        at = at.filter("inner").select(*SEARCH, F.col("depth").alias("up_depth"), F.col("path").alias("up_path"))
+        if at.isEmpty():
             break
-        at = _entered(above.join(index.links, ["up_depth", "up_path"]), state, index.pad)
-    found = reduce(DataFrame.unionByName, seen)
-    if index.chunks is None:
-        return found.withColumn("chunk", F.lit(0))
-    parts = F.coalesce("parts", F.lit(1))
-    return found.join(index.chunks, NODE, "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    order = Window.partitionBy("ray_id").orderBy("t_near", *KEY)  # the treelets on one ray
+    found = reduce(DataFrame.unionByName, seen).withColumn("turn", F.row_number().over(order))
+    found = found.filter((F.col("turn") > after) & (F.col("best").isNull() | (F.col("t_near") <= F.col("best"))))
+    return (found if upto is None else found.filter(F.col("turn") <= upto)).select(*SEARCH, *KEY)
+
 
+def _searched(some: DataFrame, treelets: DataFrame, blocks: DataFrame, every: str | None = None) -> DataFrame:
+    """HIT rows: the nearest triangle of each treelet that a ray searches, no farther than its ``best``.
 
-def _searched(some: DataFrame, treelets: DataFrame, blocks: DataFrame) -> DataFrame:
-    """HIT rows: the nearest triangle of each treelet that a ray searches, no farther than its ``best``."""
+    ``every``: all triangles that a ray can meet are compared, and 'all' hits or the 'nearest' of a treelet are given.
+    """
     blocks = F.broadcast(blocks) if blocks.count() <= 4096 else blocks  # a small table of counted rows
     left = some.join(blocks, KEY).withColumn("block", F.pmod(F.xxhash64("ray_id"), F.col("blocks")).cast("int")).drop("blocks")
     right = treelets.join(blocks, KEY).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
@@ -256,6 +323,14 @@ def _searched(some: DataFrame, treelets: DataFrame, blocks: DataFrame) -> DataFr
             own = {f"{p}{x}": v[r, i] for p, v in (("o", o), ("d", d)) for i, x in enumerate("xyz")}
             return _meet(own, {"a": c[:3], "e1": c[3:6], "e2": c[6:9], "n": c[9:12], "d00": c[12], "d01": c[13], "d11": c[14]})
 
+        if every:
+            r, held, t = every_hit(tree, o, d, meet)
+            name = part["ids"][held]
+            if every == "nearest":
+                order = np.lexsort((name, t, r))
+                order = order[_turns(r[order]) == 0]
+                r, name, t = r[order], name[order], t[order]
+            return pa.table({"ray_id": rays.column("ray_id").to_numpy()[r], "triangle_id": name, "t": t})
         bound = rays.column("best").fill_null(np.inf).to_numpy()
         hit, t, name = search(tree, part["ids"], o, d, bound, meet)
         return pa.table({"ray_id": rays.column("ray_id").to_numpy()[hit], "triangle_id": name, "t": t})
@@ -270,32 +345,34 @@ def _searched(some: DataFrame, treelets: DataFrame, blocks: DataFrame) -> DataFr
 
 def through(rays: DataFrame, index: Index) -> DataFrame:
     """(ray_id, t, triangle_id) of the nearest hits of all rays that hit something."""
-    entered = visits(rays, index)
-    null = F.lit(None).cast("double").alias("best")
-    if index.links is None:
-        entered = settle(entered)
-        return nearest(_searched(entered.withColumn("best", null), index.treelets, _blocks(entered)))
-    order = Window.partitionBy("ray_id").orderBy("t_near", *KEY)  # the treelets on one ray
-    entered = settle(entered.withColumn("turn", F.row_number().over(order)))
-    last = entered.agg(F.max("turn")).first()[0] or 0
+    rays = settle(_spread(rays))
     best = None
-    for after, upto in zip((0, *TURNS), (*TURNS, None), strict=True):
-        if best is not None and after >= last:
-            break
-        some = entered.filter(F.col("turn") > after)
-        some = some if upto is None else some.filter(F.col("turn") <= upto)
+    turns = TURNS if index.links.filter("NOT inner").limit(2).count() > 1 else ()
+    for after, upto in zip((0, *turns), (*turns, None), strict=True):
         if best is None:
-            some = some.withColumn("best", null)
+            state = rays.withColumn("best", F.lit(None).cast("double"))
         else:
-            some = some.join(best.select("ray_id", F.col("t").alias("best")), "ray_id", "left").filter(F.col("best").isNull() | (F.col("t_near") <= F.col("best")))
-        some = settle(some.drop("turn", "t_near"))
+            state = rays.join(best.select("ray_id", F.col("t").alias("best")), "ray_id", "left")
+        some = settle(visits(state, index, after, upto))
+        if best is not None and some.isEmpty():
+            break
         hits = _searched(some, index.treelets, _blocks(some))
         best = settle(nearest(hits if best is None else hits.unionByName(best.select("ray_id", "triangle_id", "t"))))
     return best
 
 
-def _blocks(some: DataFrame) -> DataFrame:
-    return settle(some.groupBy(*KEY).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+def all_hits(rays: DataFrame, tri: DataFrame, every: str = "all", ray_block: int = ALL_RAYS, inside: int = ALL_HELD) -> DataFrame:
+    """HIT rows of every hit, or the nearest of each block. Each triangle has one place in the pyramid, so none is found twice."""
+    index = grid_index(tri, inside)
+    some = settle(visits(_spread(rays).withColumn("best", F.lit(None).cast("double")), index))
+    return _searched(some, index.treelets, _blocks(some, ray_block), every)
+
+
+def _blocks(some: DataFrame, most: int | None = None) -> DataFrame:
+    """KEY and in how many blocks its rays come: enough for all cores, and ``most`` rays a block at most."""
+    if most is None:
+        most = min(BLOCKS[1], max(BLOCKS[0], some.count() // (4 * some.sparkSession.sparkContext.defaultParallelism)))
+    return settle(some.groupBy(*KEY).agg(F.ceil(F.count("*") / most).cast("int").alias("blocks")))
 
 
 def _prims(tri: DataFrame) -> DataFrame:

@@ -2,15 +2,17 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from octaray.functions.geometry import BOX
-from octaray.operators import bvh, indexed, rays, trees
+from octaray.operators import bvh, indexed, rays, treelets, trees
 from octaray.operators import triangles as tri_ops
 from octaray.plans import schedule as plan
 from octaray.plans.schedule import LevelConfig
 from octaray.sources.scratch import settle
+from octaray.sources.tables import triangles
 
 SCENE = (0.0, 0.0, 0.0, 16.0, 16.0, 16.0)
 
@@ -224,3 +226,60 @@ def test_rays_without_triangles(spark):
     none = spark.createDataFrame([], TRI)
     for found in (rays.nearest_bruteforce(r, none), indexed.nearest_indexed(r, none), indexed.through_tree(r, none, [plan.LevelConfig("octree", 2)])):
         assert found.count() == 0
+
+
+def test_large_leaves_are_packed():
+    rng = np.random.default_rng(5)
+    low = rng.integers(0, 40, (3000, 3)).astype(float)
+    prims = np.hstack([low, low + rng.integers(0, 3, (3000, 3))])
+    prims[:200] = prims[0]  # many at one place
+    root = np.array([0.0, 0, 0, 44, 44, 44])
+    none = np.zeros(0, np.int64)
+    one = lambda v: np.array([v])
+    flat = treelets.Treelet(root.reshape(1, 6), one(0), one(0), one(0), one(3000), np.arange(3000), one(0), one(0), one(3000))
+    cells, order = treelets.layered(rng.integers(0, 3, 3000), np.zeros(3000, np.int64), prims, 0)  # cells with children and boxes of their own
+    grown = treelets.grow(prims, root, 0, 0, ["octree", "octree"])
+    for tree, boxes in ((flat, prims), (cells, prims[order]), (grown, prims)):
+        out = treelets.packed(tree, boxes)
+        assert out.count.max() <= treelets.LEAF
+        seen, held = np.array([0]), []
+        while len(seen):
+            held.append(out.held[treelets.runs(out.start[seen], out.count[seen])[1]])
+            of, child = treelets.runs(out.first[seen], out.kids[seen])
+            seen = child
+        assert sorted(np.concatenate(held)) == sorted(tree.held)
+    # A ray that starts before 3000 stacked boxes tests a few of them, not all.
+    tested = []
+
+    def meet(r, held):
+        tested.append(held.size)
+        return prims[held, 0], np.ones(held.shape, bool)
+
+    o, d = np.array([[-1.0, 20.5, 20.5]]), np.array([[1.0, 0.0, 0.0]])
+    treelets.search(treelets.packed(flat, prims), np.arange(3000), o, d, np.array([np.inf]), meet)
+    assert 0 < sum(tested) < 600
+
+
+def test_joined_visits_and_links_in_arrays_agree(spark, small, monkeypatch):
+    from octaray.sources.tables import rays as ray_table
+
+    r, t = ray_table(spark, small), triangles(spark, small)
+    index = indexed.tree_index(indexed._prims(t), (0.0, 0.0, -16.0, 64.0, 128.0, 112.0), [LevelConfig("kdtree", 3)], inside=8)
+    state = rays._spread(r).withColumn("best", F.lit(None).cast("double"))
+    one = sorted(map(tuple, indexed.visits(state, index).select("ray_id", *indexed.KEY).collect()))
+    monkeypatch.setattr(indexed, "LINKS", 0)
+    assert one == sorted(map(tuple, indexed.visits(state, index).select("ray_id", *indexed.KEY).collect())) and one
+
+
+def test_brute_force_forms_no_pairs_that_cannot_meet(spark, small, monkeypatch):
+    """Rays meet only the blocks that they enter, and every block's nearest hit is one row."""
+    from octaray.sources.tables import rays as ray_table
+
+    r, t = ray_table(spark, small), triangles(spark, small)
+    index = indexed.grid_index(t, 16)
+    state = rays._spread(r).withColumn("best", F.lit(None).cast("double"))
+    blocks = index.links.filter("NOT inner").count()
+    assert 0 < indexed.visits(state, index).count() < r.count() * blocks / 2
+    hits = indexed.all_hits(r, t, inside=16)
+    near = indexed.all_hits(r, t, "nearest", inside=16)
+    assert sorted(map(tuple, rays.nearest(hits).collect())) == sorted(map(tuple, rays.nearest(near).collect()))
