@@ -163,16 +163,15 @@ def build(tri: DataFrame, radius: int = RADIUS, finish: int = FINISH, span: int
 
 
 def depths(nodes: DataFrame) -> DataFrame:
-    """(node_id, depth) by levels from the root; each round is one equi-join with the level before."""
-    links = settle(nodes.select(F.col("node_id").alias("parent"), F.explode(F.array_compact(F.array("left_id", "right_id"))).alias("node_id")))
-    level = nodes.join(links.select("node_id"), "node_id", "left_anti").select("node_id", F.lit(0).alias("depth"))
-    out, depth = level, 0
-    while True:
-        depth += 1
-        level = settle(links.join(level.select(F.col("node_id").alias("parent")), "parent").select("node_id", F.lit(depth).alias("depth")))
-        if not level.limit(1).count():
-            return out
-        out = out.unionByName(level)
+    """(node_id, depth) by pointers that jump twice as far each round, so that rounds follow the logarithm of the depth."""
+    links = nodes.select(F.col("node_id").alias("up"), F.explode(F.array_compact(F.array("left_id", "right_id"))).alias("node_id"))
+    links = settle(links.select("node_id", "up", F.lit(1).alias("depth")))
+    root = nodes.join(links.select("node_id"), "node_id", "left_anti").select("node_id", F.lit(0).alias("depth"))
+    while not links.filter("up IS NOT NULL").isEmpty():
+        # What points to a root has arrived, and so has what points to a node that has: its pointer is null.
+        to = links.select(F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        links = settle(links.join(to, "up", "left").select("node_id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+    return root.unionByName(links.select("node_id", "depth"))
 
 
 def stats(nodes: DataFrame, traverse: float = 1.0, intersect: float = 1.0) -> DataFrame:

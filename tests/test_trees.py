@@ -283,3 +283,14 @@ def test_brute_force_forms_no_pairs_that_cannot_meet(spark, small, monkeypatch):
     hits = indexed.all_hits(r, t, inside=16)
     near = indexed.all_hits(r, t, "nearest", inside=16)
     assert sorted(map(tuple, rays.nearest(hits).collect())) == sorted(map(tuple, rays.nearest(near).collect()))
+
+
+def test_depths_take_few_rounds(spark, monkeypatch):
+    n = 100  # a chain: node i has the children i + 1 and n + i
+    rows = [(i, i + 1, n + i) for i in range(n - 1)] + [(n - 1, None, None)] + [(n + i, None, None) for i in range(n - 1)]
+    nodes = settle(spark.createDataFrame(rows, "node_id long, left_id long, right_id long"))
+    rounds = []
+    monkeypatch.setattr(bvh, "settle", lambda df: (rounds.append(1), settle(df))[1])
+    got = dict(map(tuple, bvh.depths(nodes).collect()))
+    assert got == {**{i: i for i in range(n)}, **{n + i: i + 1 for i in range(n - 1)}}
+    assert len(rounds) <= 9
