@@ -294,3 +294,14 @@ def test_depths_take_few_rounds(spark, monkeypatch):
     got = dict(map(tuple, bvh.depths(nodes).collect()))
     assert got == {**{i: i for i in range(n)}, **{n + i: i + 1 for i in range(n - 1)}}
     assert len(rounds) <= 9
+
+
+def test_rounds_send_nodes_to_the_pairs(spark, monkeypatch):
+    """A node's pairs are not read by one task: neither planes nor empty cells join pairs by their path."""
+    seen = []
+    monkeypatch.setattr(trees, "few", lambda nodes: (seen.append(nodes.columns), F.broadcast(nodes))[1])
+    prims = tri_ops.bounds(some_triangles(spark, 150)).withColumnRenamed("triangle_id", "prim_id")
+    nodes, held = trees.build(prims, indexed._scene(prims), [LevelConfig("kdtree", 3)], inside=8)
+    assert ["path", "a"] in seen and any("child" in s for s in seen) and ["path", "is_leaf", "is_cut"] in seen
+    plan_ = trees.empty_cells(nodes, held)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [depth" in plan_
