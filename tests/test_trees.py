@@ -305,3 +305,37 @@ def test_rounds_send_nodes_to_the_pairs(spark, monkeypatch):
     assert ["path", "a"] in seen and any("child" in s for s in seen) and ["path", "is_leaf", "is_cut"] in seen
     plan_ = trees.empty_cells(nodes, held)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [depth" in plan_
+
+
+def _searched(n, monkeypatch):
+    """Rays through ``n`` triangles in one packed leaf: the hits, those of all pairs, and the boxes that each ray is tested with."""
+    rng = np.random.default_rng(3)
+    corner = (rng.uniform(0, 1, (n, 1, 3)) * [160, 20, 20] + rng.uniform(0, 2, (n, 3, 3))).reshape(n, 9)
+    box = np.hstack([corner.reshape(n, 3, 3).min(axis=1), corner.reshape(n, 3, 3).max(axis=1)])
+    root = np.hstack([box[:, :3].min(axis=0), box[:, 3:].max(axis=0)])[None]
+    none = np.zeros(1, np.int64)
+    tree = treelets.packed(treelets.Treelet(root, none, none, none, np.array([n]), np.arange(n), none, none, none), box)
+    o = np.stack([np.full(400, 190.0), rng.uniform(4, 16, 400), rng.uniform(4, 16, 400)], axis=1)
+    d = np.stack([np.full(400, -1.0), rng.integers(-2, 3, 400) / 64, np.zeros(400)], axis=1)
+    k = rays._coefficients({c: corner[:, i] for i, c in enumerate(rays.CORNER)})
+
+    def meet(r, held):
+        own = {f"{p}{x}": v[r, i] for p, v in (("o", o), ("d", d)) for i, x in enumerate("xyz")}
+        return rays._meet(own, {key: [c[held] for c in v] if isinstance(v, list) else v[held] for key, v in k.items()})
+
+    tested, entry = [], treelets.entry
+    monkeypatch.setattr(treelets, "entry", lambda *a: tested.append(len(a[0])) or entry(*a))
+    ids = np.arange(n) * 7 % n
+    got = treelets.search(tree, ids, o, d, np.full(400, np.inf), meet)
+    monkeypatch.undo()
+    t, hit = meet(np.arange(400)[:, None], np.arange(n)[None, :])
+    t = np.where(hit, t, np.inf)
+    least = t.min(axis=1)
+    return got, least, np.where(t == least[:, None], ids[None, :], n).min(axis=1), sum(tested) / 400
+
+
+def test_dense_triangles_cost_a_ray_its_first_share_only(monkeypatch):
+    (ray, t, name), least, first, tested = _searched(9973, monkeypatch)
+    assert set(ray.tolist()) == set(np.flatnonzero(np.isfinite(least)).tolist())
+    assert (t == least[ray]).all() and (name == first[ray]).all()
+    assert tested < 240
