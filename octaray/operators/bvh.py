@@ -70,14 +70,19 @@ def step(clusters: DataFrame, next_id: int, radius: int = RADIUS) -> tuple[DataF
 def _nearest(boxes: np.ndarray, radius: int) -> np.ndarray:
     """For every box in order the position of its nearest within the radius, the lowest among equals; -1 alone."""
     m = len(boxes)
-    best, nn = np.full(m, np.inf), np.full(m, -1)
-    for shift in [*range(-min(radius, m - 1), 0), *range(1, min(radius, m - 1) + 1)]:
-        i = np.arange(max(0, -shift), min(m, m - shift))
-        size = np.maximum(boxes[i, 3:], boxes[i + shift, 3:]) - np.minimum(boxes[i, :3], boxes[i + shift, :3])
-        area = 2.0 * size[:, 0] * size[:, 1] + 2.0 * size[:, 2] * size[:, 1] + 2.0 * size[:, 0] * size[:, 2]
-        less = area < best[i]
-        best[i[less]], nn[i[less]] = area[less], i[less] + shift
-    return nn
+    low, high = (np.ascontiguousarray(boxes[:, k : k + 3].T) for k in (0, 3))
+    ahead, behind = np.full(m, np.inf), np.full(m, np.inf)
+    to, back = np.full(m, -1), np.full(m, -1)
+    at = np.arange(m)
+    for shift in range(1, min(radius, m - 1) + 1):
+        # One area serves both of a pair: it is the same whichever comes first.
+        x, y, z = np.maximum(high[:, :-shift], high[:, shift:]) - np.minimum(low[:, :-shift], low[:, shift:])
+        area = 2.0 * x * y + 2.0 * z * y + 2.0 * x * z
+        less = np.flatnonzero(area < ahead[:-shift])  # shifts go up: among equals the first is the lowest ahead,
+        ahead[less], to[less] = area[less], at[less] + shift
+        less = np.flatnonzero(area <= behind[shift:])  # and the last is the lowest behind
+        behind[less + shift], back[less + shift] = area[less], at[less]
+    return np.where((back >= 0) & (behind <= ahead), back, to)
 
 
 ROUND = "span long, k long, m long, node_id long, " + ", ".join(f"{n} double" for n in BOX) + ", n_tri long, left_id long, right_id long"

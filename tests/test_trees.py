@@ -339,3 +339,20 @@ def test_dense_triangles_cost_a_ray_its_first_share_only(monkeypatch):
     assert set(ray.tolist()) == set(np.flatnonzero(np.isfinite(least)).tolist())
     assert (t == least[ray]).all() and (name == first[ray]).all()
     assert tested < 240
+
+
+def test_nearest_takes_each_pair_once(monkeypatch):
+    boxes = np.random.default_rng(4).integers(0, 3, (300, 6)).astype(float)  # many equal areas
+    boxes[:, 3:] += boxes[:, :3]
+
+    def area(i, j):
+        x, y, z = np.maximum(boxes[i, 3:], boxes[j, 3:]) - np.minimum(boxes[i, :3], boxes[j, :3])
+        return 2 * x * y + 2 * z * y + 2 * x * z
+
+    expected = [min((area(i, j), j) for j in range(max(0, i - 16), min(300, i + 17)) if j != i)[1] for i in range(300)]
+    pairs, maximum = [], np.maximum
+    monkeypatch.setattr(np, "maximum", lambda a, b: pairs.append(1) or maximum(a, b))
+    got = bvh._nearest(boxes, 16)
+    monkeypatch.undo()
+    assert got.tolist() == expected and len(pairs) == 16
+    assert bvh._nearest(boxes[:1], 16).tolist() == [-1]
