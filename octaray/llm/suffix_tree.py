@@ -3,8 +3,9 @@
 The symbols are the bytes of the normalised text: ASCII letters in lower case, words each followed by one space, and an
 end symbol. The tree's candidate states are the contexts of up to ``depth`` symbols that occur often
 enough: LEAST_SHARE times the training symbols, or LEAST_ROOT times their square root where that is less, so the tree
-grows with the corpus. The threshold is doubled as long as more than MAX_ENTRIES contexts and transitions, a bound on
-the driver's and the workers' memory, would be left. A context is retained if the next symbols after it diverge from those after its longest
+grows with the corpus. A tree of at most MAX_ENTRIES contexts and transitions, a bound on the driver's and the workers'
+memory, is broadcast; a larger one is kept whole as a table, and the grams of the texts meet its shards, one for each
+two symbols that a history ends with. A context is retained if the next symbols after it diverge from those after its longest
 proper suffix by more than the size of its table explains, and with it all its suffixes. Its next-symbol distribution is
 smoothed towards that of the suffix, which also gets what pruned symbols had (``smoothing`` is a count for each symbol
 seen). A symbol is scored in the longest retained state that ends its history.
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,21 +151,49 @@ class SuffixTree:
             p[at] = (n + rest[place] * p[at]) / totals[place]
         return p
 
-    def log10_by_text(self, symbols: np.ndarray, scored: np.ndarray, upto: np.ndarray) -> np.ndarray:
-        keys, at = np.unique(grams(symbols, scored, self.depth, latest_first=True), return_inverse=True)
-        each = np.concatenate([[0.0], np.cumsum(np.log10(self.probabilities(keys))[at])])
-        return np.diff(each[np.concatenate([[0], upto])])
+    def log10(self, keys: np.ndarray) -> np.ndarray:
+        return np.log10(self.probabilities(keys))
 
 
-def grow(counted: DataFrame, n_texts: int, depth: int = DEPTH, least_share: float = LEAST_SHARE, least_root: float = LEAST_ROOT, max_entries: int = MAX_ENTRIES, smoothing: float = SMOOTHING) -> SuffixTree:
-    """The tree from (gram, n). The driver receives at most ``max_entries`` rows of three numbers."""
+class TableOfLogs:
+    """What ``gram_logs`` found for the grams of one block, in place of a tree."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.logs = keys[order], logs[order]
+
+    def log10(self, keys: np.ndarray) -> np.ndarray:
+        return self.logs[np.searchsorted(self.keys, keys.view(np.int64))]
+
+
+def log10_by_text(tree: SuffixTree | TableOfLogs, depth: int, symbols: np.ndarray, scored: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    keys, at = np.unique(grams(symbols, scored, depth, latest_first=True), return_inverse=True)
+    each = np.concatenate([[0.0], np.cumsum(tree.log10(keys)[at])])
+    return np.diff(each[np.concatenate([[0], upto])])
+
+
+def count_entries(counted: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE, least_root: float = LEAST_ROOT) -> DataFrame:
+    """(k, key, n): from (gram, n) the frequent symbols, with ``k`` symbols before them."""
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(1, int(np.ceil(min(least_share * total, least_root * total**0.5))))
     orders = F.array(*[F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND(F.lit(int(_low(k + 1).astype(np.int64)))).alias("key")) for k in range(depth + 1)])
-    entries = settle(counted.select("n", F.inline(orders)).groupBy("k", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
-    while entries.filter(F.col("n") >= least).count() > max_entries:
-        least *= 2
-    kept = entries.filter(F.col("n") >= least).toArrow()
+    return settle(counted.select("n", F.inline(orders)).groupBy("k", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
+
+
+def _root(symbols: np.ndarray, n: np.ndarray) -> np.ndarray:
+    root = np.full(256, 0.5)
+    root[symbols.astype(np.int64)] += n
+    return root / root.sum()
+
+
+def grow(counted: DataFrame, n_texts: int, depth: int = DEPTH, least_share: float = LEAST_SHARE, least_root: float = LEAST_ROOT, smoothing: float = SMOOTHING) -> SuffixTree:
+    """The tree from (gram, n)."""
+    return _grown(count_entries(counted, depth, least_share, least_root), n_texts, depth, smoothing)
+
+
+def _grown(entries: DataFrame, n_texts: int, depth: int = DEPTH, smoothing: float = SMOOTHING) -> SuffixTree:
+    """The tree from ``count_entries``, whose rows of three numbers the driver receives."""
+    kept = entries.toArrow()
     kind, key, count = (kept.column(c).to_numpy() for c in ("k", "key", "n"))
     entries = []
     for k in range(depth + 1):
@@ -171,9 +201,7 @@ def grow(counted: DataFrame, n_texts: int, depth: int = DEPTH, least_share: floa
         order = np.argsort(key[mine])
         entries.append((key[mine][order].astype(np.uint64), count[mine][order].astype(np.float64)))
     del kept, kind, key, count
-    root = np.full(256, 0.5)
-    root[entries[0][0].astype(np.int64)] += entries[0][1]
-    root /= root.sum()
+    root = _root(*entries[0])
     levels = []
     for k in range(1, depth + 1):
         grams_k, n = entries[k]
@@ -212,6 +240,77 @@ def grow(counted: DataFrame, n_texts: int, depth: int = DEPTH, least_share: floa
     return SuffixTree(root, out)
 
 
+def grow_table(entries: DataFrame, n_texts: int, smoothing: float = SMOOTHING) -> DataFrame:
+    """The tree that ``grow`` makes, as a table: (k, key, state, a, b), of any size.
+
+    A state has its context for key, what it counts in all and what it leaves to its suffix; a transition its gram and count.
+    """
+    every = entries.select("k", "key", "n", F.shiftright("key", 8).alias("context"))
+    low = F.expr("shiftleft(1L, 8 * k) - 1")
+    contexts = settle(every.groupBy("k", "context").agg(F.sum("n").cast("double").alias("sums"), F.count("*").alias("width")))
+    shorter = entries.select((F.col("k") + 1).alias("k"), F.col("key").alias("up_key"), F.col("n").alias("above"))
+    above = contexts.select((F.col("k") + 1).alias("k"), F.col("context").alias("up_context"), F.col("sums").alias("above_sum"))
+    told = every.filter("k > 0").withColumn("up_key", F.col("key").bitwiseAND(low)).join(shorter, ["k", "up_key"])
+    told = told.groupBy("k", "context").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("above"))).alias("gain"))
+    told = told.join(contexts, ["k", "context"]).withColumn("up_context", F.col("context").bitwiseAND(F.expr("shiftleft(1L, 8 * (k - 1)) - 1"))).join(above, ["k", "up_context"])
+    # The sum of n log((n / sums) / (above / above_sum)), whose last parts are the same for all symbols of a context.
+    long = told.filter(F.col("gain") + F.col("sums") * F.log(F.col("above_sum") / F.col("sums")) > F.col("width") + 3.0)
+    kept = long.select(F.explode(F.sequence(F.lit(1), F.col("k"))).alias("k"), "context").select("k", F.col("context").bitwiseAND(low).alias("context")).distinct()
+    kept = settle(kept)
+    free = F.col("width") * smoothing
+    whole = entries.select((F.col("k") + 1).alias("k"), F.col("key").alias("context"), F.col("n").alias("full"))
+    states = kept.join(contexts, ["k", "context"]).join(whole, ["k", "context"], "left").withColumn("full", F.coalesce("full", F.lit(n_texts)))
+    states = states.select("k", F.col("context").alias("key"), F.lit(True).alias("state"), (F.col("full") + free).alias("a"), (F.col("full") - F.col("sums") + free).alias("b"))
+    moves = every.join(kept, ["k", "context"]).select("k", "key", F.lit(False).alias("state"), F.col("n").cast("double").alias("a"), F.lit(0.0).alias("b"))
+    return settle(states.unionByName(moves))
+
+
+def _tree_of(root: np.ndarray, tables: list[pa.Table], depth: int) -> SuffixTree:
+    k, key, state, a, b = (np.concatenate([t.column(c).to_numpy() for t in tables]) for c in ("k", "key", "state", "a", "b"))
+    levels = []
+    for j in range(1, depth + 1):
+        one, two = (k == j) & state, (k == j) & ~state
+        levels.append((key[one].astype(np.uint64), a[one], b[one], key[two].astype(np.uint64), a[two].astype(np.float32)))
+    return SuffixTree(root, levels)
+
+
+def gram_logs(blocks: DataFrame, entries: DataFrame, n_texts: int, depth: int, per_task: int = 1_000_000) -> DataFrame:
+    """(block, key, p): log10 P(symbol | history) of each block's distinct grams, latest symbol first, by a tree of any size.
+
+    A shard of the tree holds the contexts that end with the same two symbols, and no task more than ``per_task`` grams
+    with one shard; contexts of one symbol, at most 2^16 transitions, go to all.
+    """
+
+    def distinct(table: pa.Table) -> pa.Table:
+        held = []
+        for part in _table_slices(table, "text", SLICE_BYTES):
+            symbols, scored, _ = normalised(part.column("text").to_pylist(), depth)
+            held.append(np.unique(grams(symbols, scored, depth, latest_first=True)))
+        keys = np.unique(np.concatenate(held)).view(np.int64)
+        return pa.table({"block": np.full(len(keys), table.column("block")[0].as_py(), dtype=np.int64), "key": keys})
+
+    model = grow_table(entries, n_texts)
+    plain, short = entries.filter("k = 0").toArrow(), model.filter("k = 1").toArrow()  # bounded by the alphabet
+    root = _root(plain.column("key").to_numpy(), plain.column("n").to_numpy())
+    asked = settle(blocks.select("block", "text").groupBy("block").applyInArrow(distinct, "block long, key long"))
+    latest, next_ = (F.shiftright("key", 8 * (depth - i)).bitwiseAND(F.lit(255)) for i in (0, min(1, depth - 1)))
+    grams_ = asked.select("key").distinct().withColumn("shard", latest + next_ * 256)
+    grams_ = settle(grams_)
+    parts = settle(grams_.groupBy("shard").agg(F.ceil(F.count("*") / per_task).cast("int").alias("parts")))  # 2^16 rows at most
+    left = grams_.join(F.broadcast(parts), "shard").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).select("shard", "part", "key")
+    history = F.when(F.col("state"), F.col("key")).otherwise(F.shiftright("key", 8))
+    right = model.filter("k > 1").withColumn("shard", history.bitwiseAND(F.lit(0xFFFF))).join(F.broadcast(parts), "shard")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).select("shard", "part", "k", "key", "state", "a", "b")
+
+    def work(some: pa.Table, rows: pa.Table) -> pa.Table:
+        keys = np.sort(some.column("key").to_numpy())
+        tree = _tree_of(root, [short, rows], depth)
+        return pa.table({"key": keys, "p": np.log10(tree.probabilities(keys.view(np.uint64))) if len(keys) else np.zeros(0)})
+
+    logs = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(work, "key long, p double")
+    return asked.join(logs, "key").select("block", "key", "p")
+
+
 def _word_hashes(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words and the positions where they start."""
     word = (symbols != 32) & (symbols != END)
@@ -249,14 +348,15 @@ def block_words(blocks: DataFrame) -> DataFrame:
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", train: Column | None = None, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", train: Column | None = None, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score and score of every row. ``train``: which rows to learn from."""
     spark = docs.sparkSession
     train = F.coalesce(train if train is not None else F.lit(True), F.lit(False))
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), train.alias("train"))
     size, n_train = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()
-    tree = grow(settle(count_grams(source.filter("train").select("text"), depth)), n_train, depth)
-    model = spark.sparkContext.broadcast(tree)  # bounded by MAX_ENTRIES
+    entries = count_entries(settle(count_grams(source.filter("train").select("text"), depth)), depth)
+    small = entries.count() <= max_entries
+    model = spark.sparkContext.broadcast(_grown(entries, n_train, depth)) if small else None
 
     blocks = source.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-size // block_bytes)))))
     # The sums by word are used twice, for the blocks and for two totals; dealing the rows by word first, with all their
@@ -265,16 +365,25 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     totals = words.groupBy("h").agg(F.sum("n").alias("c"), F.collect_list("block").alias("blocks"))
     whole = totals.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("train_tokens"), F.count_if((F.col("c") > 0) & (F.size("blocks") > 0)).alias("kinds"))
     told = totals.select(F.explode("blocks").alias("block"), "h", "c")
+    if not small:
+        logs = gram_logs(blocks, entries, n_train, depth).select("block", F.col("key").alias("h"), F.lit(None).cast("long").alias("c"), "p")
+        told = told.withColumn("p", F.lit(None).cast("double")).unionByName(logs)
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        if model is None:
+            of_gram = pc.is_valid(right.column("p"))
+            logs, right = right.filter(of_gram), right.filter(pc.invert(of_gram))
+            tree = TableOfLogs(logs.column("h").to_numpy(), logs.column("p").to_numpy())
+        else:
+            tree = model.value
         order = np.argsort(right.column("h").to_numpy())
         keys, counts = right.column("h").to_numpy()[order], right.column("c").to_numpy()[order]
-        logs, tree = np.log10(counts + 0.5), model.value
+        logs = np.log10(counts + 0.5)
         out = []
         for part in _table_slices(left, "text", SLICE_BYTES):
-            symbols, scored, upto = normalised(part.column("text").to_pylist(), tree.depth)
-            score = tree.log10_by_text(symbols, scored, upto)
-            h, at = _word_hashes(symbols, tree.depth)
+            symbols, scored, upto = normalised(part.column("text").to_pylist(), depth)
+            score = log10_by_text(tree, depth, symbols, scored, upto)
+            h, at = _word_hashes(symbols, depth)
             uniq, inverse = np.unique(h, return_inverse=True)
             place = np.searchsorted(keys, uniq)
             end = int(np.searchsorted(keys, _END_HASH))

@@ -4,10 +4,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from octaray.llm import suffix_tree
-from octaray.llm.common import crc_mod
+from octaray.llm.common import crc_mod, read_table
 
 
 def tokens(text):
@@ -117,3 +118,12 @@ def test_no_training_text(spark):
     got = suffix_tree.score_documents(df, train=F.lit(False)).toPandas()
     assert (got["train_tokens"] == 0).all() and (got["n_known"] == 0).all() and np.isfinite(got[["score", "base_score"]].to_numpy()).all()
     assert suffix_tree.score_documents(df.limit(0)).count() == 0
+
+
+def test_a_tree_beyond_the_bound_is_kept_whole(spark, small):
+    docs = read_table(spark, small, "documents")
+    train = crc_mod(F.col("doc_id"), 5) != 1
+    for depth in (2, 4):
+        whole, table = ([tuple(r) for r in suffix_tree.score_documents(docs, train=train, depth=depth, block_bytes=100_000, **most).orderBy("doc_id").collect()] for most in ({}, {"max_entries": 50}))
+        assert len(whole) == len(table) > 0
+        assert all(a[:-1] == b[:-1] and a[-1] == pytest.approx(b[-1], rel=1e-9) for a, b in zip(whole, table, strict=True))
