@@ -33,7 +33,9 @@ from .common import byte_slices, crc_mod, read_table, settle
 from .hashing import hash_runs
 
 DEPTH, LEAST_SHARE, LEAST_ROOT, MAX_ENTRIES, SMOOTHING = 6, 2e-7, 4e-3, 8_000_000, 4.0
-BLOCK_BYTES, SLICE_BYTES = 8_000_000, 3_500_000
+BLOCK_BYTES, SLICE_BYTES = 8_000_000, 1_000_000
+#: Grams that a task counts in its own memory; what goes beyond is passed on, and added up by gram with all the others.
+HELD_GRAMS = 1_500_000
 END = 0xFF
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -65,12 +67,16 @@ def normalised(texts: list[str | None], depth: int) -> tuple[np.ndarray, np.ndar
 def grams(symbols: np.ndarray, scored: np.ndarray, depth: int, latest_first: bool = False) -> np.ndarray:
     """At each scored symbol, it and the ``depth`` symbols before it: the symbol in the lowest byte, and above it the
     history, its latest symbol lowest or (``latest_first``) highest."""
-    at = np.flatnonzero(scored)
-    wide = symbols.astype(np.uint64)
-    out = wide[at]
-    for j in range(1, depth + 1):
-        out |= wide[at - j] << np.uint64(8 * (depth + 1 - j if latest_first else j))
-    return out
+    padded = np.concatenate([np.zeros(8, dtype=np.uint8), symbols])
+    # Eight bytes from each place on, read as one number: those before the symbol, or those up to it, the last one lowest.
+    wide = np.ndarray(len(symbols), "<u8" if latest_first else ">u8", padded.data, 0 if latest_first else 1, (1,)).astype(np.uint64)
+    if latest_first:
+        wide >>= np.uint64(8 * (8 - depth))
+        wide <<= np.uint64(8)
+        wide |= symbols
+    else:
+        wide &= _low(depth + 1)
+    return wide[scored]
 
 
 def _low(k: int) -> np.uint64:
@@ -80,12 +86,22 @@ def _low(k: int) -> np.uint64:
 def count_grams(train: DataFrame, depth: int) -> DataFrame:
     """(gram, n) over all rows of (text)."""
 
+    def rows(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(keys), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 200_000].view(np.int64)), pa.array(n[at : at + 200_000])], names=["gram", "n"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, counts, loose = [], [], 0
 
         def merged():
-            keys, at = np.unique(np.concatenate(held), return_inverse=True)
-            return keys, np.bincount(at, np.concatenate(counts)).astype(np.int64)
+            keys, n = np.concatenate(held), np.concatenate(counts)
+            held.clear()
+            counts.clear()
+            order = np.argsort(keys, kind="stable")  # the parts are sorted: they are merged
+            keys, n = keys[order], n[order]
+            del order
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            return keys[first], np.add.reduceat(n, first)
 
         for whole in batches:
             for part in byte_slices(whole.select([0, 0]), SLICE_BYTES):
@@ -94,13 +110,17 @@ def count_grams(train: DataFrame, depth: int) -> DataFrame:
                 held.append(keys)
                 counts.append(n)
                 loose += len(keys)
-                if loose > 3_000_000:
+                if loose > HELD_GRAMS // 2:
                     keys, n = merged()
-                    held, counts, loose = [keys], [n], 0
+                    loose = 0
+                    if len(keys) > HELD_GRAMS:
+                        yield from rows(keys, n)
+                    else:
+                        held.append(keys)
+                        counts.append(n)
+                del symbols, scored, keys, n
         if held:
-            keys, n = merged()
-            for at in range(0, len(keys), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 200_000].view(np.int64)), pa.array(n[at : at + 200_000])], names=["gram", "n"])
+            yield from rows(*merged())
 
     return train.mapInArrow(work, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 

@@ -1,9 +1,11 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +129,50 @@ def test_a_tree_beyond_the_bound_is_kept_whole(spark, small):
         whole, table = ([tuple(r) for r in suffix_tree.score_documents(docs, train=train, depth=depth, block_bytes=100_000, **most).orderBy("doc_id").collect()] for most in ({}, {"max_entries": 50}))
         assert len(whole) == len(table) > 0
         assert all(a[:-1] == b[:-1] and a[-1] == pytest.approx(b[-1], rel=1e-9) for a, b in zip(whole, table, strict=True))
+
+
+class OneTask:
+    """Stands for a table of which one task gets all the batches."""
+
+    def mapInArrow(self, work, schema):
+        self.work = work
+        return self
+
+    def groupBy(self, *names):
+        return self
+
+    def agg(self, *columns):
+        return self
+
+
+def test_memory_of_a_counting_task_is_bounded(spark):
+    random = np.random.default_rng(3)
+    texts = [bytes(random.integers(97, 123, 100_000, dtype=np.uint8)).decode() for _ in range(120)]  # nearly every gram is another one
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[at : at + 20])], names=["text"]) for at in range(0, 120, 20)]
+    task, out, total = suffix_tree.count_grams(OneTask(), 6), 0, 0
+    tracemalloc.start()
+    try:
+        for batch in task.work(iter(batches)):
+            total += sum(batch.column("n").to_pylist())
+            out += batch.num_rows
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert total == sum(len(t) + 2 for t in texts) and out > 10_000_000
+    assert peak < 250e6
+
+
+def test_counts_that_are_passed_on_add_up(spark, monkeypatch):
+    texts = ["the cat sat on the mat", "The dog sat.", None, "", "the  cat"] * 30
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    want = sorted(map(tuple, suffix_tree.count_grams(df, 4).collect()))
+    monkeypatch.setattr(suffix_tree, "HELD_GRAMS", 5)
+    monkeypatch.setattr(suffix_tree, "SLICE_BYTES", 40)
+    symbols, scored, _ = suffix_tree.normalised(texts, 4)
+    by_hand = Counter(sum(int(symbols[i - j]) << 8 * j for j in range(5)) for i in np.flatnonzero(scored))
+    task = suffix_tree.count_grams(OneTask(), 4)
+    got = Counter()
+    for batch in task.work(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])):
+        for gram, n in zip(batch.column("gram").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            got[gram] += n
+    assert want == sorted(got.items()) == sorted(by_hand.items())
