@@ -120,6 +120,29 @@ def test_spatial_join_equals_cross_join(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_touching_pairs_equal_cross_join(spark, monkeypatch):
+    rows = [(i, float(i * 7 % 23) / 2, float(i * 5 % 3) / 2, 0.0 if i % 2 else -0.0) for i in range(150)]
+    rows += [(200 + i, 3.0, 0.5, 0.0) for i in range(400)] + [(1, 3.0, 0.5, 0.0), (999, None, 0.5, 0.0)]  # many copies, an id twice, no bounds
+    df = spark.createDataFrame(rows, "prim_id long, min_x double, min_y double, min_z double")
+    df = df.select("*", (F.col("min_x") + 0.5).alias("max_x"), (F.col("min_y") + 1).alias("max_y"), F.col("min_z").alias("max_z"))
+    rows = [r for r in rows if r[1] is not None]
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and abs(a[1] - b[1]) <= 0.5 and abs(a[2] - b[2]) <= 1 and a[3] == b[3])
+    for copies in (boxes.COPIES, 8):
+        monkeypatch.setattr(boxes, "COPIES", copies)
+        got = boxes.touching_pairs(df, 1.0, (0.0, 0.0, 0.0, 8.0, 8.0, 4.0)).collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_equal_boxes_are_compared_once(spark, monkeypatch):
+    """40 copies of 600 boxes are 600 rows, of which none lists more than about COPIES ids."""
+    df = spark.range(24_000).selectExpr("id AS prim_id", *[f"CAST(id % 600 AS DOUBLE) AS {n}" for n in BOX])
+    for copies, least, most in ((boxes.COPIES, 600, 600), (8, 600 * 4, 600 * 5)):
+        monkeypatch.setattr(boxes, "COPIES", copies)
+        rows = boxes.equal_boxes(df)
+        assert least <= rows.count() <= most and rows.selectExpr("max(size(ids))").first()[0] <= 4 * min(copies, 10)
+        assert sorted(r[0] for r in rows.selectExpr("explode(ids)").collect()) == list(range(24_000))
+
+
 @pytest.mark.parametrize(
     "nanos, said",
     [(0.001, "1ps"), (1.5, "1.500ns"), (100000.5, "100.000us"), (2050020.5, "2.050ms"), (3450050020.5, "3.450s"), (303450050020.5, "5:03.450"), (25503450050020.5, "7:05:03"), (198303450050020.5, "2 days, 7:05:03"), (0.0, None)],
