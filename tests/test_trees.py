@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from octaray import queries
 from octaray.functions.geometry import BOX
 from octaray.operators import bvh, indexed, rays, treelets, trees
 from octaray.operators import triangles as tri_ops
@@ -356,3 +357,25 @@ def test_nearest_takes_each_pair_once(monkeypatch):
     monkeypatch.undo()
     assert got.tolist() == expected and len(pairs) == 16
     assert bvh._nearest(boxes[:1], 16).tolist() == [-1]
+
+
+def test_queries_of_nodes_write_no_held_primitives(spark, small, monkeypatch):
+    written = []
+
+    def spy(df):
+        written.append(settle(df))
+        return written[-1]
+
+    monkeypatch.setattr(trees, "settle", spy)
+    monkeypatch.setattr(queries, "settle", spy)
+    for name in ("remove_empty", "removed_count", "collapse"):
+        assert queries.QUERIES[name](spark, small).count()
+    assert not any(t.filter("prim_id IS NOT NULL").count() for t in written if "prim_id" in t.columns)
+
+
+def test_nodes_alone_equal_the_whole_build(spark):
+    df = spark.createDataFrame([(i, *(float(v) for v in (i, i, 1, i + 1, i + 2, 2))) for i in range(12)], ["prim_id", *BOX])
+    for kind, inside in (("octree", 100), ("kdtree", 4)):
+        nodes = trees.build_nodes(df, SCENE, [LevelConfig(kind, 2)], inside=inside)
+        whole, _ = trees.build(df, SCENE, [LevelConfig(kind, 2)], inside=inside)
+        assert sorted(map(tuple, nodes.collect())) == sorted(map(tuple, whole.collect()))
