@@ -38,6 +38,10 @@ LINKS = 1 << 20
 ALL_RAYS, ALL_HELD = 1 << 11, 1 << 12
 #: Triangles of a treelet of a hierarchy.
 HELD = 1 << 15
+#: Ids of equal rays that one row lists, and rows of their hits.
+COPIES = 1 << 10
+LISTED = "ids array<struct<ray_id: long>>, hits array<struct<triangle_id: long, t: double>>"
+HITS_OF_COPIES = pa.schema({"ids": pa.list_(pa.struct({"ray_id": pa.int64()})), "hits": pa.list_(pa.struct({"triangle_id": pa.int64(), "t": pa.float64()}))})
 #: Levels of the pyramid of grids: 2^10 cells along each axis.
 LEVELS = 10
 
@@ -300,16 +304,18 @@ def _joined_visits(rays: DataFrame, index: Index, after: int, upto: int | None)
 def _searched(some: DataFrame, treelets: DataFrame, blocks: DataFrame, every: str | None = None) -> DataFrame:
     """HIT rows: the nearest triangle of each treelet that a ray searches, no farther than its ``best``.
 
-    ``every``: all triangles that a ray can meet are compared, and 'all' hits or the 'nearest' of a treelet are given.
+    ``every``: all triangles that a ray can meet are compared, and the 'nearest' of a treelet or 'all' hits are given, these
+    in LISTED rows: the hits of a ray in a treelet beside the ``ids`` of its copies.
     """
     blocks = F.broadcast(blocks) if blocks.count() <= 4096 else blocks  # a small table of counted rows
     left = some.join(blocks, KEY).withColumn("block", F.pmod(F.xxhash64("ray_id"), F.col("blocks")).cast("int")).drop("blocks")
     right = treelets.join(blocks, KEY).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     key = [*KEY, "block"]
+    nothing = HITS_OF_COPIES.empty_table() if every == "all" else pa.schema({"ray_id": pa.int64(), "triangle_id": pa.int64(), "t": pa.float64()}).empty_table()
 
     def work(rays: pa.Table, rows: pa.Table) -> pa.Table:
         if not rays.num_rows or not rows.num_rows:
-            return pa.table({"ray_id": pa.array([], pa.int64()), "triangle_id": pa.array([], pa.int64()), "t": pa.array([], pa.float64())})
+            return nothing
         part = {n: rows.column(n).combine_chunks().flatten().to_numpy() for n in (*ARRAYS, "ids", "corners")}
         none = np.zeros(len(part["first"]), np.int64)
         tree = Treelet(part["boxes"].reshape(-1, 6), *(part[n].astype(np.int64) for n in ARRAYS[1:]), none, none, none)
@@ -326,21 +332,25 @@ def _searched(some: DataFrame, treelets: DataFrame, blocks: DataFrame, every: st
         if every:
             r, held, t = every_hit(tree, o, d, meet)
             name = part["ids"][held]
+            order = np.lexsort((name, t, r))
             if every == "nearest":
-                order = np.lexsort((name, t, r))
                 order = order[_turns(r[order]) == 0]
-                r, name, t = r[order], name[order], t[order]
+            r, name, t = r[order], name[order], t[order]
+            if every == "all":
+                some, start = np.unique(r, return_index=True)
+                hits = pa.StructArray.from_arrays([pa.array(name), pa.array(t)], names=["triangle_id", "t"])
+                return pa.table({"ids": rays.column("ids").combine_chunks().take(pa.array(some)), "hits": pa.ListArray.from_arrays(pa.array(np.append(start, len(r)), pa.int32()), hits)})
             return pa.table({"ray_id": rays.column("ray_id").to_numpy()[r], "triangle_id": name, "t": t})
         bound = rays.column("best").fill_null(np.inf).to_numpy()
         hit, t, name = search(tree, part["ids"], o, d, bound, meet)
         return pa.table({"ray_id": rays.column("ray_id").to_numpy()[hit], "triangle_id": name, "t": t})
 
-    columns = [F.col("ray_id").cast("long").alias("ray_id"), *RAY, F.col("best").cast("double").alias("best"), *key]
+    columns = [F.col("ray_id").cast("long").alias("ray_id"), *RAY, F.col("best").cast("double").alias("best"), *key, *(["ids"] if every == "all" else [])]
     # Few heavy groups: more partitions than that, or the runtime puts them into one task for their few bytes.
     spark = some.sparkSession
     parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     left, right = (df.repartition(parts, *key).groupBy(*key) for df in (left.select(*columns), right))
-    return left.cogroup(right).applyInArrow(work, HIT)
+    return left.cogroup(right).applyInArrow(work, LISTED if every == "all" else HIT)
 
 
 def through(rays: DataFrame, index: Index) -> DataFrame:
@@ -361,11 +371,32 @@ def through(rays: DataFrame, index: Index) -> DataFrame:
     return best
 
 
+def _once(rays: DataFrame) -> DataFrame:
+    """(ray_id, RAY, ids): equal rays in one row under a number of its own, beyond COPIES of them in several of about so many ids."""
+    every = rays.select(F.col("ray_id").cast("long").alias("ray_id"), *[F.col(c).cast("double").alias(c) for c in RAY])
+    many = settle(every.groupBy(*RAY).agg(F.count("*").alias("n")).filter(F.col("n") > COPIES).select(*RAY, F.ceil(F.col("n") / COPIES).alias("parts")))
+    part = F.lit(0).cast("long")
+    if not many.isEmpty():
+        every = every.join(many, list(RAY), "left")
+        part = F.pmod(F.xxhash64("ray_id"), F.coalesce("parts", F.lit(1)))
+    listed = every.groupBy(*RAY, part.alias("part")).agg(F.collect_list(F.struct("ray_id")).alias("ids"))  # structs: null ids stay
+    return settle(listed.select(F.monotonically_increasing_id().alias("ray_id"), *RAY, "ids"))  # numbers are fixed once they are written
+
+
 def all_hits(rays: DataFrame, tri: DataFrame, every: str = "all", ray_block: int = ALL_RAYS, inside: int = ALL_HELD) -> DataFrame:
-    """HIT rows of every hit, or the nearest of each block. Each triangle has one place in the pyramid, so none is found twice."""
-    index = grid_index(tri, inside)
-    some = settle(visits(_spread(rays).withColumn("best", F.lit(None).cast("double")), index))
-    return _searched(some, index.treelets, _blocks(some, ray_block), every)
+    """HIT rows of every hit, or of the nearest in each treelet. Each triangle has one place in the pyramid, so none is found twice.
+
+    Equal rays are compared once; only the result has a row for each of them.
+    """
+    index, once = grid_index(tri, inside), _once(rays)
+    some = visits(_spread(once).withColumn("best", F.lit(None).cast("double")), index)
+    if every == "nearest":
+        some = settle(some)
+        found = nearest(_searched(some, index.treelets, _blocks(some, ray_block), every))
+        return found.join(once.select("ray_id", "ids"), "ray_id").select(F.inline("ids"), "triangle_id", "t")
+    some = settle(some.join(once.select("ray_id", "ids"), "ray_id"))
+    found = _searched(some, index.treelets, _blocks(some, ray_block), every)
+    return found.select(F.inline("ids"), "hits").select("ray_id", F.inline("hits"))
 
 
 def _blocks(some: DataFrame, most: int | None = None) -> DataFrame:

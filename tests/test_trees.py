@@ -379,3 +379,18 @@ def test_nodes_alone_equal_the_whole_build(spark):
         nodes = trees.build_nodes(df, SCENE, [LevelConfig(kind, 2)], inside=inside)
         whole, _ = trees.build(df, SCENE, [LevelConfig(kind, 2)], inside=inside)
         assert sorted(map(tuple, nodes.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_equal_rays_are_compared_once(spark, monkeypatch):
+    tri = spark.createDataFrame([(i, 0.0, -1.0, -1.0 + i, 0.0, 3.0, -1.0, 0.0, -1.0, 3.0) for i in range(3)], ["triangle_id", *rays.CORNER])
+    few = [(i, 5.0, 0.1 * (i % 2), 0.2, -1.0, 0.0, 0.0) for i in range(40)] + [(99, 5.0, 50.0, 0.2, -1.0, 0.0, 0.0)]
+    r = spark.createDataFrame([*few, few[0]], ["ray_id", *rays.RAY])
+    monkeypatch.setattr(indexed, "COPIES", 8)
+    asked, blocks = [], indexed._blocks
+    monkeypatch.setattr(indexed, "_blocks", lambda some, *most: asked.append(some.count()) or blocks(some, *most))
+    want = sorted((i, k, 5.0) for i in [*range(40), 0] for k in range(2))  # the third begins beyond the rays
+    assert sorted(map(tuple, rays.triangle_hits(r, tri).select("ray_id", "triangle_id", "t").collect())) == want
+    found = rays.nearest_bruteforce(r, tri)
+    assert found.columns == ["ray_id", "t", "triangle_id"]
+    assert sorted(map(tuple, found.collect())) == [(i, 5.0, 0) for i in range(40)]
+    assert max(asked) < 20
