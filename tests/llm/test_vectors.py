@@ -46,6 +46,34 @@ def test_links_equal_brute_force(spark):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+def test_many_shards_are_not_all_asked(spark, monkeypatch):
+    """With many shards, a vector asks those that can hold its links; a cell that is too large is several shards."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 64))
+    moved = x[:400] / np.linalg.norm(x[:400], axis=1, keepdims=True)
+    x[400:800] = hnsw.planted(moved, 0.9, 400, rng)
+    x[800:1300] = x[800] + rng.normal(size=(500, 64)) * 0.1
+    u = x.astype(np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    true = (u @ u.T >= 0.9).sum(axis=1) - 1
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", 100)
+    asked, routed = [], hnsw._routed
+
+    def spy(nodes, n, size, shards, least):
+        placed, some = routed(nodes, n, size, shards, least)
+        asked.append((placed.count(), placed.groupBy("shard").count().agg({"count": "max"}).first()[0], some.groupBy("rep", "shard").count().count() / (n * placed.select("shard").distinct().count())))
+        return placed, some
+
+    monkeypatch.setattr(hnsw, "_routed", spy)
+    got = {r["vec_id"]: r["n_links"] for r in hnsw.near_duplicate_vectors(frame(spark, x, BAD)).collect()}
+    (placed, largest, share), = asked
+    assert placed == 3002 and largest < 200 and share < 0.6
+    found = np.array([got[i] for i in range(3000)])
+    assert (found <= true).all() and found[800:1300].sum() >= 0.999 * true[800:1300].sum()
+    assert found[:800].sum() >= 0.99 * true[:800].sum()
+    assert got[5007] == 1 and got[5000] == 0
+
+
 def test_beams_widen_until_the_audit_passes():
     x = clustered(3, 1200)
     u = x.astype(np.float64)
